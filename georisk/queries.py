@@ -1,7 +1,9 @@
 """Registered queries: name → (spark, sf_dir) → DataFrame, and the matching DuckDB oracle.
 
 Every query reads the driver's tables in full (or what Spark derives from
-them); none runs on made-up input, caps rows or samples.
+them); none runs on made-up input, caps rows or samples. Queries without an
+oracle (tree training and anything whose values depend on a file Spark
+wrote) are checked by row count here and by invariants in ``tests/``.
 """
 
 from __future__ import annotations
@@ -9,16 +11,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from georisk import oracle_sql as O
 from georisk.functions.grid import GridSpec
+from georisk.functions.timefeatures import REQUEST_TS_PATTERN, compat_date
 from georisk.operators import cells as C
-from georisk.sources.incidents import INCIDENT_COLUMNS, incidents_from_tables
+from georisk.operators import evaluate as E
+from georisk.operators import heatmap as H
+from georisk.operators import profile as P
+from georisk.operators import quality as Q
+from georisk.operators import score as S
+from georisk.operators import tree as T
+from georisk.session import shared_path
+from georisk.sources import csv as CSV
+from georisk.sources.incidents import (
+    CELL_KEYS,
+    INCIDENT_COLUMNS,
+    incidents_from_tables,
+    lineitem_incident_base,
+    read_table,
+    type_incidents,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 GRID = GridSpec()
+NB = GRID.n_boxes
 
 
 def register(name: str, oracle: str | None = None):
@@ -30,17 +50,502 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def sql(*ctes: str, body: str) -> str:
+    return O.with_ctes(*ctes, body=body)
+
+
 def _incidents(spark: SparkSession, sf_dir: str, date_mode: str = "real") -> DataFrame:
     return incidents_from_tables(spark, sf_dir, GRID, date_mode)
 
 
-# ---------------------------------------------------------------- scan / typing
-@register("incidents", O.with_ctes(O.INCIDENTS_ALL, body=f"SELECT {O.INCIDENT_SELECT} FROM incidents"))
+def _all_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents_from_tables(spark, sf_dir, GRID, keep_out_of_bounds=True)
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.label_cells(C.box_agg(_incidents(spark, sf_dir)))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log: every event's time as request text."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select("event_id", F.date_format("ts", REQUEST_TS_PATTERN).alias("request"))
+
+
+# ============================================================ scan, typing, filter
+@register("incidents", sql(O.INCIDENTS_ALL, body=f"SELECT {O.INCIDENT_SELECT} FROM incidents"))
 def q_incidents(spark, sf_dir):
     return _incidents(spark, sf_dir).select(*INCIDENT_COLUMNS)
 
 
-# ---------------------------------------------------------------- cells
-@register("box_agg", O.with_ctes(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM cells"))
+@register("bbox_filter", sql(O.INCIDENTS_ALL, body="SELECT IncidntNum, PdId, X, Y FROM incidents"))
+def q_bbox_filter(spark, sf_dir):
+    return _incidents(spark, sf_dir).select("IncidntNum", "PdId", "X", "Y")
+
+
+@register("bbox_audit", sql(O.INCIDENTS_ALL, body="SELECT in_bounds, COUNT(*) AS n FROM inc_all GROUP BY in_bounds"))
+def q_bbox_audit(spark, sf_dir):
+    return Q.bbox_audit(_all_incidents(spark, sf_dir))
+
+
+@register("box_assign", sql(O.INCIDENTS_ALL, body="""
+SELECT Box, CAST(trunc((Y - 37.7e0) / 0.01e0) AS INT) AS box_row,
+       CAST(trunc((X - -122.516e0) / 0.01e0) AS INT) AS box_col, COUNT(*) AS n
+FROM incidents GROUP BY ALL"""))
+def q_box_assign(spark, sf_dir):
+    inc = _incidents(spark, sf_dir)
+    row = ((F.col("Y") - F.lit(GRID.min_y)) / F.lit(GRID.cell)).cast("int")
+    col = ((F.col("X") - F.lit(GRID.min_x)) / F.lit(GRID.cell)).cast("int")
+    return inc.groupBy("Box", row.alias("box_row"), col.alias("box_col")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("grid_extent", sql(O.INCIDENTS_ALL, body="""
+SELECT (max_x - min_x) / 0.01e0 AS extent_x, (max_y - min_y) / 0.01e0 AS extent_y,
+  CAST(trunc((min_y - 37.7e0) / 0.01e0) AS INT) * 15 + CAST(trunc((min_x - -122.516e0) / 0.01e0) AS INT) AS box_min_min,
+  CAST(trunc((max_y - 37.7e0) / 0.01e0) AS INT) * 15 + CAST(trunc((min_x - -122.516e0) / 0.01e0) AS INT) AS box_min_max,
+  CAST(trunc((min_y - 37.7e0) / 0.01e0) AS INT) * 15 + CAST(trunc((max_x - -122.516e0) / 0.01e0) AS INT) AS box_max_min,
+  CAST(trunc((max_y - 37.7e0) / 0.01e0) AS INT) * 15 + CAST(trunc((max_x - -122.516e0) / 0.01e0) AS INT) AS box_max_max
+FROM (SELECT MIN(X) AS min_x, MAX(X) AS max_x, MIN(Y) AS min_y, MAX(Y) AS max_y FROM incidents)"""))
+def q_grid_extent(spark, sf_dir):
+    """Extent in cells and corner box ids of the observed incident extent."""
+    e = P.profile_extent(_incidents(spark, sf_dir))
+    return e.select(((F.col("max_x") - F.col("min_x")) / F.lit(GRID.cell)).alias("extent_x"),
+                    ((F.col("max_y") - F.col("min_y")) / F.lit(GRID.cell)).alias("extent_y"),
+                    GRID.box_id("min_x", "min_y").alias("box_min_min"),
+                    GRID.box_id("min_x", "max_y").alias("box_min_max"),
+                    GRID.box_id("max_x", "min_y").alias("box_max_min"),
+                    GRID.box_id("max_x", "max_y").alias("box_max_max"))
+
+
+RAW_SQL = """
+raw AS (
+  SELECT CAST(IncidntNum AS VARCHAR) AS IncidntNum, Category, Descript, DayOfWeek,
+    strftime("Timestamp", '%m/%d/%Y') AS "Date", strftime("Timestamp", '%H:%M') AS "Time",
+    PdDistrict, Resolution, Address, CAST(X AS VARCHAR) AS X, CAST(Y AS VARCHAR) AS Y,
+    '(' || CAST(Y AS VARCHAR) || ', ' || CAST(X AS VARCHAR) || ')' AS Location, PdId, "Timestamp"
+  FROM inc_all
+)
+"""
+
+
+@register("parse_timestamp", sql(O.INCIDENTS_ALL, RAW_SQL,
+                                 body='SELECT PdId, "Date", "Time", "Timestamp" FROM raw'))
+def q_parse_timestamp(spark, sf_dir):
+    """Date 'MM/dd/yyyy' + Time 'HH:mm' strings of every row → timestamp_ntz."""
+    from georisk.functions.timefeatures import parse_date_time
+    raw = CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
+    return raw.select("PdId", "Date", "Time", parse_date_time("Date", "Time").alias("Timestamp"))
+
+
+@register("compat_date", sql(O.INCIDENTS_ALL, body='SELECT PdId, "Timestamp", "Date", CompatDate FROM incidents'))
+def q_compat_date(spark, sf_dir):
+    inc = _incidents(spark, sf_dir)
+    return inc.select("PdId", "Timestamp", "Date", compat_date("Timestamp").alias("CompatDate"))
+
+
+@register("day_period", sql(O.INCIDENTS_ALL, body='SELECT "Hour", DayPeriod, COUNT(*) AS n FROM incidents GROUP BY ALL'))
+def q_day_period(spark, sf_dir):
+    return P.count_by(_incidents(spark, sf_dir), "Hour", "DayPeriod")
+
+
+CELL_TYPE_SQL = r"""
+typed AS (
+  SELECT "column",
+    CASE WHEN value IS NULL THEN 'null' WHEN value IN ('true', 'false') THEN 'boolean'
+         WHEN regexp_matches(value, '(?i)^\s*-?(\d*\.?\d+|\d+\.?\d*)(e[-+]?\d+)?\s*$') THEN 'number'
+         ELSE 'string' END AS type
+  FROM (UNPIVOT (SELECT * EXCLUDE ("Timestamp") FROM raw)
+        ON IncidntNum, Category, Descript, DayOfWeek, "Date", "Time", PdDistrict, Resolution, Address,
+           X, Y, Location, PdId
+        INTO NAME "column" VALUE value)
+)
+"""
+
+
+@register("cell_type_profile", sql(O.INCIDENTS_ALL, RAW_SQL, CELL_TYPE_SQL,
+                                   body='SELECT "column", type, COUNT(*) AS n FROM typed GROUP BY ALL'))
+def q_cell_type_profile(spark, sf_dir):
+    raw = CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
+    return Q.cell_type_profile(raw, CSV.RAW_COLUMNS)
+
+
+@register("cast_audit", sql(O.INCIDENTS_ALL, RAW_SQL, body="""
+SELECT * FROM (
+  SELECT 'IncidntNum' AS "column", 'bigint' AS target_type, COUNT(IncidntNum) AS n_values,
+         COUNT(*) FILTER (WHERE IncidntNum IS NOT NULL AND TRY_CAST(IncidntNum AS BIGINT) IS NULL) AS n_rejected FROM raw
+  UNION ALL
+  SELECT 'X', 'double', COUNT(X), COUNT(*) FILTER (WHERE X IS NOT NULL AND TRY_CAST(X AS DOUBLE) IS NULL) FROM raw
+  UNION ALL
+  SELECT 'Y', 'double', COUNT(Y), COUNT(*) FILTER (WHERE Y IS NOT NULL AND TRY_CAST(Y AS DOUBLE) IS NULL) FROM raw
+)"""))
+def q_cast_audit(spark, sf_dir):
+    raw = CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
+    return Q.cast_audit(raw, {"IncidntNum": "bigint", "X": "double", "Y": "double"})
+
+
+# ============================================================ CSV sources / sinks
+def _export_incidents_csv(spark, sf_dir) -> str:
+    path = shared_path(spark, "incidents-csv")
+    raw = CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
+    CSV.write_csv(raw, path)
+    return path
+
+
+@register("csv_scan", sql(O.INCIDENTS_ALL, body=f"SELECT {O.INCIDENT_SELECT} FROM incidents"))
+def q_csv_scan(spark, sf_dir):
+    """Export every row as the 13-column incident CSV, read it back, type it."""
+    return CSV.read_incidents_csv(spark, _export_incidents_csv(spark, sf_dir), GRID).select(*INCIDENT_COLUMNS)
+
+
+@register("csv_split_verbatim", sql(O.INCIDENTS_ALL, body="""
+SELECT IncidntNum, Category, '"' || Descript || '"' AS Descript, DayOfWeek, "Date", "Timestamp", PdDistrict,
+  Resolution, Address, X, Y, PdId, Box, "Hour", DayPeriod, DayOfWeekNum, "Month" FROM incidents"""))
+def q_csv_split_verbatim(spark, sf_dir):
+    """Same export read line by line with the quote-keeping split."""
+    path = _export_incidents_csv(spark, sf_dir)
+    return CSV.read_incidents_csv(spark, path, GRID, verbatim=True).select(*INCIDENT_COLUMNS)
+
+
+DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def _export_documents_csv(spark, sf_dir) -> str:
+    path = shared_path(spark, "documents-csv")
+    CSV.write_csv(read_table(spark, sf_dir, "documents").select(*DOC_COLUMNS), path)
+    return path
+
+
+@register("csv_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def q_csv_roundtrip(spark, sf_dir):
+    """Whole documents (quotes, commas, newlines in text) → CSV → back."""
+    return CSV.read_csv(spark, _export_documents_csv(spark, sf_dir), DOC_SCHEMA, multi_line=True)
+
+
+@register("malformed_rows")
+def q_malformed_rows(spark, sf_dir):
+    """The documents CSV read as plain lines: quoted newlines break records apart,
+    which the line audit reports as MissingQuotes / TooFewFields."""
+    lines = spark.read.text(_export_documents_csv(spark, sf_dir))
+    return Q.malformed_rows(lines, expected_fields=len(DOC_COLUMNS))
+
+
+# ============================================================ profiles
+@register("profile_extent", sql(O.INCIDENTS_ALL, body="""
+SELECT MIN(X) AS min_x, MAX(X) AS max_x, MIN(Y) AS min_y, MAX(Y) AS max_y FROM incidents"""))
+def q_profile_extent(spark, sf_dir):
+    return P.profile_extent(_incidents(spark, sf_dir))
+
+
+@register("profile_ranges", sql(O.INCIDENTS_ALL, body="""
+SELECT MIN(Box) AS min_box, MAX(Box) AS max_box, MIN("Hour") AS min_hour, MAX("Hour") AS max_hour,
+  MIN(DayPeriod) AS min_day_period, MAX(DayPeriod) AS max_day_period,
+  MIN("Month") AS min_month, MAX("Month") AS max_month FROM incidents"""))
+def q_profile_ranges(spark, sf_dir):
+    return P.profile_ranges(_incidents(spark, sf_dir))
+
+
+@register("count_by_dow_name", sql(O.INCIDENTS_ALL, body="SELECT DayOfWeek, COUNT(*) AS n FROM incidents GROUP BY DayOfWeek"))
+def q_count_by_dow_name(spark, sf_dir):
+    return P.count_by(_incidents(spark, sf_dir), "DayOfWeek")
+
+
+@register("count_by_dow_num", sql(O.INCIDENTS_ALL, body="SELECT DayOfWeekNum, COUNT(*) AS n FROM incidents GROUP BY DayOfWeekNum"))
+def q_count_by_dow_num(spark, sf_dir):
+    return P.count_by(_incidents(spark, sf_dir), "DayOfWeekNum")
+
+
+@register("profile_time", sql(O.INCIDENTS_ALL, body='SELECT MIN("Timestamp") AS min_ts, MAX("Timestamp") AS max_ts FROM incidents'))
+def q_profile_time(spark, sf_dir):
+    return P.profile_time(_incidents(spark, sf_dir))
+
+
+@register("box_date_counts", sql(O.INCIDENTS_ALL, body='SELECT Box, "Date", COUNT(*) AS n FROM incidents GROUP BY Box, "Date"'))
+def q_box_date_counts(spark, sf_dir):
+    return P.box_date_counts(_incidents(spark, sf_dir))
+
+
+@register("box_date_counts_compat", sql(O.INCIDENTS_ALL, body="""
+SELECT Box, CompatDate AS "Date", COUNT(*) AS n FROM incidents GROUP BY Box, CompatDate"""))
+def q_box_date_counts_compat(spark, sf_dir):
+    return P.box_date_counts(_incidents(spark, sf_dir, "compat"))
+
+
+def _stats_sql(date_col: str) -> str:
+    return sql(O.INCIDENTS_ALL, body=f"""
+SELECT MIN(n) AS min_count, MAX(n) AS max_count, SUM(n) / COUNT(*) AS avg_count, COUNT(*) AS groups
+FROM (SELECT COUNT(*) AS n FROM incidents GROUP BY Box, {date_col})""")
+
+
+@register("box_date_stats", _stats_sql('"Date"'))
+def q_box_date_stats(spark, sf_dir):
+    return P.box_date_stats(P.box_date_counts(_incidents(spark, sf_dir)))
+
+
+@register("box_date_stats_compat", _stats_sql("CompatDate"))
+def q_box_date_stats_compat(spark, sf_dir):
+    return P.box_date_stats(P.box_date_counts(_incidents(spark, sf_dir, "compat")))
+
+
+@register("stage_counts", sql(O.INCIDENTS_ALL, O.CELLS, body="""
+SELECT COUNT(*) AS raw_rows, COUNT(*) FILTER (WHERE in_bounds) AS kept_rows,
+  COUNT(*) FILTER (WHERE NOT in_bounds) AS rejected_rows, (SELECT COUNT(*) FROM cells) AS cells
+FROM inc_all"""))
+def q_stage_counts(spark, sf_dir):
+    return P.stage_counts(_all_incidents(spark, sf_dir))
+
+
+# ============================================================ slots and labels
+@register("box_agg", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM cells"))
 def q_box_agg(spark, sf_dir):
     return C.box_agg(_incidents(spark, sf_dir))
+
+
+@register("preview", sql(O.INCIDENTS_ALL, O.CELLS, body="""
+SELECT * FROM cells ORDER BY "Count" DESC, Box, "Month", DayOfWeekNum, DayPeriod LIMIT 5"""))
+def q_preview(spark, sf_dir):
+    """Top-5 slots by count (the five-row preview, in a fixed order)."""
+    cells = C.box_agg(_incidents(spark, sf_dir))
+    return P.preview(cells, [F.col("Count").desc(), *CELL_KEYS], 5)
+
+
+@register("risk_label", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM labelled"))
+def q_risk_label(spark, sf_dir):
+    return _labelled(spark, sf_dir)
+
+
+@register("label_counts", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT label, COUNT(*) AS n FROM labelled GROUP BY label"))
+def q_label_counts(spark, sf_dir):
+    return C.label_counts(_labelled(spark, sf_dir))
+
+
+@register("train_test_split", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM split_cells"))
+def q_train_test_split(spark, sf_dir):
+    return C.mark_split(_labelled(spark, sf_dir))
+
+
+@register("features", sql(O.INCIDENTS_ALL, O.CELLS, body="""
+SELECT *, CAST(Box AS DOUBLE) AS f_Box, CAST("Month" AS DOUBLE) AS f_Month,
+  CAST(DayOfWeekNum AS DOUBLE) AS f_DayOfWeekNum, CAST(DayPeriod AS DOUBLE) AS f_DayPeriod FROM labelled"""))
+def q_features(spark, sf_dir):
+    return T.feature_columns(T.assemble(_labelled(spark, sf_dir)))
+
+
+# ============================================================ metrics (baseline predictor, exact)
+BASELINE_SQL = """
+train AS (SELECT * FROM split_cells WHERE split = 'train'),
+test AS (SELECT * FROM split_cells WHERE split = 'test'),
+per_box AS (
+  SELECT Box, CAST(CASE WHEN SUM("Count") / COUNT(*) < 5 THEN 0 WHEN SUM("Count") / COUNT(*) < 30 THEN 1
+                        ELSE 2 END AS DOUBLE) AS box_level
+  FROM train GROUP BY Box),
+preds AS (SELECT t.*, COALESCE(p.box_level, 0e0) AS prediction FROM test t LEFT JOIN per_box p USING (Box)),
+per_class AS (
+  SELECT CAST(c AS INT) AS class,
+    COUNT(*) FILTER (WHERE label = c AND prediction = c) AS tp,
+    COUNT(*) FILTER (WHERE prediction = c) AS predicted,
+    COUNT(*) FILTER (WHERE label = c) AS actual
+  FROM range(0, 3) r(c) LEFT JOIN preds ON TRUE GROUP BY c),
+pr AS (
+  SELECT class, tp, predicted, actual,
+    CASE WHEN predicted = 0 THEN 'NaN'::DOUBLE ELSE tp / predicted END AS precision,
+    CASE WHEN actual = 0 THEN 'NaN'::DOUBLE ELSE tp / actual END AS recall
+  FROM per_class)
+"""
+METRIC_CTES = (O.INCIDENTS_ALL, O.CELLS, BASELINE_SQL)
+
+
+def _baseline_preds(spark, sf_dir) -> DataFrame:
+    labelled = _labelled(spark, sf_dir)
+    tr, te = C.split_cells(labelled, "hash")
+    return E.baseline_predictions(tr, te, GRID)
+
+
+@register("baseline_predictions", sql(*METRIC_CTES, body="SELECT * EXCLUDE (split) FROM preds"))
+def q_baseline_predictions(spark, sf_dir):
+    return _baseline_preds(spark, sf_dir)
+
+
+@register("confusion_matrix", sql(*METRIC_CTES, body="""
+SELECT CAST(i AS DOUBLE) AS label, CAST(j AS DOUBLE) AS prediction,
+  (SELECT COUNT(*) FROM preds WHERE preds.label = i AND preds.prediction = j) AS n
+FROM range(0, 3) a(i), range(0, 3) b(j)"""))
+def q_confusion_matrix(spark, sf_dir):
+    return E.confusion_matrix(_baseline_preds(spark, sf_dir))
+
+
+@register("test_error", sql(*METRIC_CTES, body="""
+SELECT n_wrong, n_test, CASE WHEN n_test = 0 THEN 'NaN'::DOUBLE ELSE n_wrong / n_test END AS test_error
+FROM (SELECT COUNT(*) FILTER (WHERE label <> prediction) AS n_wrong, COUNT(*) AS n_test FROM preds)"""))
+def q_test_error(spark, sf_dir):
+    return E.test_error(_baseline_preds(spark, sf_dir))
+
+
+@register("precision_recall", sql(*METRIC_CTES, body="SELECT * FROM pr"))
+def q_precision_recall(spark, sf_dir):
+    return E.precision_recall(_baseline_preds(spark, sf_dir))
+
+
+@register("macro_metrics", sql(*METRIC_CTES, body="""
+SELECT (p0 + p1 + p2) / 3e0 AS macro_precision, (r0 + r1 + r2) / 3e0 AS macro_recall FROM (
+  SELECT MAX(precision) FILTER (WHERE class = 0) AS p0, MAX(precision) FILTER (WHERE class = 1) AS p1,
+         MAX(precision) FILTER (WHERE class = 2) AS p2, MAX(recall) FILTER (WHERE class = 0) AS r0,
+         MAX(recall) FILTER (WHERE class = 1) AS r1, MAX(recall) FILTER (WHERE class = 2) AS r2 FROM pr)"""))
+def q_macro_metrics(spark, sf_dir):
+    return E.macro_metrics(_baseline_preds(spark, sf_dir))
+
+
+# ============================================================ scoring (history predictor, exact)
+REQUESTS_SQL = f"""
+requests AS (
+  SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS request, date_trunc('second', ts) AS request_ts,
+    TRUE AS valid, CAST(month(ts) - 1 AS INT) AS "Month", CAST(isodow(ts) AS INT) AS DayOfWeekNum,
+    CAST(CASE WHEN hour(ts) >= 22 OR hour(ts) < 6 THEN 0 WHEN hour(ts) < 12 THEN 1
+         WHEN hour(ts) < 18 THEN 2 ELSE 3 END AS INT) AS DayPeriod
+  FROM events),
+slots AS (SELECT DISTINCT "Month", DayOfWeekNum, DayPeriod FROM requests),
+boxes AS (SELECT CAST(range AS INT) AS Box FROM range(0, {NB})),
+slot_scores AS (
+  SELECT s."Month", s.DayOfWeekNum, s.DayPeriod, b.Box, CAST(COALESCE(l.label, 0) AS INT) AS pred
+  FROM slots s CROSS JOIN boxes b
+  LEFT JOIN labelled l ON l.Box = b.Box AND l."Month" = s."Month" AND l.DayOfWeekNum = s.DayOfWeekNum
+                       AND l.DayPeriod = s.DayPeriod)
+"""
+SCORE_CTES = (O.INCIDENTS_ALL, O.CELLS, REQUESTS_SQL)
+
+
+def _request_features(spark, sf_dir) -> DataFrame:
+    return S.request_features(_requests(spark, sf_dir))
+
+
+def _history_slot_scores(spark, sf_dir, req: DataFrame) -> DataFrame:
+    return S.score_slots_with_history(_labelled(spark, sf_dir), S.distinct_slots(req), GRID)
+
+
+@register("score_time_features", sql(*SCORE_CTES, body="SELECT * FROM requests"))
+def q_score_time_features(spark, sf_dir):
+    return _request_features(spark, sf_dir)
+
+
+@register("valid_or_default_ts", sql(*SCORE_CTES, body="SELECT event_id, request, request_ts FROM requests"))
+def q_valid_or_default_ts(spark, sf_dir):
+    """Request text → timestamp, falling back to a fixed 'now' for invalid text."""
+    import datetime as dt
+    req = _requests(spark, sf_dir)
+    return req.select("event_id", "request",
+                      S.valid_or_default("request", now=dt.datetime(2015, 1, 1, 10, 0)).alias("request_ts"))
+
+
+@register("score_grid", sql(*SCORE_CTES, body="SELECT * FROM slot_scores"))
+def q_score_grid(spark, sf_dir):
+    """Every box for every distinct request slot, scored by slot history."""
+    req = _request_features(spark, sf_dir)
+    return _history_slot_scores(spark, sf_dir, req)
+
+
+@register("score_requests", sql(*SCORE_CTES, body="""
+SELECT r.event_id, r."Month", r.DayOfWeekNum, r.DayPeriod, s.Box, s.pred
+FROM requests r JOIN slot_scores s USING ("Month", DayOfWeekNum, DayPeriod)"""))
+def q_score_requests(spark, sf_dir):
+    """One row per (request, box)."""
+    req = _request_features(spark, sf_dir)
+    scored = S.score_requests(req, _history_slot_scores(spark, sf_dir, req), GRID)
+    return scored.select("event_id", *S.SLOT_KEYS, "Box", "pred")
+
+
+@register("mean_risk", sql(*SCORE_CTES, body=f"""
+SELECT r.event_id, r."Month", r.DayOfWeekNum, r.DayPeriod, m.mean_risk_compat, m.mean_risk, m.boxes
+FROM requests r JOIN (
+  SELECT "Month", DayOfWeekNum, DayPeriod, SUM(pred) / {float(NB - 1)}e0 AS mean_risk_compat,
+         SUM(pred) / COUNT(*) AS mean_risk, COUNT(*) AS boxes
+  FROM slot_scores GROUP BY ALL) m USING ("Month", DayOfWeekNum, DayPeriod)"""))
+def q_mean_risk(spark, sf_dir):
+    req = _request_features(spark, sf_dir)
+    out = S.request_mean_risk(req, _history_slot_scores(spark, sf_dir, req), GRID)
+    return out.select("event_id", *S.SLOT_KEYS, "mean_risk_compat", "mean_risk", "boxes")
+
+
+@register("heatmap_layout", sql(*SCORE_CTES, body=f"""
+SELECT *, Box AS position, CAST(ceil(Box / {float(H.PAGE_WIDTH)}e0) AS INT) AS "row",
+  CAST(CASE WHEN Box % {H.PAGE_WIDTH} = 0 THEN {H.PAGE_WIDTH} ELSE Box % {H.PAGE_WIDTH} END AS INT) AS col,
+  CASE pred WHEN 0 THEN '{H.COLOURS[0]}' WHEN 1 THEN '{H.COLOURS[1]}' WHEN 2 THEN '{H.COLOURS[2]}' END AS colour
+FROM slot_scores WHERE Box > 0"""))
+def q_heatmap_layout(spark, sf_dir):
+    req = _request_features(spark, sf_dir)
+    return H.layout(_history_slot_scores(spark, sf_dir, req), H.PAGE_WIDTH, compat=True)
+
+
+# ============================================================ tree model (rows-only)
+def _trained(spark, sf_dir):
+    labelled = T.materialize(_labelled(spark, sf_dir))
+    return labelled, T.train_tree(labelled)
+
+
+@register("train_tree")
+def q_train_tree(spark, sf_dir):
+    _, model = _trained(spark, sf_dir)
+    return T.tree_summary(spark, model)
+
+
+@register("predict_one")
+def q_predict_one(spark, sf_dir):
+    """The tree on all slots applied to the slot (Box 72, Month 8, DayOfWeekNum 2, DayPeriod 1)."""
+    labelled, model = _trained(spark, sf_dir)
+    probe = labelled.limit(1).select(*[F.lit(v).alias(k) for k, v in zip(CELL_KEYS, (72, 8, 2, 1))])
+    return T.predict(model, probe)
+
+
+def _eval_preds(spark, sf_dir) -> DataFrame:
+    labelled = T.materialize(_labelled(spark, sf_dir))
+    tr, te = C.split_cells(labelled, "hash")
+    return T.predict(T.train_tree(tr), te)
+
+
+@register("evaluate_tree")
+def q_evaluate_tree(spark, sf_dir):
+    return _eval_preds(spark, sf_dir)
+
+
+@register("tree_metrics")
+def q_tree_metrics(spark, sf_dir):
+    return E.metrics_summary(_eval_preds(spark, sf_dir))
+
+
+@register("score_all_boxes")
+def q_score_all_boxes(spark, sf_dir):
+    """The tree applied to every box of every distinct request slot."""
+    _, model = _trained(spark, sf_dir)
+    req = _request_features(spark, sf_dir)
+    return S.score_slots_with_model(model, S.distinct_slots(req), GRID)
+
+
+def _reference_slot_scores(spark, sf_dir):
+    _, model = _trained(spark, sf_dir)
+    req = S.with_fixed_slot(_request_features(spark, sf_dir))
+    return S.score_slots_with_model(model, S.distinct_slots(req), GRID)
+
+
+@register("score_reference_slot")
+def q_score_reference_slot(spark, sf_dir):
+    """What the reference scorer outputs: all boxes at the constant slot (8, 2, 1)."""
+    return _reference_slot_scores(spark, sf_dir).orderBy("Box")
+
+
+@register("risk_csv_roundtrip")
+def q_risk_csv_roundtrip(spark, sf_dir):
+    """``box,pred`` file for the reference slot, written as one file and read back."""
+    path = shared_path(spark, "useroutput-csv")
+    CSV.write_scores(_reference_slot_scores(spark, sf_dir), path, single_file=True)
+    return CSV.read_scores(spark, path)
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Save the tree, load it, score the test slots with both: predictions must agree."""
+    labelled, model = _trained(spark, sf_dir)
+    path = T.save_model(model, shared_path(spark, "model"))
+    loaded = T.load_model(path)
+    _, te = C.split_cells(labelled, "hash")
+    a = T.predict(model, te).withColumnRenamed("prediction", "prediction_saved")
+    b = T.predict(loaded, a).withColumnRenamed("prediction", "prediction_loaded")
+    return b
