@@ -11,12 +11,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from georisk.functions.grid import GridSpec
 from georisk.functions.risk import N_CLASSES, risk_level, safe_ratio
-from georisk.plans.broadcast import bounded_broadcast
 
 
 def _cell(i: int, j: int) -> str:
@@ -93,16 +91,20 @@ def metrics_summary(pred: DataFrame, n_classes: int = N_CLASSES, **kw) -> DataFr
                       (_sum([safe_ratio(tp[i], actual[i]) for i in range(n_classes)]) / k).alias("macro_recall"))
 
 
-def box_baseline(train: DataFrame) -> DataFrame:
-    """Per box: risk level of the box's mean slot count in the training cells."""
-    mean = F.sum("Count") / F.count(F.lit(1))
-    return train.groupBy("Box").agg(risk_level(mean).cast("double").alias("box_level"))
-
-
-def baseline_predictions(train: DataFrame, test: DataFrame, grid: GridSpec = GridSpec()) -> DataFrame:
-    """A SQL-expressible reference predictor: each test slot gets its box's
-    baseline level (0 when the box has no training slot). The per-box table has
-    at most ``grid.n_boxes`` rows, which is what licenses the broadcast."""
-    per_box = bounded_broadcast(box_baseline(train), grid.n_boxes)
-    return (test.join(per_box, "Box", "left")
-            .select(*test.columns, F.coalesce(F.col("box_level"), F.lit(0.0)).alias("prediction")))
+def baseline_predictions(split_cells: DataFrame) -> DataFrame:
+    """A SQL-expressible reference predictor for exact metric checks.
+
+    Every test slot gets the risk level of its box's mean count over the
+    training slots (0 when the box has no training slot). ``split_cells`` is
+    the labelled slot table with a ``split`` column: one window per box
+    (at most 336 slots each, so no box can be hot) reads it once; nothing is
+    joined and the train/test filter cannot be pushed back into the scan.
+    """
+    w = Window.partitionBy("Box")
+    is_train = F.col("split") == F.lit("train")
+    total = F.sum(F.when(is_train, F.col("Count"))).over(w)
+    n = F.count(F.when(is_train, F.lit(1))).over(w)
+    level = F.when(n > 0, risk_level(F.try_divide(total, n))).otherwise(F.lit(0)).cast("double")
+    cols = [c for c in split_cells.columns if c != "split"]
+    return (split_cells.withColumn("prediction", level).filter(~is_train)
+            .select(*cols, "prediction"))

@@ -47,26 +47,38 @@ def value_type(v: F.Column) -> F.Column:
             .otherwise(F.lit("string")))
 
 
+TYPES = ("null", "boolean", "number", "string")
+
+
+def _rows(entries: list[tuple]) -> F.Column:
+    """Explode (name, value...) structs: one row per entry of a one-row aggregate."""
+    return F.explode(F.array(*[F.struct(*vals) for vals in entries]))
+
+
 def cell_type_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, detected type, n) over all string cells of the given columns.
+    """(column, detected type, n) over all cells of the given (string) columns.
 
-    One unpivot (a per-row generator, no shuffle) then a grouped count with
-    map-side combine; no column's values are ever collected.
+    Each cell is classified once in a projection and all (column, type) counts
+    come out of one aggregation (one partial row per task), instead of
+    unpivoting every cell into its own row and shuffling those.
     """
     cols = columns or [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        ids=[], values=cols, variableColumnName="column", valueColumnName="value")
-    return (long.select("column", value_type(F.col("value")).alias("type"))
-            .groupBy("column", "type").agg(F.count(F.lit(1)).alias("n")))
+    typed = df.select(*[value_type(F.col(c).cast("string")).alias(f"t{i}") for i, c in enumerate(cols)])
+    row = typed.agg(*[F.count_if(F.col(f"t{i}") == F.lit(t)).alias(f"n{i}_{t}")
+                      for i in range(len(cols)) for t in TYPES])
+    entries = [(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"n{i}_{t}").alias("n"))
+               for i, c in enumerate(cols) for t in TYPES]
+    return row.select(_rows(entries).alias("r")).select("r.*").filter(F.col("n") > 0)
 
 
 def cast_audit(df: DataFrame, targets: dict[str, str]) -> DataFrame:
     """Per column: non-null values, values the strict cast would reject
     (``try_cast`` gives NULL), and the target type. One aggregation."""
     aggs = []
-    for c, t in targets.items():
-        aggs += [F.count(F.col(c)).alias(f"{c}__n"),
-                 F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(f"{c}__bad")]
+    for i, (c, t) in enumerate(targets.items()):
+        aggs += [F.count(F.col(c)).alias(f"n{i}"),
+                 F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(f"bad{i}")]
     row = df.agg(*aggs)
-    entries = ", ".join(f"'{c}', '{t}', `{c}__n`, `{c}__bad`" for c, t in targets.items())
-    return row.selectExpr(f"stack({len(targets)}, {entries}) AS (column, target_type, n_values, n_rejected)")
+    entries = [(F.lit(c).alias("column"), F.lit(t).alias("target_type"), F.col(f"n{i}").alias("n_values"),
+                F.col(f"bad{i}").alias("n_rejected")) for i, (c, t) in enumerate(targets.items())]
+    return row.select(_rows(entries).alias("r")).select("r.*")

@@ -102,6 +102,19 @@ def score_slots_with_history(labelled: DataFrame, slots: DataFrame, grid: GridSp
             .select(*SLOT_KEYS, "Box", F.coalesce(F.col("label"), F.lit(0.0)).cast("int").alias("pred")))
 
 
+def slot_cube(labelled: DataFrame | None = None, model: DecisionTreeClassificationModel | None = None,
+              grid: GridSpec = GridSpec(), spark=None) -> DataFrame:
+    """Scores of every (slot, box) — 336 * n_boxes rows whatever the data size —
+    by slot history (``labelled``) or by a tree (``model``). Requests are then
+    served by one broadcast join, reading the request table once."""
+    if labelled is not None:
+        slots = all_slots(labelled.sparkSession)
+        return score_slots_with_history(labelled, slots, grid)
+    if model is not None:
+        return score_slots_with_model(model, all_slots(spark), grid)
+    raise ValueError("give labelled slots or a model")
+
+
 def slot_mean_risk(slot_scores: DataFrame, grid: GridSpec = GridSpec()) -> DataFrame:
     """Per slot: sum(pred) / (n_boxes - 1) (the reference's divisor) and the true mean."""
     return slot_scores.groupBy(*SLOT_KEYS).agg(

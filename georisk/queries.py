@@ -66,6 +66,12 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.label_cells(C.box_agg(_incidents(spark, sf_dir)))
 
 
+def _labelled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled slots cut from their lineage (a small table, at most
+    ``slot_bound`` rows): joins against it never reach back into the scan."""
+    return T.materialize(_labelled(spark, sf_dir))
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log: every event's time as request text."""
     ev = read_table(spark, sf_dir, "events")
@@ -165,7 +171,8 @@ typed AS (
 @register("cell_type_profile", sql(O.INCIDENTS_ALL, RAW_SQL, CELL_TYPE_SQL,
                                    body='SELECT "column", type, COUNT(*) AS n FROM typed GROUP BY ALL'))
 def q_cell_type_profile(spark, sf_dir):
-    raw = CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
+    """Cell types of every field of the raw incident CSV."""
+    raw = CSV.read_raw_csv(spark, _export_incidents_csv(spark, sf_dir))
     return Q.cell_type_profile(raw, CSV.RAW_COLUMNS)
 
 
@@ -179,16 +186,24 @@ SELECT * FROM (
   SELECT 'Y', 'double', COUNT(Y), COUNT(*) FILTER (WHERE Y IS NOT NULL AND TRY_CAST(Y AS DOUBLE) IS NULL) FROM raw
 )"""))
 def q_cast_audit(spark, sf_dir):
-    raw = CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
+    raw = CSV.read_raw_csv(spark, _export_incidents_csv(spark, sf_dir))
     return Q.cast_audit(raw, {"IncidntNum": "bigint", "X": "double", "Y": "double"})
 
 
 # ============================================================ CSV sources / sinks
+_EXPORTS: dict[tuple[str, str, str], str] = {}
+
+
 def _export_incidents_csv(spark, sf_dir) -> str:
-    path = shared_path(spark, "incidents-csv")
-    raw = CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
-    CSV.write_csv(raw, path)
-    return path
+    """The raw incident export (every lineitem-derived row as the 13-column CSV),
+    written once per session and data set into the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "incidents")
+    if key not in _EXPORTS:
+        path = shared_path(spark, "incidents-csv")
+        raw = CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
+        CSV.write_csv(raw, path)
+        _EXPORTS[key] = path
+    return _EXPORTS[key]
 
 
 @register("csv_scan", sql(O.INCIDENTS_ALL, body=f"SELECT {O.INCIDENT_SELECT} FROM incidents"))
@@ -356,9 +371,7 @@ METRIC_CTES = (O.INCIDENTS_ALL, O.CELLS, BASELINE_SQL)
 
 
 def _baseline_preds(spark, sf_dir) -> DataFrame:
-    labelled = _labelled(spark, sf_dir)
-    tr, te = C.split_cells(labelled, "hash")
-    return E.baseline_predictions(tr, te, GRID)
+    return E.baseline_predictions(C.mark_split(_labelled(spark, sf_dir)))
 
 
 @register("baseline_predictions", sql(*METRIC_CTES, body="SELECT * EXCLUDE (split) FROM preds"))
@@ -419,7 +432,7 @@ def _request_features(spark, sf_dir) -> DataFrame:
 
 
 def _history_slot_scores(spark, sf_dir, req: DataFrame) -> DataFrame:
-    return S.score_slots_with_history(_labelled(spark, sf_dir), S.distinct_slots(req), GRID)
+    return S.score_slots_with_history(_labelled_table(spark, sf_dir), S.distinct_slots(req), GRID)
 
 
 @register("score_time_features", sql(*SCORE_CTES, body="SELECT * FROM requests"))
@@ -448,8 +461,8 @@ SELECT r.event_id, r."Month", r.DayOfWeekNum, r.DayPeriod, s.Box, s.pred
 FROM requests r JOIN slot_scores s USING ("Month", DayOfWeekNum, DayPeriod)"""))
 def q_score_requests(spark, sf_dir):
     """One row per (request, box)."""
-    req = _request_features(spark, sf_dir)
-    scored = S.score_requests(req, _history_slot_scores(spark, sf_dir, req), GRID)
+    cube = S.slot_cube(labelled=_labelled_table(spark, sf_dir), grid=GRID)
+    scored = S.score_requests(_request_features(spark, sf_dir), cube, GRID)
     return scored.select("event_id", *S.SLOT_KEYS, "Box", "pred")
 
 
@@ -460,8 +473,8 @@ FROM requests r JOIN (
          SUM(pred) / COUNT(*) AS mean_risk, COUNT(*) AS boxes
   FROM slot_scores GROUP BY ALL) m USING ("Month", DayOfWeekNum, DayPeriod)"""))
 def q_mean_risk(spark, sf_dir):
-    req = _request_features(spark, sf_dir)
-    out = S.request_mean_risk(req, _history_slot_scores(spark, sf_dir, req), GRID)
+    cube = S.slot_cube(labelled=_labelled_table(spark, sf_dir), grid=GRID)
+    out = S.request_mean_risk(_request_features(spark, sf_dir), cube, GRID)
     return out.select("event_id", *S.SLOT_KEYS, "mean_risk_compat", "mean_risk", "boxes")
 
 

@@ -23,15 +23,8 @@ from georisk.session import shared_path
 
 def slot_cube(spark: SparkSession, grid: GridSpec, model: DecisionTreeClassificationModel | None = None,
               labelled: DataFrame | None = None) -> DataFrame:
-    """Scores of every (slot, box): by the tree, or by slot history."""
-    slots = S.all_slots(spark)
-    if model is not None:
-        cube = S.score_slots_with_model(model, slots, grid)
-    elif labelled is not None:
-        cube = S.score_slots_with_history(labelled, slots, grid)
-    else:
-        raise ValueError("give a model or labelled slots")
-    return cube.cache()
+    """Scores of every (slot, box), cached for the life of the stream."""
+    return S.slot_cube(labelled=labelled, model=model, grid=grid, spark=spark).cache()
 
 
 def request_stream(spark: SparkSession, folder: str, now: dt.datetime | None = None,
