@@ -27,6 +27,12 @@ CATEGORICAL_ARITY = {"Month": 12, "DayOfWeekNum": 8, "DayPeriod": 4}
 IMPURITY = "gini"
 MAX_DEPTH = 5
 MAX_BINS = 32
+# Seed of the split-candidate sample (the RDD-based API uses 0) and the fixed
+# layout of the training input, so the tree does not depend on cluster size,
+# shuffle settings or AQE: the learner samples rows per partition when there are
+# more than 10,000 of them.
+SEED = 0
+TRAIN_PARTITIONS = 8
 
 
 def features_metadata() -> dict:
@@ -68,14 +74,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def classifier(max_depth: int = MAX_DEPTH, max_bins: int = MAX_BINS, impurity: str = IMPURITY,
-               seed: int | None = None) -> DecisionTreeClassifier:
-    kw = {"seed": seed} if seed is not None else {}
+               seed: int = SEED) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(featuresCol="features", labelCol="label", predictionCol="prediction",
-                                  maxDepth=max_depth, maxBins=max_bins, impurity=impurity, **kw)
+                                  maxDepth=max_depth, maxBins=max_bins, impurity=impurity, seed=seed)
 
 
-def train_tree(labelled: DataFrame, **kw) -> DecisionTreeClassificationModel:
-    return classifier(**kw).fit(assemble(labelled))
+def training_input(labelled: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """Labelled slots in a layout fixed by their keys alone (hash partitions, sorted
+    within each). The table is bounded by the grid, so this shuffle is small."""
+    return labelled.repartition(partitions, *FEATURES).sortWithinPartitions(*FEATURES)
+
+
+def train_tree(labelled: DataFrame, partitions: int = TRAIN_PARTITIONS, **kw) -> DecisionTreeClassificationModel:
+    return classifier(**kw).fit(assemble(training_input(labelled, partitions)))
 
 
 def predict(model: DecisionTreeClassificationModel, df: DataFrame) -> DataFrame:

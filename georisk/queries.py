@@ -223,18 +223,20 @@ def q_csv_split_verbatim(spark, sf_dir):
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+DOC_NULL = "\\N"  # distinct from "", so NULL and empty text both survive the round trip
 
 
 def _export_documents_csv(spark, sf_dir) -> str:
     path = shared_path(spark, "documents-csv")
-    CSV.write_csv(read_table(spark, sf_dir, "documents").select(*DOC_COLUMNS), path)
+    CSV.write_csv(read_table(spark, sf_dir, "documents").select(*DOC_COLUMNS), path, null_value=DOC_NULL)
     return path
 
 
 @register("csv_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def q_csv_roundtrip(spark, sf_dir):
     """Whole documents (quotes, commas, newlines in text) → CSV → back."""
-    return CSV.read_csv(spark, _export_documents_csv(spark, sf_dir), DOC_SCHEMA, multi_line=True)
+    return CSV.read_csv(spark, _export_documents_csv(spark, sf_dir), DOC_SCHEMA, multi_line=True,
+                        null_value=DOC_NULL)
 
 
 @register("malformed_rows")
