@@ -30,8 +30,8 @@ from georisk.sources.incidents import (
     INCIDENT_COLUMNS,
     incidents_from_tables,
     lineitem_incident_base,
+    publish,
     read_table,
-    type_incidents,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,6 +312,26 @@ def q_stage_counts(spark, sf_dir):
     return P.stage_counts(_all_incidents(spark, sf_dir))
 
 
+# ============================================================ SQL-string entry point
+BOX_AGG_SQL = ("SELECT COUNT(*) AS `Count`, Box, Month, DayOfWeekNum, DayPeriod "
+               "FROM incidents GROUP BY Box, Month, DayOfWeekNum, DayPeriod")
+EXTENT_SQL = "SELECT MIN(X) AS min_x, MAX(X) AS max_x, MIN(Y) AS min_y, MAX(Y) AS max_y FROM incidents"
+
+
+@register("box_agg_sql", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM cells"))
+def q_box_agg_sql(spark, sf_dir):
+    """The flagship through ``spark.sql`` on the published ``incidents`` view."""
+    publish(_incidents(spark, sf_dir), "incidents")
+    return spark.sql(BOX_AGG_SQL)
+
+
+@register("profile_extent_sql", sql(O.INCIDENTS_ALL, body="""
+SELECT MIN(X) AS min_x, MAX(X) AS max_x, MIN(Y) AS min_y, MAX(Y) AS max_y FROM incidents"""))
+def q_profile_extent_sql(spark, sf_dir):
+    publish(_incidents(spark, sf_dir), "incidents")
+    return spark.sql(EXTENT_SQL)
+
+
 # ============================================================ slots and labels
 @register("box_agg", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM cells"))
 def q_box_agg(spark, sf_dir):

@@ -13,8 +13,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Sensible defaults for a large cluster; every one of them can be overridden by
-# the caller (or by spark-defaults) because builder.config only fills gaps here.
+# Defaults for sessions this library creates (tests, bench, jobs); a caller's
+# ``extra`` entries replace them. Sessions created elsewhere are used as they are.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -100,13 +100,17 @@ def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", quo
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, header: bool = True, sep: str = ",",
-             multi_line: bool = False, comment: str | None = None, null_value: str = "") -> DataFrame:
+             multi_line: bool = False, comment: str | None = None, null_value: str = "",
+             preview: int | None = None) -> DataFrame:
+    """Delimited input with a fixed schema. ``comment`` skips lines starting with
+    it, blank lines are skipped, ``preview`` keeps only the first n records."""
     r = (spark.read.schema(schema).option("header", header).option("sep", sep)
          .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
          .option("nullValue", null_value))
     if comment:
         r = r.option("comment", comment)
-    return r.csv(path)
+    df = r.csv(path)
+    return df.limit(preview) if preview else df
 
 
 def write_scores(scores: DataFrame, path: str, single_file: bool = True) -> None:

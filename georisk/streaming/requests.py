@@ -14,6 +14,7 @@ import datetime as dt
 
 from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from georisk.functions.grid import GridSpec
@@ -33,7 +34,7 @@ def request_stream(spark: SparkSession, folder: str, now: dt.datetime | None = N
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     lines = reader.load(folder).withColumnRenamed("value", "request")
-    return S.request_features(lines.filter("trim(request) != ''"), "request", lenient=True, now=now)
+    return S.request_features(lines.filter(F.trim(F.col("request")) != ""), "request", lenient=True, now=now)
 
 
 def scored_stream(requests: DataFrame, cube: DataFrame, grid: GridSpec = GridSpec()) -> DataFrame:

@@ -172,3 +172,16 @@ def test_scores_file_roundtrip(spark, tmp_path):
     assert text.startswith("0,0\n1,1\n2,2\n3,0\n") and text.endswith("165,0\n") and text.count("\n") == 166
     back = CSV.read_scores(spark, out)
     assert back.count() == 166 and back.dtypes == [("Box", "int"), ("pred", "int")]
+
+
+def test_preview_limits_records(spark, tmp_path):
+    p = str(tmp_path / "pv" / "x.csv")
+    write_lines(p, ["a,b"] + [f"{i},{i}" for i in range(20)])
+    assert CSV.read_csv(spark, p, "a int, b int", preview=5).count() == 5
+
+
+def test_schema_report(spark):
+    from georisk.operators import profile as P
+    df = spark.createDataFrame([(1, "x")], "Count long, Box string")
+    rows = P.schema_report(spark, df).collect()
+    assert [(r.column, r.type) for r in rows] == [("Count", "bigint"), ("Box", "string")]

@@ -105,3 +105,15 @@ def test_streaming_scorer(spark, labelled_small, tmp_path):
     q2 = ST.start(spark, str(folder), out, cube, checkpoint=str(tmp_path / "ckpt"), now=NOW, available_now=True)
     q2.awaitTermination(120)
     assert spark.read.parquet(out).count() == 4 * 166
+
+
+def test_batch_request_files(spark, tmp_path):
+    from georisk.sources.requests import read_requests
+    d = tmp_path / "req"
+    d.mkdir()
+    (d / "one.txt").write_text("2015-01-01 10:00:00\n\n2015-01-02 23:00:00\n")
+    (d / "two.txt").write_text("2015-01-03 12:00:00\n")
+    req = read_requests(spark, str(d))
+    assert req.count() == 3
+    feats = S.request_features(req, lenient=False).collect()
+    assert sorted((r.DayOfWeekNum, r.DayPeriod) for r in feats) == [(4, 1), (5, 0), (6, 2)]
