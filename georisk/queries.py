@@ -25,6 +25,7 @@ from georisk.operators import score as S
 from georisk.operators import tree as T
 from georisk.session import shared_path
 from georisk.sources import csv as CSV
+from georisk.sources import parquet as PQ
 from georisk.sources.incidents import (
     CELL_KEYS,
     INCIDENT_COLUMNS,
@@ -221,6 +222,15 @@ def q_csv_split_verbatim(spark, sf_dir):
     return CSV.read_incidents_csv(spark, path, GRID, verbatim=True).select(*INCIDENT_COLUMNS)
 
 
+@register("parquet_roundtrip", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM cells"))
+def q_parquet_roundtrip(spark, sf_dir):
+    """Every incident (in or out of the box) written as year-partitioned Parquet,
+    read back through the pushable box filter, counted per slot."""
+    path = shared_path(spark, "incidents-parquet")
+    PQ.write_incidents(_all_incidents(spark, sf_dir).drop("in_bounds"), path)
+    return C.box_agg(PQ.read_incidents(spark, path, GRID))
+
+
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 DOC_NULL = "\\N"  # distinct from "", so NULL and empty text both survive the round trip

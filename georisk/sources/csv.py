@@ -84,7 +84,8 @@ def incidents_to_raw(incidents: DataFrame) -> DataFrame:
         F.date_format("Timestamp", INCIDENT_TS_PATTERN.split(" ")[1]).alias("Time"),
         "PdDistrict", "Resolution", "Address",
         F.col("X").cast("string").alias("X"), F.col("Y").cast("string").alias("Y"),
-        F.format_string("(%s, %s)", F.col("Y").cast("string"), F.col("X").cast("string")).alias("Location"),
+        F.concat(F.lit("("), F.col("Y").cast("string"), F.lit(", "), F.col("X").cast("string"),
+                 F.lit(")")).alias("Location"),
         "PdId")
 
 

@@ -75,3 +75,17 @@ def test_bbox_prefilter_reaches_parquet(spark, tmp_path):
     assert "GreaterThanOrEqual(X" in pushed and "LessThanOrEqual(Y" in pushed
     exact = spark.read.parquet(path).filter(g.in_bounds("X", "Y")).count()
     assert df.count() == exact
+
+
+def test_parquet_sink_prunes_years_and_pushes_box(spark, tmp_path):
+    from georisk.sources import parquet as PQ
+    g = GridSpec()
+    path = str(tmp_path / "pq")
+    everything = incidents_from_tables(spark, SF0001, keep_out_of_bounds=True).drop("in_bounds")
+    PQ.write_incidents(everything, path)
+    df = PQ.read_incidents(spark, path, g, years=(1994, 1995))
+    plan = I.plan_text(df, "formatted")
+    assert re.search(r"PartitionFilters: \[[^\]]*Year", plan)
+    assert "GreaterThanOrEqual(X" in " ".join(I.pushed_filters(df))
+    want = incidents_from_tables(spark, SF0001).filter("year(Timestamp) BETWEEN 1994 AND 1995")
+    assert df.count() == want.count() > 0
