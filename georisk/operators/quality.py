@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from georisk.sources.csv import SPLIT_OUTSIDE_QUOTES
 
 # Fixed values for cell typing (same rules as the browser CSV reader):
 # exactly "true" / "false" → boolean; a number matches
@@ -21,11 +20,24 @@ def bbox_audit(all_incidents: DataFrame) -> DataFrame:
     return all_incidents.groupBy("in_bounds").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _count_char(s: F.Column, ch: str) -> F.Column:
+    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+
+
+def fields_outside_quotes(line: F.Column) -> F.Column:
+    """Number of fields of a line with balanced quotes: commas left after removing
+    every quoted segment, plus one. Linear in the line length; it equals the size
+    of the split on commas outside quotes, whose look-ahead rescans the rest of
+    the line at every comma (quadratic on long lines)."""
+    bare = F.regexp_replace(line, r'"[^"]*"', "")
+    return _count_char(bare, ",") + F.lit(1)
+
+
 def line_status(line: F.Column, expected_fields: int) -> F.Column:
     """'OK' or the first error of a CSV line: an odd number of quote characters
     means an unterminated quoted field; otherwise the field count decides."""
-    n_quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    n_fields = F.size(F.split(line, SPLIT_OUTSIDE_QUOTES, -1))
+    n_quotes = _count_char(line, '"')
+    n_fields = fields_outside_quotes(line)
     return (F.when(n_quotes % 2 == 1, F.lit("MissingQuotes"))
             .when(n_fields > expected_fields, F.lit("TooManyFields"))
             .when(n_fields < expected_fields, F.lit("TooFewFields"))

@@ -185,3 +185,19 @@ def test_schema_report(spark):
     df = spark.createDataFrame([(1, "x")], "Count long, Box string")
     rows = P.schema_report(spark, df).collect()
     assert [(r.column, r.type) for r in rows] == [("Count", "bigint"), ("Box", "string")]
+
+
+def test_linear_field_count_equals_lookahead_split(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=30, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(['a', ',', '""', '"x,y"', ' ', 'q"', '"']), max_size=12), min_size=1, max_size=20))
+    def check(parts):
+        lines = ["".join(p) for p in parts]
+        lines = [l for l in lines if l.count('"') % 2 == 0] or ["a,b"]
+        df = spark.createDataFrame([(l,) for l in lines], "value string")
+        got = df.select(Q.fields_outside_quotes(F.col("value")).alias("a"),
+                        F.size(F.split("value", CSV.SPLIT_OUTSIDE_QUOTES, -1)).alias("b")).collect()
+        assert all(r.a == r.b for r in got)
+    check()

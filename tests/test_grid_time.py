@@ -98,3 +98,18 @@ def test_timestamps_are_wall_clock_in_any_session_zone(spark):
 def test_fixed_values_documented():
     assert (G.DEFAULT_MIN_X, G.DEFAULT_MAX_X, G.DEFAULT_MIN_Y, G.DEFAULT_MAX_Y) == (-122.516, -122.360, 37.700, 37.809)
     assert TF.INCIDENT_TS_PATTERN == "MM/dd/yyyy HH:mm"
+
+
+def test_box_id_column_equals_scalar_rule(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    g = GridSpec()
+
+    @settings(max_examples=20, deadline=None)
+    @given(st.lists(st.tuples(st.floats(g.min_x, g.max_x), st.floats(g.min_y, g.max_y)), min_size=1, max_size=50))
+    def check(points):
+        df = spark.createDataFrame(points, "X double, Y double")
+        got = [r.b for r in df.select(g.box_id("X", "Y").alias("b")).collect()]
+        assert got == [g.box_of(x, y) for x, y in points]
+        assert all(0 <= b < g.n_boxes for b in got)
+    check()
