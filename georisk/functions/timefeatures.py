@@ -23,14 +23,38 @@ def parse_ts(text: Column | str, pattern: str = INCIDENT_TS_PATTERN, lenient: bo
     """String → timestamp_ntz. Strict mode raises on a bad value (ANSI); lenient gives NULL.
 
     Spark's parser is not lenient like ``SimpleDateFormat``: month 13 or day 45
-    do not roll over, they are errors (strict) or NULL (lenient).
+    do not roll over, they are errors (strict) or NULL (lenient). Lenient mode
+    only uses ``try_to_timestamp`` to decide validity; the value itself is
+    parsed without a zone, so a wall clock inside a DST gap of the session zone
+    is kept as written.
     """
     t = _c(text)
+    exact = F.to_timestamp_ntz(t, F.lit(pattern))
     if lenient:
-        # try_to_timestamp yields the session timestamp type; only a local wall clock
-        # is kept, and parsing / casting both use the session zone, so it round-trips.
-        return F.try_to_timestamp(t, F.lit(pattern)).cast("timestamp_ntz")
-    return F.to_timestamp_ntz(t, F.lit(pattern))
+        return F.when(F.try_to_timestamp(t, F.lit(pattern)).isNotNull(), exact)
+    return exact
+
+
+_TOKENS = {"yyyy": (F.year, 4), "MM": (F.month, 2), "dd": (F.dayofmonth, 2), "HH": (F.hour, 2),
+           "mm": (F.minute, 2), "ss": (F.second, 2)}
+
+
+def format_ntz(ts: Column | str, pattern: str) -> Column:
+    """Format a timestamp_ntz with the numeric tokens yyyy MM dd HH mm ss (anything
+    else is literal), from its fields: unlike ``date_format`` nothing passes
+    through the session zone, so no wall clock shifts across a DST gap."""
+    t = _c(ts)
+    parts, i = [], 0
+    while i < len(pattern):
+        for tok, (fn, width) in _TOKENS.items():
+            if pattern.startswith(tok, i):
+                parts.append(F.lpad(fn(t).cast("string"), width, "0"))
+                i += len(tok)
+                break
+        else:
+            parts.append(F.lit(pattern[i]))
+            i += 1
+    return F.concat(*parts)
 
 
 def parse_date_time(date: Column | str, time: Column | str, lenient: bool = False) -> Column:
@@ -55,7 +79,8 @@ def dow_num(ts: Column | str) -> Column:
 
 
 def dow_name(ts: Column | str) -> Column:
-    return F.date_format(_c(ts), "EEEE")
+    """English weekday name, from the (zone-free) calendar date."""
+    return F.date_format(F.to_date(_c(ts)), "EEEE")
 
 
 def month0(ts: Column | str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from georisk import oracle_sql as O
 from georisk.functions.grid import GridSpec
-from georisk.functions.timefeatures import REQUEST_TS_PATTERN, compat_date
+from georisk.functions.timefeatures import REQUEST_TS_PATTERN, compat_date, format_ntz
 from georisk.operators import cells as C
 from georisk.operators import evaluate as E
 from georisk.operators import heatmap as H
@@ -76,7 +76,7 @@ def _labelled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log: every event's time as request text."""
     ev = read_table(spark, sf_dir, "events")
-    return ev.select("event_id", F.date_format("ts", REQUEST_TS_PATTERN).alias("request"))
+    return ev.select("event_id", format_ntz("ts", REQUEST_TS_PATTERN).alias("request"))
 
 
 # ============================================================ scan, typing, filter

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from georisk.functions.grid import GridSpec
-from georisk.functions.timefeatures import INCIDENT_TS_PATTERN, parse_date_time
+from georisk.functions.timefeatures import INCIDENT_TS_PATTERN, format_ntz, parse_date_time
 from georisk.sources.incidents import type_incidents
 
 # The incident CSV header (13 columns, in file order) and the
@@ -80,8 +80,8 @@ def incidents_to_raw(incidents: DataFrame) -> DataFrame:
     """Render typed incidents back to the 13 raw string columns of the export."""
     return incidents.select(
         F.col("IncidntNum").cast("string").alias("IncidntNum"), "Category", "Descript", "DayOfWeek",
-        F.date_format("Timestamp", INCIDENT_TS_PATTERN.split(" ")[0]).alias("Date"),
-        F.date_format("Timestamp", INCIDENT_TS_PATTERN.split(" ")[1]).alias("Time"),
+        format_ntz("Timestamp", INCIDENT_TS_PATTERN.split(" ")[0]).alias("Date"),
+        format_ntz("Timestamp", INCIDENT_TS_PATTERN.split(" ")[1]).alias("Time"),
         "PdDistrict", "Resolution", "Address",
         F.col("X").cast("string").alias("X"), F.col("Y").cast("string").alias("Y"),
         F.concat(F.lit("("), F.col("Y").cast("string"), F.lit(", "), F.col("X").cast("string"),

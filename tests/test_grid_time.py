@@ -91,6 +91,13 @@ def test_timestamps_are_wall_clock_in_any_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
         r = df.select(TF.hour_of(TF.parse_date_time("Date", "Time")).alias("h")).first()
         assert r.h == 2  # a DST gap in that zone; timestamp_ntz keeps the wall clock
+        r = df.select(TF.parse_date_time("Date", "Time", lenient=True).alias("t")).first()
+        assert r.t == dt.datetime(2015, 3, 8, 2, 30)
+        ts = F.to_timestamp_ntz(F.lit("2015-03-08 02:30:00"))
+        r = spark.range(1).select(TF.format_ntz(ts, "MM/dd/yyyy HH:mm").alias("a"),
+                                  TF.format_ntz(ts, "yyyy-MM-dd HH:mm:ss").alias("b"),
+                                  TF.dow_name(ts).alias("d")).first()
+        assert (r.a, r.b, r.d) == ("03/08/2015 02:30", "2015-03-08 02:30:00", "Sunday")
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
 
