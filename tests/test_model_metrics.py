@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from georisk.operators import cells as C
 from georisk.operators import evaluate as E
