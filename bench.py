@@ -33,19 +33,21 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     from georisk.queries import QUERIES
-    from georisk.session import build_session
+    from georisk.session import build_session, scale_conf
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-                          extra={"spark.driver.memory": "8g",
-                                 # ~40 MB of input on 8 cores: smaller splits keep all cores busy
-                                 "spark.sql.files.maxPartitionBytes": str(16 << 20)})
+    input_bytes = sum(os.path.getsize(os.path.join(sf_dir, f)) for f in os.listdir(sf_dir))
+    conf = scale_conf(input_bytes, cpus)
+    if os.environ.get("BENCH_SPLIT_BYTES"):
+        conf["spark.sql.files.maxPartitionBytes"] = os.environ["BENCH_SPLIT_BYTES"]
+    spark = build_session(f"local[{cpus}]", extra={"spark.driver.memory": "8g", **conf})
     warm = "/root/testdata/sf0.001"
     if os.path.isdir(warm):  # steady state: generated code compiled and JIT-warmed once
-        for name in HEADLINE:
+        for name in [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE:
             run(QUERIES[name](spark, warm))
 
+    names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     times: dict[str, float] = {}
-    for name in HEADLINE:
+    for name in names:
         best = None
         for _ in range(repeat):
             t0 = time.perf_counter()

@@ -44,6 +44,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, waves: int = 4) -> dict[str, str]:
+    """Split and shuffle sizing from the input size and the cluster's cores.
+
+    Scan splits aim at ``waves`` rounds of tasks over all cores, clamped to
+    [16 MB, 1 GB]: every scan here streams vectorized batches into a partial
+    aggregate whose hash map is bounded by the grid, so large splits only cut
+    task overhead (100 TB on 8,000 cores → 1 GB splits, ~100k tasks). Shuffles
+    carry partial aggregates, so a few partitions per core with AQE coalescing
+    toward 64 MB is enough.
+    """
+    split = max(16 << 20, min(1 << 30, input_bytes // max(1, total_cores * waves)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.files.openCostInBytes": str(min(split, 4 << 20)),
+        "spark.sql.shuffle.partitions": str(max(8, 2 * total_cores)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(64 << 20),
+    }
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
