@@ -249,12 +249,29 @@ def q_csv_roundtrip(spark, sf_dir):
                         null_value=DOC_NULL)
 
 
-@register("malformed_rows")
+MALFORMED_SQL = r"""
+WITH rec AS (
+  SELECT '"' || CAST(doc_id AS VARCHAR) || '","' || replace(text, '"', '""') || '","' || replace(lang, '"', '""')
+         || '","' || replace(source, '"', '""') || '","' || CAST(n_chars AS VARCHAR) || '"' AS r FROM documents),
+lines AS (SELECT unnest(string_split(r, chr(10))) AS line FROM rec),
+bare AS (SELECT line, regexp_replace(line, '"[^"]*"', '', 'g') AS b FROM lines WHERE line <> ''),
+st AS (
+  SELECT CASE WHEN (length(line) - length(replace(line, '"', ''))) % 2 = 1 THEN 'MissingQuotes'
+              WHEN length(b) - length(replace(b, ',', '')) + 1 > 5 THEN 'TooManyFields'
+              WHEN length(b) - length(replace(b, ',', '')) + 1 < 5 THEN 'TooFewFields'
+              ELSE 'OK' END AS status FROM bare)
+SELECT status, COUNT(*) AS n FROM st GROUP BY status"""
+
+
+@register("malformed_rows", MALFORMED_SQL)
 def q_malformed_rows(spark, sf_dir):
-    """The documents CSV read as plain lines: quoted newlines break records apart,
-    which the line audit reports as MissingQuotes / TooFewFields."""
-    lines = spark.read.text(_export_documents_csv(spark, sf_dir))
-    return Q.malformed_rows(lines, expected_fields=len(DOC_COLUMNS))
+    """Every document exported as a fully quoted, header-less CSV (so each line of
+    the file is fixed by the data alone), then read back as plain lines: quoted
+    newlines break records apart, which the line audit reports as MissingQuotes /
+    TooFewFields / TooManyFields."""
+    path = shared_path(spark, "documents-quoted-csv")
+    CSV.write_csv(read_table(spark, sf_dir, "documents").select(*DOC_COLUMNS), path, header=False, quote_all=True)
+    return Q.malformed_rows(spark.read.text(path), expected_fields=len(DOC_COLUMNS))
 
 
 # ============================================================ profiles
