@@ -1,9 +1,9 @@
 """Registered queries: name → (spark, sf_dir) → DataFrame, and the matching DuckDB oracle.
 
 Every query reads the driver's tables in full (or what Spark derives from
-them); none runs on made-up input, caps rows or samples. Queries without an
-oracle (tree training and anything whose values depend on a file Spark
-wrote) are checked by row count here and by invariants in ``tests/``.
+them); none runs on made-up input, caps rows or samples. The queries without
+an oracle are the ones whose values come from the trained tree; the driver
+checks their row counts and ``tests/`` their invariants.
 """
 
 from __future__ import annotations
