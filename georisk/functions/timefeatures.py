@@ -57,6 +57,14 @@ def format_ntz(ts: Column | str, pattern: str) -> Column:
     return F.concat(*parts)
 
 
+def ntz_literal(value) -> Column:
+    """A Python datetime as a timestamp_ntz literal, built from its fields (a plain
+    ``lit(datetime)`` goes through the Python process's and the session's zones)."""
+    secs = value.second + value.microsecond / 1_000_000
+    return F.make_timestamp_ntz(F.lit(value.year), F.lit(value.month), F.lit(value.day), F.lit(value.hour),
+                                F.lit(value.minute), F.lit(secs).cast("decimal(16,6)"))
+
+
 def parse_date_time(date: Column | str, time: Column | str, lenient: bool = False) -> Column:
     return parse_ts(F.concat_ws(" ", _c(date), _c(time)), INCIDENT_TS_PATTERN, lenient)
 

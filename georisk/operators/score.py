@@ -1,11 +1,11 @@
 """Scoring: request timestamps → time slot → one risk level per box.
 
 A score depends only on (Box, Month, DayOfWeekNum, DayPeriod), and there are
-at most 12 * 7 * 4 = 336 slots. So any number of requests is first reduced to
-its distinct slots (map-side combine, ≤ 336 rows per task), only those slots
-are expanded to all boxes and scored (≤ 336 * n_boxes rows, whatever the
-request volume), and per-request results join back through a broadcast whose
-size bound is that same grid-derived number.
+at most 12 * 7 * 4 = 336 slots. So the model (or the slot history) scores the
+whole cube of slots x boxes once (336 * n_boxes rows, whatever the request
+volume) and requests join it through a broadcast whose size bound is that same
+grid-derived number: the request table is read once and never shuffled.
+``distinct_slots`` serves reports over the slots that requests actually hit.
 """
 
 from __future__ import annotations
@@ -17,7 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from georisk.functions.grid import GridSpec
-from georisk.functions.timefeatures import REQUEST_TS_PATTERN, day_period, dow_num, month0, parse_ts
+from georisk.functions.timefeatures import (
+    REQUEST_TS_PATTERN,
+    day_period,
+    dow_num,
+    month0,
+    ntz_literal,
+    parse_ts,
+)
 from georisk.operators import tree as T
 from georisk.operators.cells import slot_bound
 from georisk.plans.broadcast import bounded_broadcast
@@ -43,7 +50,7 @@ def valid_or_default(text: Column | str, pattern: str = REQUEST_TS_PATTERN,
     elif isinstance(now, Column):
         fallback = now
     else:
-        fallback = F.lit(now).cast("timestamp_ntz")
+        fallback = ntz_literal(now)
     return F.coalesce(parse_ts(text, pattern, lenient=True), fallback)
 
 

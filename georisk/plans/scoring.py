@@ -24,8 +24,8 @@ def score_texts(requests: DataFrame, model: DecisionTreeClassificationModel, gri
     req = S.request_features(requests, text_col, lenient=lenient, now=now)
     if fixed_slot is not None:
         req = S.with_fixed_slot(req, fixed_slot)
-    slot_scores = S.score_slots_with_model(model, S.distinct_slots(req), grid)
-    return S.score_requests(req, slot_scores, grid), S.request_mean_risk(req, slot_scores, grid)
+    cube = S.slot_cube(model=model, grid=grid, spark=requests.sparkSession)
+    return S.score_requests(req, cube, grid), S.request_mean_risk(req, cube, grid)
 
 
 def write_single_request(scores: DataFrame, path: str) -> None:

@@ -140,3 +140,14 @@ def test_finer_grid_end_to_end(spark):
     assert C.slot_bound(fine) > C.slot_bound(GridSpec())
     rows = inc.select("X", "Y", "Box").collect()
     assert all(r.Box == fine.box_of(r.X, r.Y) for r in rows)
+
+
+def test_now_literal_ignores_zones(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        req = spark.createDataFrame([("garbage",)], "request string")
+        got = S.request_features(req, now=dt.datetime(2016, 7, 4, 19, 30, 5, 250000)).first()
+        assert got.request_ts == dt.datetime(2016, 7, 4, 19, 30, 5, 250000) and got.DayPeriod == 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
