@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from georisk.functions.grid import GridSpec
+from georisk.operators import cells as C
 from georisk.operators import profile as P
 from georisk.operators import tree as T
 from georisk.plans import scoring, training
@@ -49,12 +50,15 @@ def train_job(spark: SparkSession, source: str, model_path: str, fmt: str = "csv
               lenient: bool = False) -> training.TrainingResult:
     show = _show(report)
     incidents = publish(load_incidents(spark, source, fmt, grid, lenient=lenient), "incidents")
-    show("extent", P.profile_extent(incidents))
-    show("ranges", P.profile_ranges(incidents))
-    show("count by weekday", P.count_by(incidents, "DayOfWeekNum").orderBy("DayOfWeekNum"))
-    show("time span", P.profile_time(incidents))
-    show("per (Box, Date) counts", P.box_date_stats(P.box_date_counts(incidents)))
-    res = training.train(incidents, split_mode, model_path)
+    # the only pass over the incidents: everything below reads this bounded aggregate
+    cube = T.materialize(P.profile_cube(incidents))
+    show("extent", P.cube_extent(cube))
+    show("ranges", P.profile_ranges(cube))
+    show("count by weekday", P.cube_count_by(cube, "DayOfWeekNum").orderBy("DayOfWeekNum"))
+    show("time span", P.cube_time(cube))
+    show("per (Box, Date) counts", P.box_date_stats(P.cube_count_by(cube, "Box", "Date")))
+    labelled = T.materialize(C.label_cells(P.cube_cells(cube)))
+    res = training.train_labelled(labelled, split_mode, model_path)
     show("slots per label", res.labelled.groupBy("label").count().orderBy("label"))
     show("test error", res.error())
     show("precision / recall", res.per_class().orderBy("class"))

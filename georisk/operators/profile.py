@@ -65,6 +65,41 @@ def stage_counts(all_incidents: DataFrame) -> DataFrame:
     )
 
 
+CUBE_KEYS = ["Box", "Date", "Hour", "Month", "DayOfWeekNum", "DayPeriod", "DayOfWeek"]
+
+
+def profile_cube(incidents: DataFrame) -> DataFrame:
+    """One aggregate from which every profile and the slot counts derive.
+
+    Grouped by (Box, Date, Hour) plus attributes that depend on them, so its
+    size is bounded by boxes x days x 24 (about 19M rows for 13 years), not by
+    the incident count; one scan replaces one scan per profile.
+    """
+    return incidents.groupBy(*CUBE_KEYS).agg(
+        _n().alias("n"), F.min("X").alias("min_x"), F.max("X").alias("max_x"),
+        F.min("Y").alias("min_y"), F.max("Y").alias("max_y"),
+        F.min("Timestamp").alias("min_ts"), F.max("Timestamp").alias("max_ts"))
+
+
+def cube_extent(cube: DataFrame) -> DataFrame:
+    return cube.agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"),
+                    F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"))
+
+
+def cube_time(cube: DataFrame) -> DataFrame:
+    return cube.agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+
+
+def cube_count_by(cube: DataFrame, *cols: str) -> DataFrame:
+    return cube.groupBy(*cols).agg(F.sum("n").alias("n"))
+
+
+def cube_cells(cube: DataFrame) -> DataFrame:
+    """The slot counts of :func:`georisk.operators.cells.box_agg`, from the cube."""
+    return (cube.groupBy(*CELL_KEYS).agg(F.sum("n").alias("Count"))
+            .select("Count", *CELL_KEYS))
+
+
 def preview(df: DataFrame, order: list, n: int = 5) -> DataFrame:
     """First ``n`` rows in a fixed order (a top-k: per-task top-n, then one merge)."""
     return df.orderBy(*order).limit(n)

@@ -45,7 +45,12 @@ def labelled_slots(incidents: DataFrame, low_below: int = 5, medium_below: int =
 
 def train(incidents: DataFrame, split_mode: str = "hash", model_path: str | None = None,
           **tree_kw) -> TrainingResult:
-    labelled = labelled_slots(incidents)
+    return train_labelled(labelled_slots(incidents), split_mode, model_path, **tree_kw)
+
+
+def train_labelled(labelled: DataFrame, split_mode: str = "hash", model_path: str | None = None,
+                   **tree_kw) -> TrainingResult:
+    """Training and evaluation from already materialized labelled slots."""
     model = T.train_tree(labelled, **tree_kw)
     if model_path:
         T.save_model(model, model_path)

@@ -331,6 +331,16 @@ def q_box_date_stats_compat(spark, sf_dir):
     return P.box_date_stats(P.box_date_counts(_incidents(spark, sf_dir, "compat")))
 
 
+@register("profile_cube", sql(O.INCIDENTS_ALL, body="""
+SELECT Box, "Date", "Hour", "Month", DayOfWeekNum, DayPeriod, DayOfWeek, COUNT(*) AS n,
+  MIN(X) AS min_x, MAX(X) AS max_x, MIN(Y) AS min_y, MAX(Y) AS max_y,
+  MIN("Timestamp") AS min_ts, MAX("Timestamp") AS max_ts
+FROM incidents GROUP BY ALL"""))
+def q_profile_cube(spark, sf_dir):
+    """The single aggregate every profile of the train job derives from."""
+    return P.profile_cube(_incidents(spark, sf_dir))
+
+
 @register("stage_counts", sql(O.INCIDENTS_ALL, O.CELLS, body="""
 SELECT COUNT(*) AS raw_rows, COUNT(*) FILTER (WHERE in_bounds) AS kept_rows,
   COUNT(*) FILTER (WHERE NOT in_bounds) AS rejected_rows, (SELECT COUNT(*) FROM cells) AS cells

@@ -201,3 +201,17 @@ def test_linear_field_count_equals_lookahead_split(spark):
                         F.size(F.split("value", CSV.SPLIT_OUTSIDE_QUOTES, -1)).alias("b")).collect()
         assert all(r.a == r.b for r in got)
     check()
+
+
+def test_profile_cube_reproduces_direct_profiles(spark):
+    from georisk.operators import profile as P
+    inc = incidents_from_tables(spark, SF001)
+    cube = P.profile_cube(inc)
+    assert P.cube_extent(cube).first() == P.profile_extent(inc).first()
+    assert P.cube_time(cube).first() == P.profile_time(inc).first()
+    assert P.profile_ranges(cube).first() == P.profile_ranges(inc).first()
+    assert sorted(P.cube_count_by(cube, "DayOfWeek").collect()) == sorted(P.count_by(inc, "DayOfWeek").collect())
+    assert P.box_date_stats(P.cube_count_by(cube, "Box", "Date")).first() == \
+        P.box_date_stats(P.box_date_counts(inc)).first()
+    a, b = P.cube_cells(cube), C.box_agg(inc)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
