@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "incidents", "box_agg", "stage_counts", "profile_ranges", "count_by_dow_num", "box_date_stats",
-    "box_date_stats_compat", "train_test_split", "confusion_matrix", "macro_metrics",
+    "box_date_stats_compat", "profile_cube", "train_test_split", "confusion_matrix", "macro_metrics",
     "train_tree", "tree_metrics", "score_requests", "mean_risk", "heatmap_layout",
     "csv_scan", "cell_type_profile", "csv_roundtrip", "parquet_roundtrip",
 ]
