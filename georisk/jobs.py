@@ -73,8 +73,10 @@ def score_job(spark: SparkSession, model_path: str, requests_path: str, out_path
     """Score every request. With ``single_file`` (one request) the reference's
     ``box,pred`` file is written; otherwise a Parquet table of (request, Box, pred)."""
     model = T.load_model(model_path)
-    per_box, mean = scoring.score_texts(read_requests(spark, requests_path), model, grid,
-                                        fixed_slot=fixed_slot, now=now)
+    requests = read_requests(spark, requests_path)
+    if single_file and requests.limit(2).count() != 1:
+        raise ValueError("the box,pred file holds one request; use table output for several")
+    per_box, mean = scoring.score_texts(requests, model, grid, fixed_slot=fixed_slot, now=now)
     _show(report)("mean risk per request", mean.select("request", "mean_risk_compat", "mean_risk"))
     if single_file:
         scoring.write_single_request(per_box, out_path)

@@ -26,6 +26,9 @@ def test_train_then_score(spark, tmp_path):
         lines = f.read().splitlines()
     assert len(lines) == 166 and lines[0].startswith("0,") and lines[-1].startswith("165,")
     (req / "more.txt").write_text("2015-01-02 23:00:00\n2015-06-01 12:00:00\n")
+    import pytest
+    with pytest.raises(ValueError):
+        jobs.score_job(spark, str(tmp_path / "model"), str(req), str(tmp_path / "x"), report=None)
     table = str(tmp_path / "scores")
     jobs.score_job(spark, str(tmp_path / "model"), str(req), table, single_file=False, report=None)
     assert spark.read.parquet(table).count() == 3 * 166
