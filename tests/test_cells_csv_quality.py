@@ -215,3 +215,22 @@ def test_profile_cube_reproduces_direct_profiles(spark):
         P.box_date_stats(P.box_date_counts(inc)).first()
     a, b = P.cube_cells(cube), C.box_agg(inc)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_verbatim_split_reproduces_published_parsed_rows(spark):
+    # the published run printed each parsed row joined with ';' (quotes kept)
+    want = [
+        '150470464;OTHER OFFENSES;"DRIVERS LICENSE, SUSPENDED OR REVOKED";Friday;05/29/2015;23:40;MISSION;'
+        '"ARREST, BOOKED";19TH ST / SHOTWELL ST;-122.415929849548;37.7604330003754;'
+        '"(37.7604330003754, -122.415929849548)";15047046465016',
+        '150470420;NON-CRIMINAL;"AIDED CASE, MENTAL DISTURBED";Friday;05/29/2015;23:36;INGLESIDE;NONE;'
+        '4900 Block of MISSION ST;-122.438695075365;37.7196920262929;"(37.7196920262929, -122.438695075365)";'
+        '15047042064020',
+        '150470680;LARCENY/THEFT;GRAND THEFT PICKPOCKET;Friday;05/29/2015;23:30;NORTHERN;NONE;'
+        '1200 Block of POLK ST;-122.420326993863;37.7884521578132;"(37.7884521578132, -122.420326993863)";'
+        '15047068006113',
+    ]
+    lines = spark.createDataFrame([(HEADER,)] + [(l,) for l in README_LINES], "value string")
+    fields = CSV.split_verbatim(lines)
+    got = [r.s for r in fields.select(F.concat_ws(";", *CSV.RAW_COLUMNS).alias("s")).collect()]
+    assert got == want
