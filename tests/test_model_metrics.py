@@ -123,3 +123,13 @@ def test_baseline_predictor_matches_brute_force(spark, labelled_mid):
     got = E.baseline_predictions(split).select("Box", "prediction").collect()
     assert len(got) == sum(1 for r in rows if r.split == "test")
     assert all(r.prediction == level(r.Box) for r in got)
+
+
+def test_published_labelled_points(spark):
+    rows = [(28, 72, 8, 2, 1), (30, 38, 1, 7, 1), (53, 111, 2, 6, 0), (19, 78, 9, 5, 3), (10, 79, 3, 4, 1)]
+    cells = spark.createDataFrame(rows, "Count long, Box int, Month int, DayOfWeekNum int, DayPeriod int")
+    got = [(r.label, r.features.toArray().tolist()) for r in T.assemble(C.label_cells(cells)).collect()]
+    assert got == [(1.0, [72.0, 8.0, 2.0, 1.0]), (2.0, [38.0, 1.0, 7.0, 1.0]), (2.0, [111.0, 2.0, 6.0, 0.0]),
+                   (1.0, [78.0, 9.0, 5.0, 3.0]), (1.0, [79.0, 3.0, 4.0, 1.0])]
+    meta = T.assemble(C.label_cells(cells)).schema["features"].metadata["ml_attr"]["attrs"]
+    assert {a["name"]: a["num_vals"] for a in meta["nominal"]} == {"Month": 12, "DayOfWeekNum": 8, "DayPeriod": 4}
