@@ -2,7 +2,7 @@
 
 Usage: python -u scripts/plan_report.py [--sf-dir DIR] > PLANS.md
 Counts table scans, shuffle exchanges, broadcast exchanges, sorts and Python
-evaluation nodes in the executed (AQE final) plan.
+evaluation nodes in the physical plan (before AQE's run-time changes).
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ def main():
     from georisk.session import build_session
     spark = build_session("local[8]", 8)
     print("# Physical plans of the registered queries\n")
-    print(f"Generated by `scripts/plan_report.py` on `{a.sf_dir}` (AQE final plans; shapes do not depend on"
+    print(f"Generated by `scripts/plan_report.py` on `{a.sf_dir}` (physical plans as planned before AQE's run-time re-optimization, which may coalesce partitions or"
+          " switch a join to broadcast; shapes do not depend on"
           " the scale). Scans count Parquet/CSV/text file scans of driver tables and of files the query"
           " wrote; `ckpt` = reads of a checkpointed table. Shuffle = hash/range/single-partition exchanges"
           " (AQE may coalesce their partitions); broadcast sides are bounded by the grid (see README).\n")
