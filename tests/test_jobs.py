@@ -32,3 +32,12 @@ def test_train_then_score(spark, tmp_path):
     table = str(tmp_path / "scores")
     jobs.score_job(spark, str(tmp_path / "model"), str(req), table, single_file=False, report=None)
     assert spark.read.parquet(table).count() == 3 * 166
+
+
+def test_train_from_parquet(spark, tmp_path):
+    from georisk.sources import parquet as PQ
+    from georisk.sources.incidents import incidents_from_tables
+    src = str(tmp_path / "pq")
+    PQ.write_incidents(incidents_from_tables(spark, SF0001, keep_out_of_bounds=True).drop("in_bounds"), src)
+    res = jobs.train_job(spark, src, str(tmp_path / "m"), fmt="parquet", report=None)
+    assert res.labelled.count() == 3360 and res.model.numClasses == 3
