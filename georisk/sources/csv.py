@@ -43,36 +43,72 @@ def _typed(raw: DataFrame, grid: GridSpec, date_mode: str, lenient: bool,
     coordinates or timestamp are NULL are dropped by the box filter.
     """
     cast = (lambda c, t: F.col(c).try_cast(t)) if lenient else (lambda c, t: F.col(c).cast(t))
+    ts = parse_date_time("Date", "Time", lenient)
+    x, y = cast("X", "double"), cast("Y", "double")
+    if not lenient:
+        # a missing field (short record, empty value) is an error, as in the original
+        # parse; X, Y and the timestamp feed every typed read, so no pruning drops the check
+        def required(v: F.Column, *names: str) -> F.Column:
+            missing = F.lit(False)
+            for n in names:
+                missing = missing | F.col(n).isNull()
+            return F.when(missing, F.raise_error(F.lit(f"incident record without {'/'.join(names)}"))).otherwise(v)
+        ts, x, y = required(ts, "Date", "Time"), required(x, "X"), required(y, "Y")
     base = raw.select(
         cast("IncidntNum", "bigint").alias("IncidntNum"), "Category", "Descript", "DayOfWeek",
-        parse_date_time("Date", "Time", lenient).alias("Timestamp"),
-        "PdDistrict", "Resolution", "Address",
-        cast("X", "double").alias("X"), cast("Y", "double").alias("Y"), "PdId")
+        ts.alias("Timestamp"), "PdDistrict", "Resolution", "Address", x.alias("X"), y.alias("Y"), "PdId")
     if lenient:
         base = base.filter(F.col("Timestamp").isNotNull())
     return type_incidents(base, grid, date_mode, keep_out_of_bounds)
 
 
-def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """The 13 raw columns as strings; every file's header line is dropped."""
+def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False,
+                 mode: str = "PERMISSIVE") -> DataFrame:
+    """The 13 raw columns as strings; every file's header line is dropped.
+
+    ``mode``: PERMISSIVE keeps every record (audits), FAILFAST raises on a record
+    with the wrong number of fields, DROPMALFORMED drops such records.
+    """
     return (spark.read.schema(RAW_SCHEMA)
             .option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("multiLine", multi_line).option("mode", mode)
             .csv(path))
 
 
-def split_verbatim(lines: DataFrame, col: str = "value") -> DataFrame:
+def split_verbatim(lines: DataFrame, col: str = "value", strict: bool | None = None) -> DataFrame:
     """Split each text line on commas outside quotes, keeping quotes and trailing
-    empty fields; header lines (equal to the header) are dropped in every file."""
+    empty fields; header lines (equal to the header) are dropped in every file.
+
+    A line without exactly 13 fields raises when ``strict`` is True (the check
+    sits in X, which every typed read needs), is dropped when it is False, and
+    yields NULL-padded fields when it is None.
+    """
     fields = F.split(F.col(col), SPLIT_OUTSIDE_QUOTES, -1)
     parts = lines.filter(F.col(col) != F.lit(HEADER_LINE)).select(fields.alias("f"))
-    return parts.select(*[F.get(F.col("f"), i).alias(c) for i, c in enumerate(RAW_COLUMNS)])
+    well_formed = F.size(F.col("f")) == F.lit(len(RAW_COLUMNS))
+    if strict is False:
+        parts = parts.filter(well_formed)
+    out = []
+    for i, c in enumerate(RAW_COLUMNS):
+        v = F.get(F.col("f"), i)
+        if strict and c == "X":
+            v = F.when(well_formed, v).otherwise(
+                F.raise_error(F.lit(f"malformed incident line: expected {len(RAW_COLUMNS)} fields")))
+        out.append(v.alias(c))
+    return parts.select(*out)
 
 
 def read_incidents_csv(spark: SparkSession, path: str | list[str], grid: GridSpec = GridSpec(),
                        date_mode: str = "real", verbatim: bool = False, lenient: bool = False,
                        keep_out_of_bounds: bool = False) -> DataFrame:
-    raw = split_verbatim(spark.read.text(path)) if verbatim else read_raw_csv(spark, path)
+    """Typed incidents. Strict (default) fails on a record with missing fields, a
+    bad number or a bad date; lenient drops such records. The CSV reader only
+    parses the fields a query needs, so a record with extra trailing fields keeps
+    its first 13; the verbatim split checks the field count of whole lines."""
+    if verbatim:
+        raw = split_verbatim(spark.read.text(path), strict=not lenient)
+    else:
+        raw = read_raw_csv(spark, path, mode="DROPMALFORMED" if lenient else "FAILFAST")
     return _typed(raw, grid, date_mode, lenient, keep_out_of_bounds)
 
 
