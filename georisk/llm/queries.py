@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from georisk.llm.bpe import op10_byte_bpe
 from georisk.llm.language_id import op1_language_id
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
