@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from georisk.llm.bpe import op10_byte_bpe
 from georisk.llm.language_id import op1_language_id
+from georisk.llm.secrets import ACCESS, ASSIGN, HEX, op3_secret_scan
+from georisk.llm.span_sql import spans_sql
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_secret_scan": op3_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_secret_scan": spans_sql([("assign", ASSIGN, "length(@v) >= 8", 2), ("access", ACCESS, "length(@v) >= 16", 0),
+                                  ("hex", HEX, "length(@v) >= 32", 0)], by_kind=False),
+}
