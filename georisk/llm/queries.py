@@ -5,11 +5,13 @@ from __future__ import annotations
 from georisk.llm.bpe import op10_byte_bpe
 from georisk.llm.language_id import op1_language_id
 from georisk.llm.secrets import ACCESS, ASSIGN, HEX, op3_secret_scan
+from georisk.llm.simhash import op7_simhash
 from georisk.llm.span_sql import spans_sql
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op7_simhash": op7_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
