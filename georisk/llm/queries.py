@@ -5,14 +5,18 @@ from __future__ import annotations
 from georisk.llm.bpe import op10_byte_bpe
 from georisk.llm.language_id import op1_language_id
 from georisk.llm.secrets import ACCESS, ASSIGN, HEX, op3_secret_scan
+from georisk.llm.sharding import op4_sharding
 from georisk.llm.simhash import op7_simhash
 from georisk.llm.span_sql import spans_sql
 from georisk.llm.substring_dedup import op2_substring_dedup
+from georisk.llm.topk import OP5_SQL, op5_exact_top_k
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_sharding": op4_sharding,
+    "op5_exact_top_k": op5_exact_top_k,
     "op7_simhash": op7_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -21,4 +25,6 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": spans_sql([("assign", ASSIGN, "length(@v) >= 8", 2), ("access", ACCESS, "length(@v) >= 16", 0),
                                   ("hex", HEX, "length(@v) >= 32", 0)], by_kind=False),
+    "op4_sharding": op4_sharding,
+    "op5_exact_top_k": OP5_SQL,
 }
