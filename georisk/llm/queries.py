@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from georisk.llm.bpe import op10_byte_bpe
 from georisk.llm.language_id import op1_language_id
+from georisk.llm.pii import SQL_KINDS, op8_pii
 from georisk.llm.secrets import ACCESS, ASSIGN, HEX, op3_secret_scan
 from georisk.llm.sharding import op4_sharding
 from georisk.llm.simhash import op7_simhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -27,4 +29,5 @@ ORACLES: dict[str, str] = {
                                   ("hex", HEX, "length(@v) >= 32", 0)], by_kind=False),
     "op4_sharding": op4_sharding,
     "op5_exact_top_k": OP5_SQL,
+    "op8_pii": spans_sql(SQL_KINDS, by_kind=True),
 }
