@@ -11,6 +11,7 @@ from georisk.llm.simhash import op7_simhash
 from georisk.llm.span_sql import spans_sql
 from georisk.llm.substring_dedup import op2_substring_dedup
 from georisk.llm.topk import OP5_SQL, op5_exact_top_k
+from georisk.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_exact_top_k": op5_exact_top_k,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
+    "op9_url_filter": op9_url_filter,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
@@ -30,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op4_sharding": op4_sharding,
     "op5_exact_top_k": OP5_SQL,
     "op8_pii": spans_sql(SQL_KINDS, by_kind=True),
+    "op9_url_filter": OP9_SQL,
 }
