@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from georisk.llm.bpe import op10_byte_bpe
+from georisk.llm.decontaminate import op6_decontamination
 from georisk.llm.language_id import op1_language_id
 from georisk.llm.pii import SQL_KINDS, op8_pii
 from georisk.llm.secrets import ACCESS, ASSIGN, HEX, op3_secret_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_sharding": op4_sharding,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
