@@ -33,8 +33,10 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def salted(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def content_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row (maps, which have no order, as their sorted entries)."""
+    return F.xxhash64(*[F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+                        for f in df.schema])
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

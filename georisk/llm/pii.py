@@ -124,10 +124,10 @@ def _places(parts: Column, found: Column) -> Column:
 
 
 def _matches(df: DataFrame, name: str, pattern: str, sign: str) -> DataFrame:
-    """Adds ``name``: array of (m, start) for the matches of ``pattern`` in column t."""
+    """Adds ``name``: array of (m, start) for the matches of ``pattern`` in column __t."""
     none = F.array().cast("array<string>")
-    df = df.withColumn("__m", F.when(F.col("t").rlike(sign), F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn("__p", F.when(F.size("__m") > 0, F.split("t", pattern, -1)))
+    df = df.withColumn("__m", F.when(F.col("__t").rlike(sign), F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))).otherwise(none))
+    df = df.withColumn("__p", F.when(F.size("__m") > 0, F.split("__t", pattern, -1)))
     df = df.withColumn("__at", F.when(F.size("__m") > 0, _places(F.col("__p"), F.col("__m"))).otherwise(
         F.array().cast("array<int>")))
     return df.withColumn(name, F.zip_with("__m", "__at", lambda m, s: F.struct(m.alias("m"), s.alias("s")))).drop("__m", "__p", "__at")
@@ -142,7 +142,7 @@ def _spans(kind: int, matches: str, base: bool) -> Column:
         ok = valid(name, m) if base else F.lit(False)
         low = F.greatest(s - NEARBY, F.lit(0))
         return F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), ok.alias("base"), votes(
-            name, m, F.substring(F.col("t"), low + 1, s - low), F.substring(F.col("t"), e + 1, F.lit(1)), ok).alias("votes"))
+            name, m, F.substring(F.col("__t"), low + 1, s - low), F.substring(F.col("__t"), e + 1, F.lit(1)), ok).alias("votes"))
 
     found = F.transform(F.col(matches), one)
     if not base:
@@ -153,8 +153,8 @@ def _spans(kind: int, matches: str, base: bool) -> Column:
 
 
 def candidates(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """``key`` columns and ``found``: all candidate spans with their votes."""
-    out = df.select(*key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    """``key`` columns and ``__found``: all candidate spans with their votes."""
+    out = df.select(*key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     signs = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{11}[0-9]", "phone": r"\+[0-9]"}
     for kind in KINDS:
         out = _matches(out, f"__{kind}", JVM[kind], signs[kind])
@@ -164,11 +164,11 @@ def candidates(df: DataFrame, key: list[str], text: str) -> DataFrame:
     more = F.concat(_spans(0, "__loose_email", False), _spans(3, "__loose_phone", False))
     out = out.withColumn("__sure", sure).withColumn("__more", more)
     every = F.concat("__sure", "__more")
-    return out.withColumn("__base", F.filter("__sure", lambda x: x["base"])).withColumn("found", F.when(
+    return out.withColumn("__base", F.filter("__sure", lambda x: x["base"])).withColumn("__found", F.when(
         F.size(every) > F.size("__base"), F.concat("__base", F.filter(F.concat(F.filter(
             "__sure", lambda x: ~x["base"]), "__more"), lambda x: ~F.exists(
                 "__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))).otherwise(F.col("__base"))
-    ).select(*key, "found")
+    ).select(*key, "__found")
 
 
 def unpack(code: int) -> list[int]:
@@ -235,20 +235,20 @@ def train(counts: dict[tuple[int, int], int], post: dict[tuple[int, int], float]
 
 def accepted(found: DataFrame) -> list[tuple[int, int]]:
     """The (kind, vote pattern) pairs that the trained classifier takes for personal data."""
-    rows = found.select(F.explode("found").alias("s")).groupBy("s.kind", "s.votes").count().collect()
+    rows = found.select(F.explode("__found").alias("s")).groupBy("s.kind", "s.votes").count().collect()
     counts = {(r["kind"], r["votes"]): r["count"] for r in sorted(rows)}
     w = train(counts, estimate(counts))
     return [p for p in counts if sum(w[j] for j in features(*p)) >= 0]
 
 
 def detect(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """``key`` columns, ``base`` and ``spans``: arrays of (kind, start, end, base, votes)
-    by kind, then start; ``spans`` holds the base spans and those the method adds."""
+    """``key`` columns, ``__base`` and ``__spans``: arrays of (kind, start, end, base, votes)
+    by kind, then start; ``__spans`` holds the base spans and those the method adds."""
     found = written(candidates(df, key, text), "pii-candidates")
     good = [k * 3**LABELERS + v for k, v in accepted(found)]
-    taken = F.filter("found", lambda x: x["base"] | (x["kind"] * 3**LABELERS + x["votes"]).isin(good))
-    return found.select(*key, F.array_sort(F.filter("found", lambda x: x["base"])).alias("base"),
-                        F.array_sort(taken).alias("spans"))
+    taken = F.filter("__found", lambda x: x["base"] | (x["kind"] * 3**LABELERS + x["votes"]).isin(good))
+    return found.select(*key, F.array_sort(F.filter("__found", lambda x: x["base"])).alias("__base"),
+                        F.array_sort(taken).alias("__spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -271,9 +271,9 @@ def op8_pii(spark, sf_dir):
     def joined(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
-    kinds = F.transform("base", lambda s: s["kind"])
+    kinds = F.transform("__base", lambda s: s["kind"])
     n = [F.size(F.filter(kinds, lambda k: k == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(len(KINDS))]
-    return found.select("doc_id", *n, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *n, F.sha2(joined("__base"), 256).alias("base_sha256"), joined("__spans").alias("spans"))
 
 
 _BYTE_SQL = "0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"

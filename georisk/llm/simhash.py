@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from georisk.llm.common import map_texts, table, written
+from georisk.llm.common import content_hash, map_texts, table, written
 from georisk.llm.components import connected_components, hub_join
 
 SEED = 42
@@ -65,8 +65,8 @@ def _bits(hashes: list[int]) -> np.ndarray:
     return np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def fingerprints(df: DataFrame, key: str, text: str, shingle: int, out: str = "fp") -> DataFrame:
-    """(key, fingerprint as a signed long) of every row."""
+def fingerprints(df: DataFrame, keep: list[str], text: str, shingle: int, out: str = "fp") -> DataFrame:
+    """``keep`` columns and the fingerprint (a signed long) of every row."""
 
     def make():
         digest = xxhash.xxh64_intdigest
@@ -95,7 +95,7 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int, out: str = "f
 
         return fn
 
-    return map_texts(df, text, [key], [(out, T.LongType())], make)
+    return map_texts(df, text, keep, [(out, T.LongType())], make)
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -153,19 +153,39 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return pairs.unionByName(tiles.select("fps").mapInArrow(run, "a bigint, b bigint")).distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(key, fp, component) of every row; the component is the smallest key reachable."""
-    docs = written(fingerprints(df, key, text, shingle).withColumnRenamed(key, "key"), "simhash-docs")
+def groups(docs: DataFrame, radius: int) -> DataFrame:
+    """(fp, n, root, component) of each distinct fingerprint of ``docs`` (key, fp): its
+    number of rows, its group's smallest fingerprint and smallest key."""
     classes = written(docs.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     comp = written(connected_components(links(classes.select("fp"), radius)), "simhash-components")
     members = comp.join(classes.select(F.col("fp").alias("node"), "least"), "node")
     roots = members.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("size"))
-    linked = hub_join(comp, roots, "root", "size", comp.count()).select(F.col("node").alias("fp"), "component")
-    facts = written(classes.join(linked, "fp", "left").select(
-        "fp", "n", F.coalesce("component", "least").alias("component")), "simhash-facts")
+    linked = hub_join(comp, roots, "root", "size", comp.count()).select(F.col("node").alias("fp"), "root", "component")
+    return written(classes.join(linked, "fp", "left").select(
+        "fp", "n", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component")), "simhash-facts")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """(key, fp, component) of every row; the component is the smallest key reachable."""
+    docs = written(fingerprints(df, [key], text, shingle).withColumnRenamed(key, "key"), "simhash-docs")
+    facts = groups(docs, radius).select("fp", "n", "component")
     return hub_join(docs, facts, "fp", "n", docs.count()).select(F.col("key").alias(key), "fp", "component")
 
 
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``df``, one of each group: the one with the smallest key, among rows of
+    that key the one with the smallest content hash; a null key only if its group has no other."""
+    marked = df.withColumn("__row", content_hash(df))
+    docs = written(fingerprints(marked, [key, "__row"], text, shingle).withColumnRenamed(key, "key"), "simhash-docs")
+    facts = groups(docs, radius).select("fp", "n", "root")
+    ranked = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), F.col("__row").alias("row"))
+    best = hub_join(docs, facts, "fp", "n", docs.count()).groupBy("root").agg(F.min(ranked).alias("b"))
+    best = best.select(F.col("b.id").alias("__id"), F.col("b.row").alias("__row"))
+    mine = marked[key].eqNullSafe(best["__id"]) & (marked["__row"] == best["__row"])
+    return marked.join(best, mine, "left_semi").dropDuplicates([key, "__row"]).drop("__row")
+
+
 def op7_simhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
