@@ -25,7 +25,7 @@ from georisk.llm.common import table, written
 from georisk.llm.components import hub_join
 
 SHARDS = 8
-ROUNDS = 6
+ROUNDS = 8
 #: Priorities of a shard's requests: hubs in 64 turns, members of one hub in 64 turns.
 TURNS = 64
 #: Rows that one numbering task handles on average.
@@ -69,11 +69,12 @@ def propagate(members: DataFrame, capacity: list[int], rounds: int = ROUNDS) ->
                                                                       for s, v in enumerate(votes)])
         heard = hub_join(now, facts, "hub", "n", links).groupBy("uid", "shard").agg(
             F.min("hub").alias("hub"), *[F.sum(v).alias(v) for v in votes])
-        # Most neighbours first; among equals the present shard, then one that all members of a hub agree on.
-        open_ = [F.array(F.col(v), F.when(F.col("shard") == s, 1000).otherwise(
-            F.pmod(F.xxhash64("hub", F.lit(s)), F.lit(1000))), F.lit(s).cast("long"))
-            if room[s] > 0 else F.when(F.col("shard") == s, F.array(F.col(v), F.lit(1000).cast("long"), F.lit(s).cast("long")))
-            for s, v in enumerate(votes)]
+        # Most neighbours first (the document itself included), then the order that its hub
+        # gives, so that members who see the same votes agree; a shard that is nearly full takes no
+        # newcomers, as a large hub's turns may be too big for what is left of it.
+        offers = [F.array(F.col(v), F.pmod(F.xxhash64("hub", F.lit(s)), F.lit(1 << 30)), F.lit(s).cast("long"))
+                  for s, v in enumerate(votes)]
+        open_ = [o if room[s] > capacity[s] // 8 else F.when(F.col("shard") == s, o) for s, o in enumerate(offers)]
         wish = F.array_max(F.filter(F.array(*open_), lambda x: x.isNotNull()))[2].cast("int")
         turn = F.pmod(F.xxhash64("hub"), F.lit(TURNS)) * TURNS + F.pmod(F.xxhash64("uid", F.lit(2)), F.lit(TURNS))
         asked = written(heard.select("uid", "shard", wish.alias("to"), turn.cast("int").alias("turn")), "shard-asked")

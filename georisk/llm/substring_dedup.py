@@ -6,7 +6,8 @@ modulo p. So hashing runs of ``length - p + 1`` words only at positions in D
 makes any two equal windows share an aligned anchor. Anchors that occur in more
 than one document are extended: every window that holds one is hashed whole
 (128 bits), and a window is a repeat if its hash also starts in a document with
-a smaller key. All work is linear in the repeated text; no pairs are formed.
+a smaller key. All work is linear in the repeated text; no pairs are formed. Of
+documents with equal texts only the smallest is extended.
 
 Defined cases: null text has no words; a null key is no document's smaller key
 and loses nothing; rows with the same key are one document's parts for
@@ -16,7 +17,6 @@ empty input -> empty output; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from georisk.llm.common import WordHash, flat, slices, table, word_bounds, written
+from georisk.llm.components import hub_join
 
 LENGTH = 50
 PERIOD = 31
@@ -132,7 +133,8 @@ def window_rows(docs: DataFrame, length: int, period: int, cover: list[int]) ->
 
 
 def kept_rows(docs: DataFrame, length: int, period: int, cover: list[int]) -> DataFrame:
-    """Per row: number of words, number removed, the kept words joined by one blank."""
+    """Per row: number of words, number removed, the kept words joined by one blank.
+    ``ws`` lists hashes of repeated windows; a ``copy`` loses all words if it has a window."""
     schema = T.StructType([docs.schema["key"], T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
@@ -142,13 +144,14 @@ def kept_rows(docs: DataFrame, length: int, period: int, cover: list[int]) -> Da
             for part in slices(b, 1):
                 w.read(part.column(1))
                 listed = part.column(2)
+                whole = part.column(3).to_numpy(False) & (w.n_words >= length)
                 at = np.flatnonzero((w.left >= length) & np.repeat(listed.is_valid().to_numpy(False), w.n_words))
                 h, _ = w.hashes(at, second=False)
                 at = at[_members(listed, w.text_of(at), h)]
                 gone = np.zeros(len(w.words) + 1, np.int64)
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + length, -1)
-                gone = np.cumsum(gone)[:-1] > 0
+                gone = (np.cumsum(gone)[:-1] > 0) | np.repeat(whole, w.n_words)
                 raw, kept, removed = w.data.tobytes(), [], []
                 for i in range(part.num_rows):
                     s = slice(w.first[i], w.first[i + 1])
@@ -159,7 +162,14 @@ def kept_rows(docs: DataFrame, length: int, period: int, cover: list[int]) -> Da
                     [part.column(0), pa.array(w.n_words, pa.int64()), pa.array(removed, pa.int64()),
                      pa.array(kept, pa.binary()).cast(pa.string())], names=["key", "n_words", "n_removed", "kept"])
 
-    return docs.select("key", "text", "ws").mapInArrow(run, schema)
+    return docs.select("key", "text", "ws", "copy").mapInArrow(run, schema)
+
+
+def copies(known: DataFrame) -> DataFrame:
+    """(key, digest) of documents whose whole text also is a document with a smaller key."""
+    rows = written(known.select("key", "digest"), "dedup-digests")
+    same = rows.groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return hub_join(rows, same, "digest", "n", rows.count()).where("key > least").select("key", "digest")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH,
@@ -167,16 +177,21 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """(key, n_words, n_removed, kept) of every row."""
     shape = length, period, difference_cover(period)
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    docs = docs.withColumn("digest", F.unhex(F.md5("text")))
     known = docs.where("key IS NOT NULL AND text IS NOT NULL")
+    # A copy's windows all start in the smallest document of the same text, which stands for it.
+    copied = written(copies(known), "dedup-copies").groupBy("key").agg(F.collect_set("digest").alias("digests"))
     anchors = anchor_rows(known, *shape)
     shared = written(anchors.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("h"),
                      "dedup-anchors")
-    listed = anchors.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("hs"))
-    windows = written(window_rows(known.join(listed, "key"), *shape), "dedup-windows")
+    listed = anchors.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("hs")).join(copied, "key", "left")
+    is_copy = F.coalesce(F.array_contains("digests", F.col("digest")), F.lit(False))
+    windows = written(window_rows(known.join(listed, "key").where(~is_copy), *shape), "dedup-windows")
     first = windows.groupBy("w1", "w2").agg(F.min("key").alias("least"), F.max("key").alias("most"))
     first = written(first.where("least < most").select("w1", "w2", "least"), "dedup-first")
     repeats = windows.join(first, ["w1", "w2"]).where("key > least").groupBy("key").agg(F.collect_set("w1").alias("ws"))
-    return kept_rows(docs.join(repeats, "key", "left"), *shape).withColumnRenamed("key", key)
+    marked = docs.join(repeats.join(copied, "key", "full"), "key", "left").withColumn("copy", is_copy)
+    return kept_rows(marked, *shape).withColumnRenamed("key", key)
 
 
 def op2_substring_dedup(spark, sf_dir):
