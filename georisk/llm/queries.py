@@ -6,7 +6,7 @@ from georisk.llm.bpe import op10_byte_bpe
 from georisk.llm.decontaminate import op6_decontamination
 from georisk.llm.language_id import op1_language_id
 from georisk.llm.pii import SQL_KINDS, op8_pii
-from georisk.llm.secrets import ACCESS, ASSIGN, HEX, op3_secret_scan
+from georisk.llm.secret_scan import ACCESS, ASSIGN, HEX, op3_secret_scan
 from georisk.llm.sharding import op4_sharding
 from georisk.llm.simhash import op7_simhash
 from georisk.llm.span_sql import spans_sql
