@@ -106,7 +106,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     rank = start.select("k", F.col("seed").alias("rank"))
     for _ in range(rounds):
         share = rank.join(out, "k").select("k", "n", F.expr(f"rank * {DAMPING} DIV 100 DIV n").alias("share")).where("share > 0")
-        given = hub_join(arrows, share, "k", "n", n).groupBy(F.col("to").alias("k")).agg(F.sum("share").alias("rank"))
+        given = hub_join(arrows, share, "k", "n", n).select(F.col("to").alias("k"), F.col("share").alias("rank"))
         own = start.select("k", F.expr(f"seed * {100 - DAMPING} DIV 100").alias("rank"))
         rank = written(given.unionByName(own).groupBy("k").agg(F.sum("rank").alias("rank")), "url-rank")
     return rank.select(F.substring("k", 1, 1).alias("side"), F.substring("k", 3, 1 << 30).alias("host"), "rank")
