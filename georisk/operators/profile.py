@@ -65,39 +65,54 @@ def stage_counts(all_incidents: DataFrame) -> DataFrame:
     )
 
 
-CUBE_KEYS = ["Box", "Date", "Hour", "Month", "DayOfWeekNum", "DayPeriod", "DayOfWeek"]
+PROFILE_SETS = [CELL_KEYS, ["Box", "Date"], ["DayOfWeek"], []]
+PROFILE_KEYS = [*CELL_KEYS, "Date", "DayOfWeek"]
 
 
-def profile_cube(incidents: DataFrame) -> DataFrame:
-    """One aggregate from which every profile and the slot counts derive.
+def profile_sets(all_incidents: DataFrame) -> DataFrame:
+    """Everything the train job reports, from one scan and one exchange.
 
-    Grouped by (Box, Date, Hour) plus attributes that depend on them, so its
-    size is bounded by boxes x days x 24 (about 19M rows for 13 years), not by
-    the incident count; one scan replaces one scan per profile.
+    Grouping sets: slots, (Box, Date), weekday names, and all rows. A task's partial
+    result is bounded by slots + boxes x days + 7 + 1 rows, however its input is
+    clustered. ``grouping`` is the bit code of the keys that a set leaves out; keys
+    of rows outside the box are null, and only the set of all rows counts them.
     """
-    return incidents.groupBy(*CUBE_KEYS).agg(
-        _n().alias("n"), F.min("X").alias("min_x"), F.max("X").alias("max_x"),
-        F.min("Y").alias("min_y"), F.max("Y").alias("max_y"),
-        F.min("Timestamp").alias("min_ts"), F.max("Timestamp").alias("max_ts"))
+    inb = F.col("in_bounds")
+    rows = all_incidents.select(*[F.when(inb, F.col(k)).alias(k) for k in PROFILE_KEYS], inb.alias("in_bounds"),
+                                *[F.when(inb, F.col(c)).alias(f"v_{c}") for c in ("X", "Y", "Timestamp", "Hour", *CELL_KEYS)])
+    aggs = [_n().alias("raw"), F.count_if("in_bounds").alias("n")]
+    for c, short in (("X", "x"), ("Y", "y"), ("Timestamp", "ts"), ("Hour", "hour"), ("Box", "box"),
+                     ("DayPeriod", "day_period"), ("Month", "month")):
+        aggs += [F.min(f"v_{c}").alias(f"min_{short}"), F.max(f"v_{c}").alias(f"max_{short}")]
+    sets = [[F.col(k) for k in keys] for keys in PROFILE_SETS]
+    out = rows.groupingSets(sets, *PROFILE_KEYS).agg(F.grouping_id().cast("int").alias("grouping"), *aggs)
+    return out.filter((F.col("n") > 0) | (F.col("grouping") == grouping_of([])))
 
 
-def cube_extent(cube: DataFrame) -> DataFrame:
-    return cube.agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"),
-                    F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"))
+def grouping_of(keys: list[str]) -> int:
+    """The ``grouping`` code of the set that groups by ``keys``."""
+    return sum(1 << i for i, k in enumerate(reversed(PROFILE_KEYS)) if k not in keys)
 
 
-def cube_time(cube: DataFrame) -> DataFrame:
-    return cube.agg(F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+def profile_part(sets: DataFrame, keys: list[str]) -> DataFrame:
+    return sets.filter(F.col("grouping") == grouping_of(keys))
 
 
-def cube_count_by(cube: DataFrame, *cols: str) -> DataFrame:
-    return cube.groupBy(*cols).agg(F.sum("n").alias("n"))
+def sets_cells(sets: DataFrame) -> DataFrame:
+    """The slot counts of :func:`georisk.operators.cells.box_agg`, from the grouping sets."""
+    return profile_part(sets, CELL_KEYS).select(F.col("n").alias("Count"), *CELL_KEYS)
 
 
-def cube_cells(cube: DataFrame) -> DataFrame:
-    """The slot counts of :func:`georisk.operators.cells.box_agg`, from the cube."""
-    return (cube.groupBy(*CELL_KEYS).agg(F.sum("n").alias("Count"))
-            .select("Count", *CELL_KEYS))
+CUBE_KEYS = ["Box", "Date", "Hour", "Month", "DayOfWeekNum", "DayPeriod", "DayOfWeek"]
+
+
+def profile_cube(incidents: DataFrame) -> DataFrame:
+    """Count and extents per (Box, Date, Hour) and what depends on them: at most boxes x
+    days x 24 rows, which reduces little; use :func:`profile_sets` for the totals."""
+    return incidents.groupBy(*CUBE_KEYS).agg(
+        _n().alias("n"), F.min("X").alias("min_x"), F.max("X").alias("max_x"),
+        F.min("Y").alias("min_y"), F.max("Y").alias("max_y"),
+        F.min("Timestamp").alias("min_ts"), F.max("Timestamp").alias("max_ts"))
 
 
 def preview(df: DataFrame, order: list, n: int = 5) -> DataFrame:

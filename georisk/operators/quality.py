@@ -4,7 +4,7 @@ size is bounded by (#columns x #classes), not by the input."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,20 @@ def malformed_rows(lines: DataFrame, expected_fields: int, col: str = "value",
             .groupBy("status").agg(F.count(F.lit(1)).alias("n")))
 
 
+def malformed_records(spark: SparkSession, path: str, expected_fields: int) -> DataFrame:
+    """Count the records of a header-less CSV per status. Records are read quote-aware,
+    line feeds inside quotes included; a record with the wrong number of fields is
+    classified from its text."""
+    schema = ", ".join([*[f"f{i} string" for i in range(expected_fields)], "__corrupt string"])
+    records = (spark.read.schema(schema).option("header", False).option("quote", '"').option("escape", '"')
+               .option("multiLine", True).option("mode", "PERMISSIVE").option("columnPruning", False)
+               .option("columnNameOfCorruptRecord", "__corrupt").csv(path))
+    status = F.when(F.col("__corrupt").isNull(), F.lit("OK")).otherwise(line_status(F.col("__corrupt"), expected_fields))
+    # a query on the record error alone is refused, so a field takes part in the first count
+    counts = records.groupBy(status.alias("status"), F.col("f0").isNull()).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("status").agg(F.sum("n").alias("n"))
+
+
 def value_type(v: F.Column) -> F.Column:
     return (F.when(v.isNull(), F.lit("null"))
             .when(v.isin("true", "false"), F.lit("boolean"))

@@ -82,10 +82,19 @@ def distinct_slots(requests: DataFrame) -> DataFrame:
 
 def all_slots(spark) -> DataFrame:
     """All 336 (Month, DayOfWeekNum, DayPeriod) combinations (the scoring cube's slots)."""
-    one = spark.range(1)
-    return (one.select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("Month"))
-            .select("Month", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("DayOfWeekNum"))
-            .select("Month", "DayOfWeekNum", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("DayPeriod")))
+    return spark.range(N_SLOTS).select(*_slot_of(F.col("id")))
+
+
+def _slot_of(number: Column) -> list[Column]:
+    period, rest = number % 4, F.floor(number / 4)
+    return [F.floor(rest / 7).cast("int").alias("Month"), (rest % 7 + 1).cast("int").alias("DayOfWeekNum"),
+            period.cast("int").alias("DayPeriod")]
+
+
+def cube_rows(spark, grid: GridSpec = GridSpec()) -> DataFrame:
+    """Every (slot, box) by key arithmetic over a range, which Spark deals over all cores."""
+    n = grid.n_boxes
+    return spark.range(N_SLOTS * n).select(*_slot_of(F.floor(F.col("id") / n)), (F.col("id") % n).cast("int").alias("Box"))
 
 
 def expand_boxes(slots: DataFrame, grid: GridSpec = GridSpec()) -> DataFrame:
@@ -96,15 +105,21 @@ def expand_boxes(slots: DataFrame, grid: GridSpec = GridSpec()) -> DataFrame:
 
 def score_slots_with_model(model: DecisionTreeClassificationModel, slots: DataFrame,
                            grid: GridSpec = GridSpec()) -> DataFrame:
-    grid_rows = expand_boxes(slots, grid)
+    return score_rows_with_model(model, expand_boxes(slots, grid))
+
+
+def score_rows_with_model(model: DecisionTreeClassificationModel, grid_rows: DataFrame) -> DataFrame:
     scored = T.predict(model, grid_rows)
     return scored.select(*SLOT_KEYS, "Box", F.col("prediction").cast("int").alias("pred"))
 
 
 def score_slots_with_history(labelled: DataFrame, slots: DataFrame, grid: GridSpec = GridSpec()) -> DataFrame:
     """Predict a slot's own historical level (0 = Low where it never had an incident)."""
+    return score_rows_with_history(labelled, expand_boxes(slots, grid), grid)
+
+
+def score_rows_with_history(labelled: DataFrame, grid_rows: DataFrame, grid: GridSpec = GridSpec()) -> DataFrame:
     hist = bounded_broadcast(labelled.select("Box", *SLOT_KEYS, "label"), slot_bound(grid))
-    grid_rows = expand_boxes(slots, grid)
     return (grid_rows.join(hist, ["Box", *SLOT_KEYS], "left")
             .select(*SLOT_KEYS, "Box", F.coalesce(F.col("label"), F.lit(0.0)).cast("int").alias("pred")))
 
@@ -115,10 +130,9 @@ def slot_cube(labelled: DataFrame | None = None, model: DecisionTreeClassificati
     by slot history (``labelled``) or by a tree (``model``). Requests are then
     served by one broadcast join, reading the request table once."""
     if labelled is not None:
-        slots = all_slots(labelled.sparkSession)
-        return score_slots_with_history(labelled, slots, grid)
+        return score_rows_with_history(labelled, cube_rows(labelled.sparkSession, grid), grid)
     if model is not None:
-        return score_slots_with_model(model, all_slots(spark), grid)
+        return score_rows_with_model(model, cube_rows(spark, grid))
     raise ValueError("give labelled slots or a model")
 
 
@@ -130,6 +144,12 @@ def slot_mean_risk(slot_scores: DataFrame, grid: GridSpec = GridSpec()) -> DataF
         F.count(F.lit(1)).alias("boxes"))
 
 
+def slot_levels(slot_scores: DataFrame) -> DataFrame:
+    """Per slot: the levels of its boxes in box order (at most n_boxes values)."""
+    pairs = F.array_sort(F.collect_list(F.struct("Box", "pred")))
+    return slot_scores.groupBy(*SLOT_KEYS).agg(F.transform(pairs, lambda p: p["pred"]).alias("levels"))
+
+
 def join_slots(requests: DataFrame, per_slot: DataFrame, row_bound: int) -> DataFrame:
     return requests.join(bounded_broadcast(per_slot, row_bound), SLOT_KEYS, "inner")
 

@@ -33,6 +33,13 @@ MAX_BINS = 32
 # more than 10,000 of them.
 SEED = 0
 TRAIN_PARTITIONS = 8
+SLOTS_PER_TASK = 500_000
+
+
+def train_partitions(slots: int) -> int:
+    """Training tasks for a bound on the number of slots (of the grid, not of the
+    cluster, so that the layout and the tree stay the same everywhere)."""
+    return max(TRAIN_PARTITIONS, -(-slots // SLOTS_PER_TASK))
 
 
 def features_metadata() -> dict:
@@ -100,14 +107,10 @@ def predict_vector(model: DecisionTreeClassificationModel, values: list[float])
     return float(model.predict(Vectors.dense(values)))
 
 
-def tree_summary(spark: SparkSession, model: DecisionTreeClassificationModel) -> DataFrame:
-    """(feature, importance, num_nodes, depth, num_classes): at most 4 rows from a
-    model of at most 2^(depth+1)-1 nodes."""
-    imp = model.featureImportances.toArray().tolist()
-    rows = [(f, float(imp[i]), int(model.numNodes), int(model.depth), int(model.numClasses))
-            for i, f in enumerate(FEATURES)]
-    return spark.createDataFrame(rows, "feature string, importance double, num_nodes int, depth int, "
-                                       "num_classes int")
+def saved_nodes(spark: SparkSession, path: str, n_classes: int = N_CLASSES) -> DataFrame:
+    """The node table of a saved tree: id, prediction, children, gain and class counts."""
+    return spark.read.parquet(f"{path}/data").select("id", "prediction", "leftChild", "rightChild", "gain", *[
+        F.get("impurityStats", i).cast("bigint").alias(f"class_{i}") for i in range(n_classes)])
 
 
 def save_model(model: DecisionTreeClassificationModel, path: str) -> str:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.sql import DataFrame
 
+from georisk.functions.grid import GridSpec
 from georisk.operators import cells as C
 from georisk.operators import evaluate as E
 from georisk.operators import tree as T
@@ -49,8 +50,9 @@ def train(incidents: DataFrame, split_mode: str = "hash", model_path: str | None
 
 
 def train_labelled(labelled: DataFrame, split_mode: str = "hash", model_path: str | None = None,
-                   **tree_kw) -> TrainingResult:
-    """Training and evaluation from already materialized labelled slots."""
+                   grid: GridSpec = GridSpec(), **tree_kw) -> TrainingResult:
+    """Training and evaluation from already materialized labelled slots of ``grid``."""
+    tree_kw.setdefault("partitions", T.train_partitions(C.slot_bound(grid)))
     model = T.train_tree(labelled, **tree_kw)
     if model_path:
         T.save_model(model, model_path)

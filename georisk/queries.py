@@ -8,6 +8,7 @@ checks their row counts and ``tests/`` their invariants.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,7 @@ from georisk.operators import tree as T
 from georisk.session import shared_path
 from georisk.sources import csv as CSV
 from georisk.sources import parquet as PQ
+from georisk.sources.requests import read_requests
 from georisk.sources.incidents import (
     CELL_KEYS,
     INCIDENT_COLUMNS,
@@ -79,6 +81,17 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", format_ntz("ts", REQUEST_TS_PATTERN).alias("request"))
 
 
+def _mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log with requests that are no timestamps: cut short, other text, a 13th month."""
+    key, text = F.col("event_id") % 10, F.col("request")
+    return _requests(spark, sf_dir).withColumn("request", F.when(key == 1, F.substring(text, 1, 16)).when(
+        key == 2, F.concat(F.lit("at "), text)).when(key == 3, F.concat(F.substring(text, 1, 5), F.lit("13"), F.substring(
+            text, 8, 12))).otherwise(text))
+
+
+FIXED_NOW = dt.datetime(2015, 1, 1, 10, 0)
+
+
 # ============================================================ scan, typing, filter
 @register("incidents", sql(O.INCIDENTS_ALL, body=f"SELECT {O.INCIDENT_SELECT} FROM incidents"))
 def q_incidents(spark, sf_dir):
@@ -124,6 +137,31 @@ def q_grid_extent(spark, sf_dir):
                     GRID.box_id("max_x", "max_y").alias("box_max_max"))
 
 
+# Raw cells that do not fit their column, by key: no number, no coordinate, a missing
+# coordinate, a truth value, and a missing district.
+def _spoilt(raw: DataFrame) -> DataFrame:
+    key = F.col("IncidntNum").cast("bigint")
+    return raw.withColumns({
+        "IncidntNum": F.when(key % 50 == 1, F.concat(F.lit("no-"), F.col("IncidntNum"))).otherwise(F.col("IncidntNum")),
+        "X": F.when(key % 40 == 2, "west").when(key % 40 == 3, None).otherwise(F.col("X")),
+        "Y": F.when(key % 60 == 4, F.concat(F.col("Y"), F.lit("N"))).otherwise(F.col("Y")),
+        "Resolution": F.when(key % 30 == 5, "true").otherwise(F.col("Resolution")),
+        "PdDistrict": F.when(key % 20 == 6, None).otherwise(F.col("PdDistrict")),
+    })
+
+
+SPOILT_SQL = """
+spoilt AS (
+  SELECT * REPLACE (
+    CASE WHEN k % 50 = 1 THEN 'no-' || IncidntNum ELSE IncidntNum END AS IncidntNum,
+    CASE WHEN k % 40 = 2 THEN 'west' WHEN k % 40 = 3 THEN NULL ELSE X END AS X,
+    CASE WHEN k % 60 = 4 THEN Y || 'N' ELSE Y END AS Y,
+    CASE WHEN k % 30 = 5 THEN 'true' ELSE Resolution END AS Resolution,
+    CASE WHEN k % 20 = 6 THEN NULL ELSE PdDistrict END AS PdDistrict)
+  FROM (SELECT *, CAST(IncidntNum AS BIGINT) AS k FROM raw)
+)
+"""
+
 RAW_SQL = """
 raw AS (
   SELECT CAST(IncidntNum AS VARCHAR) AS IncidntNum, Category, Descript, DayOfWeek,
@@ -135,6 +173,11 @@ raw AS (
 """
 
 
+def _raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lineitem-derived incident as the 13 string columns of the export."""
+    return CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
+
+
 @register("parse_timestamp", sql(O.INCIDENTS_ALL, RAW_SQL,
                                  body='SELECT PdId, "Date", "Time", "Timestamp" FROM raw'))
 def q_parse_timestamp(spark, sf_dir):
@@ -158,10 +201,10 @@ def q_day_period(spark, sf_dir):
 CELL_TYPE_SQL = r"""
 typed AS (
   SELECT "column",
-    CASE WHEN value IS NULL THEN 'null' WHEN value IN ('true', 'false') THEN 'boolean'
+    CASE WHEN value = chr(1) THEN 'null' WHEN value IN ('true', 'false') THEN 'boolean'
          WHEN regexp_matches(value, '(?i)^\s*-?(\d*\.?\d+|\d+\.?\d*)(e[-+]?\d+)?\s*$') THEN 'number'
          ELSE 'string' END AS type
-  FROM (UNPIVOT (SELECT * EXCLUDE ("Timestamp") FROM raw)
+  FROM (UNPIVOT (SELECT COALESCE(COLUMNS(* EXCLUDE ("Timestamp", k)), chr(1)) FROM spoilt)
         ON IncidntNum, Category, Descript, DayOfWeek, "Date", "Time", PdDistrict, Resolution, Address,
            X, Y, Location, PdId
         INTO NAME "column" VALUE value)
@@ -169,42 +212,33 @@ typed AS (
 """
 
 
-@register("cell_type_profile", sql(O.INCIDENTS_ALL, RAW_SQL, CELL_TYPE_SQL,
+@register("cell_type_profile", sql(O.INCIDENTS_ALL, RAW_SQL, SPOILT_SQL, CELL_TYPE_SQL,
                                    body='SELECT "column", type, COUNT(*) AS n FROM typed GROUP BY ALL'))
 def q_cell_type_profile(spark, sf_dir):
-    """Cell types of every field of the raw incident CSV."""
-    raw = CSV.read_raw_csv(spark, _export_incidents_csv(spark, sf_dir))
-    return Q.cell_type_profile(raw, CSV.RAW_COLUMNS)
+    """Cell types of every field of the raw incident records, some of them spoilt."""
+    return Q.cell_type_profile(_spoilt(_raw_incidents(spark, sf_dir)), CSV.RAW_COLUMNS)
 
 
-@register("cast_audit", sql(O.INCIDENTS_ALL, RAW_SQL, body="""
+@register("cast_audit", sql(O.INCIDENTS_ALL, RAW_SQL, SPOILT_SQL, body="""
 SELECT * FROM (
   SELECT 'IncidntNum' AS "column", 'bigint' AS target_type, COUNT(IncidntNum) AS n_values,
-         COUNT(*) FILTER (WHERE IncidntNum IS NOT NULL AND TRY_CAST(IncidntNum AS BIGINT) IS NULL) AS n_rejected FROM raw
+         COUNT(*) FILTER (WHERE IncidntNum IS NOT NULL AND TRY_CAST(IncidntNum AS BIGINT) IS NULL) AS n_rejected FROM spoilt
   UNION ALL
-  SELECT 'X', 'double', COUNT(X), COUNT(*) FILTER (WHERE X IS NOT NULL AND TRY_CAST(X AS DOUBLE) IS NULL) FROM raw
+  SELECT 'X', 'double', COUNT(X), COUNT(*) FILTER (WHERE X IS NOT NULL AND TRY_CAST(X AS DOUBLE) IS NULL) FROM spoilt
   UNION ALL
-  SELECT 'Y', 'double', COUNT(Y), COUNT(*) FILTER (WHERE Y IS NOT NULL AND TRY_CAST(Y AS DOUBLE) IS NULL) FROM raw
+  SELECT 'Y', 'double', COUNT(Y), COUNT(*) FILTER (WHERE Y IS NOT NULL AND TRY_CAST(Y AS DOUBLE) IS NULL) FROM spoilt
 )"""))
 def q_cast_audit(spark, sf_dir):
-    raw = CSV.read_raw_csv(spark, _export_incidents_csv(spark, sf_dir))
+    raw = _spoilt(_raw_incidents(spark, sf_dir))
     return Q.cast_audit(raw, {"IncidntNum": "bigint", "X": "double", "Y": "double"})
 
 
 # ============================================================ CSV sources / sinks
-_EXPORTS: dict[tuple[str, str, str], str] = {}
-
-
 def _export_incidents_csv(spark, sf_dir) -> str:
-    """The raw incident export (every lineitem-derived row as the 13-column CSV),
-    written once per session and data set into the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, "incidents")
-    if key not in _EXPORTS:
-        path = shared_path(spark, "incidents-csv")
-        raw = CSV.incidents_to_raw(lineitem_incident_base(read_table(spark, sf_dir, "lineitem")))
-        CSV.write_csv(raw, path)
-        _EXPORTS[key] = path
-    return _EXPORTS[key]
+    """The raw incident export in a new place of the shared folder."""
+    path = shared_path(spark, "incidents-csv")
+    CSV.write_csv(_raw_incidents(spark, sf_dir), path)
+    return path
 
 
 @register("csv_scan", sql(O.INCIDENTS_ALL, body=f"SELECT {O.INCIDENT_SELECT} FROM incidents"))
@@ -231,6 +265,67 @@ def q_parquet_roundtrip(spark, sf_dir):
     return C.box_agg(PQ.read_incidents(spark, path, GRID))
 
 
+def _export_defects(spark, sf_dir) -> str:
+    """The export as lines, some made wrong by their key: cut after Y, a field too many,
+    a coordinate or a date that is none, no id."""
+    raw = _raw_incidents(spark, sf_dir)
+    key = F.col("IncidntNum").cast("bigint") % 50
+    cells = {c: F.coalesce(F.col(c), F.lit("")) for c in CSV.RAW_COLUMNS}
+    cells["X"] = F.when(key == 3, "west").otherwise(cells["X"])
+    cells["Date"] = F.when(key == 4, "13/45/2015").otherwise(cells["Date"])
+    cells["IncidntNum"] = F.when(key == 5, "x").otherwise(cells["IncidntNum"])
+    quoted = [F.concat(F.lit('"'), cells[c], F.lit('"')) if c in ("Descript", "Location") else cells[c] for c in CSV.RAW_COLUMNS]
+    short, whole = F.concat_ws(",", *quoted[:11]), F.concat_ws(",", *quoted)
+    line = F.when(key == 1, short).when(key == 2, F.concat(whole, F.lit(",more"))).otherwise(whole)
+    path = shared_path(spark, "incidents-defects")
+    raw.select(line.alias("value")).write.option("header", False).text(path)
+    return path
+
+
+def _lenient(spark, sf_dir, verbatim: bool) -> DataFrame:
+    return CSV.read_incidents_csv(spark, _export_defects(spark, sf_dir), GRID, verbatim=verbatim, lenient=True, header=False)
+
+
+SOUND = "IncidntNum % 50 NOT IN (1, 2, 3, 4, 5)"
+
+
+@register("csv_lenient_box_agg", sql(O.INCIDENTS_ALL, body=f"""
+SELECT COUNT(*) AS "Count", Box, "Month", DayOfWeekNum, DayPeriod FROM incidents WHERE {SOUND} GROUP BY ALL"""))
+def q_csv_lenient_box_agg(spark, sf_dir):
+    """Slots of a lenient read of an export with wrong records (it drops exactly those)."""
+    return C.box_agg(_lenient(spark, sf_dir, verbatim=False))
+
+
+@register("csv_lenient_counts", sql(O.INCIDENTS_ALL, body=f"""
+SELECT reader, n AS n_rows, n AS n_in_slots, n AS n_read_whole
+FROM (SELECT COUNT(*) AS n FROM incidents WHERE {SOUND}), (VALUES ('csv'), ('verbatim')) v(reader)"""))
+def q_csv_lenient_counts(spark, sf_dir):
+    """The same number of rows whatever columns are read, by both readers."""
+    out = None
+    for reader in ("csv", "verbatim"):
+        df = _lenient(spark, sf_dir, verbatim=reader == "verbatim")
+        whole = F.count(F.when(F.xxhash64(*INCIDENT_COLUMNS).isNotNull(), 1))
+        parts = [df.agg(F.count(F.lit(1)).alias("n_rows")), C.box_agg(df).agg(F.coalesce(F.sum("Count"), F.lit(0)).alias("n_in_slots")),
+                 df.agg(whole.alias("n_read_whole"))]
+        row = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).select(F.lit(reader).alias("reader"), "*")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+FINE = GridSpec(cell=0.0025).full_stride()
+
+
+@register("parquet_other_grid", sql(O.INCIDENTS_ALL, body=f"""
+SELECT COUNT(*) AS "Count", CAST(trunc((Y - 37.7e0) / 0.0025e0) AS INT) * {FINE.stride}
+    + CAST(trunc((X - -122.516e0) / 0.0025e0) AS INT) AS Box, "Month", DayOfWeekNum, DayPeriod
+FROM incidents GROUP BY ALL"""))
+def q_parquet_other_grid(spark, sf_dir):
+    """Written with the default grid's boxes, read and counted on a finer grid."""
+    path = shared_path(spark, "incidents-parquet")
+    PQ.write_incidents(_all_incidents(spark, sf_dir).drop("in_bounds"), path)
+    return C.box_agg(PQ.read_incidents(spark, path, FINE))
+
+
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 DOC_NULL = "\\N"  # distinct from "", so NULL and empty text both survive the round trip
@@ -249,29 +344,34 @@ def q_csv_roundtrip(spark, sf_dir):
                         null_value=DOC_NULL)
 
 
-MALFORMED_SQL = r"""
-WITH rec AS (
-  SELECT '"' || CAST(doc_id AS VARCHAR) || '","' || replace(text, '"', '""') || '","' || replace(lang, '"', '""')
-         || '","' || replace(source, '"', '""') || '","' || CAST(n_chars AS VARCHAR) || '"' AS r FROM documents),
-lines AS (SELECT unnest(string_split(r, chr(10))) AS line FROM rec),
-bare AS (SELECT line, regexp_replace(line, '"[^"]*"', '', 'g') AS b FROM lines WHERE line <> ''),
-st AS (
-  SELECT CASE WHEN (length(line) - length(replace(line, '"', ''))) % 2 = 1 THEN 'MissingQuotes'
-              WHEN length(b) - length(replace(b, ',', '')) + 1 > 5 THEN 'TooManyFields'
-              WHEN length(b) - length(replace(b, ',', '')) + 1 < 5 THEN 'TooFewFields'
-              ELSE 'OK' END AS status FROM bare)
-SELECT status, COUNT(*) AS n FROM st GROUP BY status"""
+MALFORMED_SQL = """
+SELECT 'documents' AS source, 'OK' AS status, COUNT(*) AS n FROM documents HAVING COUNT(*) > 0
+UNION ALL
+SELECT 'spoilt' AS source, CASE doc_id % 10 WHEN 1 THEN 'TooFewFields' WHEN 2 THEN 'TooManyFields'
+  WHEN 3 THEN 'MissingQuotes' ELSE 'OK' END AS status, COUNT(*) AS n
+FROM documents GROUP BY ALL"""
 
 
 @register("malformed_rows", MALFORMED_SQL)
 def q_malformed_rows(spark, sf_dir):
-    """Every document exported as a fully quoted, header-less CSV (so each line of
-    the file is fixed by the data alone), then read back as plain lines: quoted
-    newlines break records apart, which the line audit reports as MissingQuotes /
-    TooFewFields / TooManyFields."""
-    path = shared_path(spark, "documents-quoted-csv")
-    CSV.write_csv(read_table(spark, sf_dir, "documents").select(*DOC_COLUMNS), path, header=False, quote_all=True)
-    return Q.malformed_rows(spark.read.text(path), expected_fields=len(DOC_COLUMNS))
+    """Whole documents as a well-formed CSV (quoted line feeds and all) hold no malformed
+    record; the same documents on one line each, with a field dropped, a field added or
+    a quote left open by their id, are counted by defect."""
+    good = shared_path(spark, "documents-csv")
+    docs = read_table(spark, sf_dir, "documents").select(*DOC_COLUMNS)
+    CSV.write_csv(docs, good, header=False, quote_all=True, null_value=DOC_NULL)
+    audited = Q.malformed_records(spark, good, len(DOC_COLUMNS))
+    flat = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\r\n]+", " ")
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+             for c in (F.col("doc_id"), flat, F.col("lang"), F.col("source"), F.col("n_chars"))]
+    key, whole = F.col("doc_id") % 10, F.concat_ws(",", *cells)
+    line = (F.when(key == 1, F.concat_ws(",", *cells[:-1])).when(key == 2, F.concat(whole, F.lit(',"more"')))
+            .when(key == 3, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole))
+    spoilt = shared_path(spark, "documents-spoilt")
+    docs.select(line.alias("value")).write.text(spoilt)
+    lines = Q.malformed_rows(spark.read.text(spoilt), len(DOC_COLUMNS))
+    return audited.select(F.lit("documents").alias("source"), "status", "n").unionByName(
+        lines.select(F.lit("spoilt").alias("source"), "status", "n"))
 
 
 # ============================================================ profiles
@@ -337,10 +437,26 @@ SELECT Box, "Date", "Hour", "Month", DayOfWeekNum, DayPeriod, DayOfWeek, COUNT(*
   MIN("Timestamp") AS min_ts, MAX("Timestamp") AS max_ts
 FROM incidents GROUP BY ALL"""))
 def q_profile_cube(spark, sf_dir):
-    """The single aggregate every profile of the train job derives from."""
+    """Counts and extents per box and hour (a report of its own; the train job uses the smaller sets)."""
     return P.profile_cube(_incidents(spark, sf_dir))
 
 
+_SET_COLUMNS = [("X", "x"), ("Y", "y"), ('"Timestamp"', "ts"), ('"Hour"', "hour"), ("Box", "box"),
+                ("DayPeriod", "day_period"), ('"Month"', "month")]
+
+
+@register("train_profile", sql(O.INCIDENTS_ALL, body=f"""
+SELECT CAST(GROUPING(Box, "Month", DayOfWeekNum, DayPeriod, "Date", DayOfWeek) AS INTEGER) AS "grouping", Box, "Month", DayOfWeekNum,
+  DayPeriod, "Date", DayOfWeek, COUNT(*) + CASE WHEN GROUPING(Box, DayOfWeek) = 3 THEN
+    (SELECT COUNT(*) FROM inc_all WHERE NOT in_bounds) ELSE 0 END AS raw, COUNT(*) AS n,
+  {", ".join(f"MIN({c}) AS min_{n}, MAX({c}) AS max_{n}" for c, n in _SET_COLUMNS)}
+FROM incidents GROUP BY GROUPING SETS ((Box, "Month", DayOfWeekNum, DayPeriod), (Box, "Date"), (DayOfWeek), ())"""))
+def q_train_profile(spark, sf_dir):
+    """All that the train job reports about its input, from one scan and one exchange."""
+    out = P.profile_sets(_all_incidents(spark, sf_dir))
+    return out.select("grouping", *P.PROFILE_KEYS, "raw", "n", *[f"{m}_{n}" for _, n in _SET_COLUMNS for m in ("min", "max")])
+
+
 @register("stage_counts", sql(O.INCIDENTS_ALL, O.CELLS, body="""
 SELECT COUNT(*) AS raw_rows, COUNT(*) FILTER (WHERE in_bounds) AS kept_rows,
   COUNT(*) FILTER (WHERE NOT in_bounds) AS rejected_rows, (SELECT COUNT(*) FROM cells) AS cells
@@ -350,8 +466,8 @@ def q_stage_counts(spark, sf_dir):
 
 
 # ============================================================ SQL-string entry point
-BOX_AGG_SQL = ("SELECT COUNT(*) AS `Count`, Box, Month, DayOfWeekNum, DayPeriod "
-               "FROM incidents GROUP BY Box, Month, DayOfWeekNum, DayPeriod")
+SLOT_LIST = ", ".join(CELL_KEYS)
+BOX_AGG_SQL = f"SELECT count(1) AS `Count`, {SLOT_LIST} FROM incidents GROUP BY {SLOT_LIST}"
 EXTENT_SQL = "SELECT MIN(X) AS min_x, MAX(X) AS max_x, MIN(Y) AS min_y, MAX(Y) AS max_y FROM incidents"
 
 
@@ -494,18 +610,57 @@ def _history_slot_scores(spark, sf_dir, req: DataFrame) -> DataFrame:
     return S.score_slots_with_history(_labelled_table(spark, sf_dir), S.distinct_slots(req), GRID)
 
 
-@register("score_time_features", sql(*SCORE_CTES, body="SELECT * FROM requests"))
+MIXED_SQL = """
+mixed AS (
+  SELECT event_id, ts, CASE event_id % 10 WHEN 1 THEN substr(t, 1, 16) WHEN 2 THEN 'at ' || t
+    WHEN 3 THEN substr(t, 1, 5) || '13' || substr(t, 8, 12) ELSE t END AS request, event_id % 10 NOT IN (1, 2, 3) AS valid
+  FROM (SELECT event_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t FROM events)),
+taken AS (
+  SELECT event_id, request, valid, CASE WHEN valid THEN date_trunc('second', ts) ELSE TIMESTAMP '2015-01-01 10:00:00' END AS request_ts
+  FROM mixed),
+featured AS (
+  SELECT *, CAST(month(request_ts) - 1 AS INT) AS "Month", CAST(isodow(request_ts) AS INT) AS DayOfWeekNum,
+    CAST(CASE WHEN hour(request_ts) >= 22 OR hour(request_ts) < 6 THEN 0 WHEN hour(request_ts) < 12 THEN 1
+         WHEN hour(request_ts) < 18 THEN 2 ELSE 3 END AS INT) AS DayPeriod FROM taken)
+"""
+
+
+@register("score_time_features", sql(MIXED_SQL, body="""
+SELECT event_id, request, request_ts, valid, "Month", DayOfWeekNum, DayPeriod FROM featured"""))
 def q_score_time_features(spark, sf_dir):
-    return _request_features(spark, sf_dir)
+    """Slots of valid and invalid requests; the latter count as a fixed 'now' and are marked."""
+    return S.request_features(_mixed_requests(spark, sf_dir), now=FIXED_NOW)
 
 
-@register("valid_or_default_ts", sql(*SCORE_CTES, body="SELECT event_id, request, request_ts FROM requests"))
+@register("valid_or_default_ts", sql(MIXED_SQL, body="SELECT event_id, request, request_ts FROM taken"))
 def q_valid_or_default_ts(spark, sf_dir):
     """Request text → timestamp, falling back to a fixed 'now' for invalid text."""
-    import datetime as dt
-    req = _requests(spark, sf_dir)
-    return req.select("event_id", "request",
-                      S.valid_or_default("request", now=dt.datetime(2015, 1, 1, 10, 0)).alias("request_ts"))
+    req = _mixed_requests(spark, sf_dir)
+    return req.select("event_id", "request", S.valid_or_default("request", now=FIXED_NOW).alias("request_ts"))
+
+
+@register("request_files", sql(MIXED_SQL, body="""
+SELECT request, request_ts, valid, "Month", DayOfWeekNum, DayPeriod, COUNT(*) AS n FROM featured GROUP BY ALL"""))
+def q_request_files(spark, sf_dir):
+    """Request files with blank lines between valid and invalid ones, read and counted by slot."""
+    lines = _mixed_requests(spark, sf_dir).select(F.explode(F.array(
+        F.col("request"), F.when(F.col("event_id") % 4 == 0, "").when(F.col("event_id") % 4 == 1, "   "))).alias("value"))
+    path = shared_path(spark, "requests")
+    lines.filter(F.col("value").isNotNull()).write.text(path)
+    feats = S.request_features(read_requests(spark, path), now=FIXED_NOW)
+    return feats.groupBy(*feats.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("score_requests_by_slot", sql(*SCORE_CTES, body="""
+SELECT r.event_id, r."Month", r.DayOfWeekNum, r.DayPeriod, m.levels
+FROM requests r JOIN (
+  SELECT "Month", DayOfWeekNum, DayPeriod, string_agg(pred, '' ORDER BY Box) AS levels FROM slot_scores GROUP BY ALL
+) m USING ("Month", DayOfWeekNum, DayPeriod)"""))
+def q_score_requests_by_slot(spark, sf_dir):
+    """One row per request: its slot and the levels of all boxes in box order."""
+    cube = S.slot_cube(labelled=_labelled_table(spark, sf_dir), grid=GRID)
+    scored = S.join_slots(_request_features(spark, sf_dir), S.slot_levels(cube), S.N_SLOTS)
+    return scored.select("event_id", *S.SLOT_KEYS, F.array_join("levels", "").alias("levels"))
 
 
 @register("score_grid", sql(*SCORE_CTES, body="SELECT * FROM slot_scores"))
@@ -547,24 +702,47 @@ def q_heatmap_layout(spark, sf_dir):
     return H.layout(_history_slot_scores(spark, sf_dir, req), H.PAGE_WIDTH, compat=True)
 
 
-# ============================================================ tree model (rows-only)
+# ============================================================ tree model
+# What a tree predicts has no SQL form; the oracles check all that is exact about each
+# answer (keys, labels, counts, identities), and tests/ check the predictions.
 def _trained(spark, sf_dir):
     labelled = T.materialize(_labelled(spark, sf_dir))
     return labelled, T.train_tree(labelled)
 
 
-@register("train_tree")
-def q_train_tree(spark, sf_dir):
-    _, model = _trained(spark, sf_dir)
-    return T.tree_summary(spark, model)
+def _is_level(c: str) -> F.Column:
+    return F.col(c).isin(0, 1, 2).alias("is_level")
 
 
-@register("predict_one")
+@register("train_tree", sql(O.INCIDENTS_ALL, O.CELLS, body="""
+SELECT COUNT(*) FILTER (WHERE label = 0) AS class_0, COUNT(*) FILTER (WHERE label = 1) AS class_1,
+  COUNT(*) FILTER (WHERE label = 2) AS class_2, TRUE AS children_add_up, TRUE AS depth_in_bounds FROM labelled"""))
+def q_train_tree(spark, sf_dir):
+    """The saved tree's node table: class counts of the root, children's counts add up to
+    their parent's, and there are at most 2**6 - 1 nodes."""
+    _, model = _trained(spark, sf_dir)
+    nodes = T.saved_nodes(spark, T.save_model(model, shared_path(spark, "model")))
+    classes = ["class_0", "class_1", "class_2"]
+    inner = nodes.filter("leftChild >= 0")
+    root = [F.sum(F.when(F.col("id") == 0, F.col(c))).alias(c) for c in classes]
+    kids = inner.select("id", F.explode(F.array("leftChild", "rightChild")).alias("kid")).join(
+        nodes.select(F.col("id").alias("kid"), *classes), "kid").groupBy("id").agg(*[F.sum(c).alias(f"k{c}") for c in classes])
+    same = F.lit(True)
+    for c in classes:
+        same = same & (F.col(c) == F.col(f"k{c}"))
+    checked = nodes.join(kids, "id", "left").withColumn("same", F.coalesce(same, F.lit(True)))
+    return checked.agg(*root, F.bool_and("same").alias("children_add_up"), (F.count(F.lit(1)) < 2 ** (T.MAX_DEPTH + 1)).alias(
+        "depth_in_bounds"))
+
+
+@register("predict_one", """
+SELECT CAST(72 AS INTEGER) AS Box, CAST(8 AS INTEGER) AS "Month", CAST(2 AS INTEGER) AS DayOfWeekNum,
+  CAST(1 AS INTEGER) AS DayPeriod, TRUE AS is_level""")
 def q_predict_one(spark, sf_dir):
     """The tree on all slots applied to the slot (Box 72, Month 8, DayOfWeekNum 2, DayPeriod 1)."""
-    labelled, model = _trained(spark, sf_dir)
-    probe = labelled.limit(1).select(*[F.lit(v).alias(k) for k, v in zip(CELL_KEYS, (72, 8, 2, 1))])
-    return T.predict(model, probe)
+    _, model = _trained(spark, sf_dir)
+    probe = spark.range(1).select(*[F.lit(v).alias(k) for k, v in zip(CELL_KEYS, (72, 8, 2, 1))])
+    return T.predict(model, probe).select(*CELL_KEYS, _is_level("prediction"))
 
 
 def _eval_preds(spark, sf_dir) -> DataFrame:
@@ -573,51 +751,76 @@ def _eval_preds(spark, sf_dir) -> DataFrame:
     return T.predict(T.train_tree(tr), te)
 
 
-@register("evaluate_tree")
+@register("evaluate_tree", sql(O.INCIDENTS_ALL, O.CELLS, body="""
+SELECT "Count", Box, "Month", DayOfWeekNum, DayPeriod, label, TRUE AS is_level FROM split_cells WHERE split = 'test'"""))
 def q_evaluate_tree(spark, sf_dir):
-    return _eval_preds(spark, sf_dir)
+    """The tree of the training slots applied to every test slot."""
+    return _eval_preds(spark, sf_dir).select("Count", *CELL_KEYS, "label", _is_level("prediction"))
 
 
-@register("tree_metrics")
+@register("tree_metrics", sql(O.INCIDENTS_ALL, O.CELLS, body="""
+SELECT COUNT(*) AS n_test, COUNT(*) AS confusion_total, TRUE AS error_is_consistent, TRUE AS macro_is_consistent
+FROM split_cells WHERE split = 'test'"""))
 def q_tree_metrics(spark, sf_dir):
-    return E.metrics_summary(_eval_preds(spark, sf_dir))
+    """Metrics of the tree: the matrix sums to the test slots, the error is what lies off its
+    diagonal, and the macro averages are the means of the per-class values."""
+    preds = T.materialize(_eval_preds(spark, sf_dir))
+    m = E.metrics_summary(preds)
+    c = E.confusion_matrix(preds).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n"))
+                                                                      .otherwise(0)).alias("hits"))
+    pr = E.precision_recall(preds).agg(F.avg("precision").alias("p"), F.avg("recall").alias("r"))
+
+    def near(a: str, b: F.Column) -> F.Column:
+        return (F.abs(F.col(a) - b) < 1e-9) | (F.isnan(a) & F.isnan(b))
+
+    error = F.when(F.col("total") == 0, F.lit(float("nan"))).otherwise(1 - F.try_divide("hits", "total"))
+    return m.crossJoin(c).crossJoin(pr).select(  # one row each
+        "n_test", F.col("total").alias("confusion_total"), near("test_error", error).alias("error_is_consistent"),
+        (near("macro_precision", F.col("p")) & near("macro_recall", F.col("r"))).alias("macro_is_consistent"))
 
 
-@register("score_all_boxes")
+@register("score_all_boxes", sql(*SCORE_CTES, body="""
+SELECT "Month", DayOfWeekNum, DayPeriod, Box, TRUE AS is_level FROM slot_scores"""))
 def q_score_all_boxes(spark, sf_dir):
     """The tree applied to every box of every distinct request slot."""
     _, model = _trained(spark, sf_dir)
     req = _request_features(spark, sf_dir)
-    return S.score_slots_with_model(model, S.distinct_slots(req), GRID)
+    return S.score_slots_with_model(model, S.distinct_slots(req), GRID).select(*S.SLOT_KEYS, "Box", _is_level("pred"))
 
 
 def _reference_slot_scores(spark, sf_dir):
     _, model = _trained(spark, sf_dir)
-    req = S.with_fixed_slot(_request_features(spark, sf_dir))
-    return S.score_slots_with_model(model, S.distinct_slots(req), GRID)
+    slot = S.with_fixed_slot(spark.range(1).select())
+    return S.score_slots_with_model(model, slot, GRID)
 
 
-@register("score_reference_slot")
+@register("score_reference_slot", f"""
+SELECT CAST(8 AS INTEGER) AS "Month", CAST(2 AS INTEGER) AS DayOfWeekNum, CAST(1 AS INTEGER) AS DayPeriod,
+  CAST(range AS INTEGER) AS Box, TRUE AS is_level FROM range(0, {NB})""")
 def q_score_reference_slot(spark, sf_dir):
     """What the reference scorer outputs: all boxes at the constant slot (8, 2, 1)."""
-    return _reference_slot_scores(spark, sf_dir).orderBy("Box")
+    return _reference_slot_scores(spark, sf_dir).orderBy("Box").select(*S.SLOT_KEYS, "Box", _is_level("pred"))
 
 
-@register("risk_csv_roundtrip")
+@register("risk_csv_roundtrip", f"SELECT CAST({NB} AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS mismatches")
 def q_risk_csv_roundtrip(spark, sf_dir):
-    """``box,pred`` file for the reference slot, written as one file and read back."""
+    """``box,pred`` file for the reference slot, written as one file, read back and compared."""
+    scores = T.materialize(_reference_slot_scores(spark, sf_dir))
     path = shared_path(spark, "useroutput-csv")
-    CSV.write_scores(_reference_slot_scores(spark, sf_dir), path, single_file=True)
-    return CSV.read_scores(spark, path)
+    CSV.write_scores(scores, path, single_file=True)
+    back = CSV.read_scores(spark, path).withColumnRenamed("pred", "back")
+    wrong = ~F.col("pred").eqNullSafe(F.col("back"))
+    return scores.select("Box", "pred").join(back, "Box", "full").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(wrong).alias("mismatches"))
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", sql(O.INCIDENTS_ALL, O.CELLS, body="""
+SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS disagreements FROM split_cells WHERE split = 'test'"""))
 def q_model_roundtrip(spark, sf_dir):
-    """Save the tree, load it, score the test slots with both: predictions must agree."""
+    """Save the tree, load it, score the test slots with both."""
     labelled, model = _trained(spark, sf_dir)
-    path = T.save_model(model, shared_path(spark, "model"))
-    loaded = T.load_model(path)
+    loaded = T.load_model(T.save_model(model, shared_path(spark, "model")))
     _, te = C.split_cells(labelled, "hash")
-    a = T.predict(model, te).withColumnRenamed("prediction", "prediction_saved")
-    b = T.predict(loaded, a).withColumnRenamed("prediction", "prediction_loaded")
-    return b
+    a = T.predict(model, te).withColumnRenamed("prediction", "saved")
+    b = T.predict(loaded, a)
+    return b.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("saved") != F.col("prediction")).alias("disagreements"))

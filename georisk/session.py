@@ -64,7 +64,7 @@ def scale_conf(input_bytes: int, total_cores: int, waves: int = 4) -> dict[str,
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -82,7 +82,6 @@ def shared_root(spark: SparkSession) -> str:
         if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="georisk-")
-        spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

@@ -23,92 +23,78 @@ from georisk.functions.grid import GridSpec
 from georisk.functions.timefeatures import INCIDENT_TS_PATTERN, format_ntz, parse_date_time
 from georisk.sources.incidents import type_incidents
 
-# The incident CSV header (13 columns, in file order) and the
-# split-on-commas-outside-quotes pattern.
+# The incident CSV header (13 columns, in file order).
 RAW_COLUMNS = ["IncidntNum", "Category", "Descript", "DayOfWeek", "Date", "Time", "PdDistrict",
                "Resolution", "Address", "X", "Y", "Location", "PdId"]
 HEADER_LINE = ",".join(RAW_COLUMNS)
-SPLIT_OUTSIDE_QUOTES = r',(?=([^"]*"[^"]*")*[^"]*$)'
+CORRUPT = "__corrupt"
 
 RAW_SCHEMA = ", ".join(f"{c} string" for c in RAW_COLUMNS)
 SCORES_SCHEMA = "Box int, pred int"
+ROWS_PER_FILE = 1_000_000
 
 
 def _typed(raw: DataFrame, grid: GridSpec, date_mode: str, lenient: bool,
            keep_out_of_bounds: bool = False) -> DataFrame:
-    """13 string columns → the 17-column incident table.
+    """13 string columns and a record error (null if there is none) → the 17-column table.
 
-    Strict mode uses ANSI casts (a bad number or date fails the job, as the
-    original does); lenient mode turns them into NULLs, and rows whose
-    coordinates or timestamp are NULL are dropped by the box filter.
+    A record with the wrong number of fields, a missing or bad id, coordinate or
+    date fails the job (strict, as the original does) or is dropped (lenient).
+    The check is a filter over all of them, so it does not depend on the columns
+    that a query selects.
     """
-    cast = (lambda c, t: F.col(c).try_cast(t)) if lenient else (lambda c, t: F.col(c).cast(t))
-    ts = parse_date_time("Date", "Time", lenient)
-    x, y = cast("X", "double"), cast("Y", "double")
-    if not lenient:
-        # a missing field (short record, empty value) is an error, as in the original
-        # parse; X, Y and the timestamp feed every typed read, so no pruning drops the check
-        def required(v: F.Column, *names: str) -> F.Column:
-            missing = F.lit(False)
-            for n in names:
-                missing = missing | F.col(n).isNull()
-            return F.when(missing, F.raise_error(F.lit(f"incident record without {'/'.join(names)}"))).otherwise(v)
-        ts, x, y = required(ts, "Date", "Time"), required(x, "X"), required(y, "Y")
+    number = F.col("IncidntNum").try_cast("bigint")
+    x, y = F.col("X").try_cast("double"), F.col("Y").try_cast("double")
+    ts = parse_date_time("Date", "Time", lenient=True)
+    bad = (F.col(CORRUPT).isNotNull() | number.isNull() | x.isNull() | y.isNull() | F.col("Date").isNull()
+           | F.col("Time").isNull() | ts.isNull())
+    if lenient:
+        raw = raw.filter(~bad)
+    else:
+        raw = raw.filter(F.when(bad, F.raise_error(F.concat(F.lit("malformed incident record: "), F.coalesce(
+            F.col(CORRUPT), F.concat_ws(",", *RAW_COLUMNS))))).otherwise(F.lit(True)))
     base = raw.select(
-        cast("IncidntNum", "bigint").alias("IncidntNum"), "Category", "Descript", "DayOfWeek",
+        number.alias("IncidntNum"), "Category", "Descript", "DayOfWeek",
         ts.alias("Timestamp"), "PdDistrict", "Resolution", "Address", x.alias("X"), y.alias("Y"), "PdId")
-    if lenient:
-        base = base.filter(F.col("Timestamp").isNotNull())
     return type_incidents(base, grid, date_mode, keep_out_of_bounds)
 
 
-def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False,
-                 mode: str = "PERMISSIVE") -> DataFrame:
-    """The 13 raw columns as strings; every file's header line is dropped.
-
-    ``mode``: PERMISSIVE keeps every record (audits), FAILFAST raises on a record
-    with the wrong number of fields, DROPMALFORMED drops such records.
-    """
-    return (spark.read.schema(RAW_SCHEMA)
-            .option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).option("mode", mode)
+def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False, header: bool = True) -> DataFrame:
+    """The 13 raw columns as strings, and the whole record in ``__corrupt`` if its number
+    of fields is wrong; every file's header line is dropped. Records are always parsed
+    whole, so that the error does not depend on the selected columns."""
+    return (spark.read.schema(f"{RAW_SCHEMA}, {CORRUPT} string")
+            .option("header", header).option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnPruning", False)
+            .option("columnNameOfCorruptRecord", CORRUPT)
             .csv(path))
 
 
-def split_verbatim(lines: DataFrame, col: str = "value", strict: bool | None = None) -> DataFrame:
-    """Split each text line on commas outside quotes, keeping quotes and trailing
-    empty fields; header lines (equal to the header) are dropped in every file.
+def split_fields(line: F.Column) -> F.Column:
+    """The fields of a line (without line feeds) between commas that an even number of
+    quotes follows; quotes stay in the values. The pieces between quotes are joined
+    again after commas outside quotes became line feeds, so the cost is linear."""
+    pieces = F.split(line, '"', -1)
+    marked = F.transform(pieces, lambda p, i: F.when(
+        (F.size(pieces) - 1 - i) % 2 == 0, F.replace(p, F.lit(","), F.lit("\n"))).otherwise(p))
+    return F.split(F.array_join(marked, '"'), "\n", -1)
 
-    A line without exactly 13 fields raises when ``strict`` is True (the check
-    sits in X, which every typed read needs), is dropped when it is False, and
-    yields NULL-padded fields when it is None.
-    """
-    fields = F.split(F.col(col), SPLIT_OUTSIDE_QUOTES, -1)
-    parts = lines.filter(F.col(col) != F.lit(HEADER_LINE)).select(fields.alias("f"))
-    well_formed = F.size(F.col("f")) == F.lit(len(RAW_COLUMNS))
-    if strict is False:
-        parts = parts.filter(well_formed)
-    out = []
-    for i, c in enumerate(RAW_COLUMNS):
-        v = F.get(F.col("f"), i)
-        if strict and c == "X":
-            v = F.when(well_formed, v).otherwise(
-                F.raise_error(F.lit(f"malformed incident line: expected {len(RAW_COLUMNS)} fields")))
-        out.append(v.alias(c))
-    return parts.select(*out)
+
+def split_verbatim(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Each text line's fields by :func:`split_fields` as the 13 raw columns, and the
+    line in ``__corrupt`` if it has another number of them; header lines (equal to
+    the header) are dropped in every file."""
+    parts = lines.filter(F.col(col) != F.lit(HEADER_LINE)).select(F.col(col).alias("l"), split_fields(F.col(col)).alias("f"))
+    wrong = F.when(F.size("f") != len(RAW_COLUMNS), F.col("l"))
+    return parts.select(*[F.get("f", i).alias(c) for i, c in enumerate(RAW_COLUMNS)], wrong.alias(CORRUPT))
 
 
 def read_incidents_csv(spark: SparkSession, path: str | list[str], grid: GridSpec = GridSpec(),
                        date_mode: str = "real", verbatim: bool = False, lenient: bool = False,
-                       keep_out_of_bounds: bool = False) -> DataFrame:
-    """Typed incidents. Strict (default) fails on a record with missing fields, a
-    bad number or a bad date; lenient drops such records. The CSV reader only
-    parses the fields a query needs, so a record with extra trailing fields keeps
-    its first 13; the verbatim split checks the field count of whole lines."""
-    if verbatim:
-        raw = split_verbatim(spark.read.text(path), strict=not lenient)
-    else:
-        raw = read_raw_csv(spark, path, mode="DROPMALFORMED" if lenient else "FAILFAST")
+                       keep_out_of_bounds: bool = False, header: bool = True) -> DataFrame:
+    """Typed incidents. Strict (default) fails on a record with missing or extra
+    fields, a bad number or a bad date; lenient drops such records."""
+    raw = split_verbatim(spark.read.text(path)) if verbatim else read_raw_csv(spark, path, header=header)
     return _typed(raw, grid, date_mode, lenient, keep_out_of_bounds)
 
 
@@ -126,9 +112,10 @@ def incidents_to_raw(incidents: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", quote_all: bool = False,
-              null_value: str = "", mode: str = "errorifexists") -> None:
-    """Delimited text: quotes doubled inside quoted fields, NULL → ``null_value``."""
-    (df.write.mode(mode)
+              null_value: str = "", mode: str = "errorifexists", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Delimited text: quotes doubled inside quoted fields, NULL → ``null_value``. Files are
+    cut at ``rows_per_file``, since one with quoted line feeds is read by one task."""
+    (df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
      .option("header", header).option("sep", sep).option("quote", '"').option("escape", '"')
      .option("quoteAll", quote_all).option("nullValue", null_value).option("emptyValue", '""')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)

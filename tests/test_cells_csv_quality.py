@@ -91,10 +91,32 @@ def test_read_incidents_csv_default_and_verbatim(spark, tmp_path):
 
 def test_verbatim_split_keeps_13_fields_and_trailing_empties(spark):
     lines = spark.createDataFrame([(README_LINES[0],), ("a,,",), ('x,"a,b",',)], "value string")
-    sizes = [r.n for r in lines.select(F.size(F.split("value", CSV.SPLIT_OUTSIDE_QUOTES, -1)).alias("n")).collect()]
+    sizes = [r.n for r in lines.select(F.size(CSV.split_fields(F.col("value"))).alias("n")).collect()]
     assert sizes == [13, 3, 3]
 
 
+def fields_by_hand(line):
+    """Cut at commas that an even number of quotes follows."""
+    out, field = [], ""
+    for i, c in enumerate(line):
+        if c == "," and line[i:].count('"') % 2 == 0:
+            out.append(field)
+            field = ""
+        else:
+            field += c
+    return [*out, field]
+
+
+def test_split_by_hand_and_long_lines(spark):
+    import random
+    r = random.Random(1)
+    lines = ["", ",", '"', '","', 'a,"b,c",d"'] + ["".join(r.choices('a,"', k=r.randint(0, 15))) for _ in range(300)]
+    got = spark.createDataFrame([(x,) for x in lines], "value string").select("value", CSV.split_fields(F.col("value")).alias("f")).collect()
+    assert all(x.f == fields_by_hand(x.value) for x in got)
+    long = spark.range(1).select(F.array_join(F.array_repeat(F.lit('"x,y"'), 100_000), ",").alias("value"))
+    assert long.select(F.size(CSV.split_fields(F.col("value"))).alias("n")).first().n == 100_000
+
+
 def test_two_files_each_with_header(spark, tmp_path):
     d = tmp_path / "two"
     write_lines(str(d / "a.csv"), [HEADER, README_LINES[0]])
@@ -187,7 +209,7 @@ def test_schema_report(spark):
     assert [(r.column, r.type) for r in rows] == [("Count", "bigint"), ("Box", "string")]
 
 
-def test_linear_field_count_equals_lookahead_split(spark):
+def test_field_count_equals_split(spark):
     from hypothesis import given, settings
     from hypothesis import strategies as st
 
@@ -198,23 +220,28 @@ def test_linear_field_count_equals_lookahead_split(spark):
         lines = [l for l in lines if l.count('"') % 2 == 0] or ["a,b"]
         df = spark.createDataFrame([(l,) for l in lines], "value string")
         got = df.select(Q.fields_outside_quotes(F.col("value")).alias("a"),
-                        F.size(F.split("value", CSV.SPLIT_OUTSIDE_QUOTES, -1)).alias("b")).collect()
+                        F.size(CSV.split_fields(F.col("value"))).alias("b")).collect()
         assert all(r.a == r.b for r in got)
     check()
 
 
-def test_profile_cube_reproduces_direct_profiles(spark):
+def test_profile_sets_reproduce_direct_profiles(spark):
     from georisk.operators import profile as P
+    from georisk.plans import inspect as I
     inc = incidents_from_tables(spark, SF001)
-    cube = P.profile_cube(inc)
-    assert P.cube_extent(cube).first() == P.profile_extent(inc).first()
-    assert P.cube_time(cube).first() == P.profile_time(inc).first()
-    assert P.profile_ranges(cube).first() == P.profile_ranges(inc).first()
-    assert sorted(P.cube_count_by(cube, "DayOfWeek").collect()) == sorted(P.count_by(inc, "DayOfWeek").collect())
-    assert P.box_date_stats(P.cube_count_by(cube, "Box", "Date")).first() == \
-        P.box_date_stats(P.box_date_counts(inc)).first()
-    a, b = P.cube_cells(cube), C.box_agg(inc)
+    plan = P.profile_sets(incidents_from_tables(spark, SF001, keep_out_of_bounds=True))
+    text = I.plan_text(plan, "simple")
+    assert text.count("lineitem.parquet") == 1 and I.count_exchanges(plan) == 1
+    sets = plan.cache()
+    overall = P.profile_part(sets, [])
+    assert overall.select("min_x", "max_x", "min_y", "max_y").first() == P.profile_extent(inc).first()
+    assert overall.select("min_ts", "max_ts").first() == P.profile_time(inc).first()
+    assert overall.select(*P.profile_ranges(inc).columns).first() == P.profile_ranges(inc).first()
+    assert sorted(P.profile_part(sets, ["DayOfWeek"]).select("DayOfWeek", "n").collect()) == sorted(P.count_by(inc, "DayOfWeek").collect())
+    assert P.box_date_stats(P.profile_part(sets, ["Box", "Date"])).first() == P.box_date_stats(P.box_date_counts(inc)).first()
+    a, b = P.sets_cells(sets), C.box_agg(inc)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    sets.unpersist()
 
 
 def test_verbatim_split_reproduces_published_parsed_rows(spark):
@@ -243,8 +270,38 @@ def test_wrong_field_counts_fail_strict_and_drop_lenient(spark, tmp_path, verbat
     p = str(tmp_path / f"fc{int(verbatim)}" / "rows.csv")
     write_lines(p, [HEADER, README_LINES[0], short, long, README_LINES[1]])
     got = CSV.read_incidents_csv(spark, p, verbatim=verbatim, lenient=True).collect()
-    # the line split checks whole lines; the CSV reader validates the fields it parses,
-    # so a record with an extra trailing field keeps its first 13 fields there
-    assert sorted(r.Box for r in got) == ([22, 100] if verbatim else [22, 100, 129])
+    assert sorted(r.Box for r in got) == [22, 100]
     with pytest.raises(Exception):
         CSV.read_incidents_csv(spark, p, verbatim=verbatim).collect()
+
+
+CUT = ",".join(README_LINES[0].split(",")[:-2])
+
+
+@pytest.mark.parametrize("verbatim", [False, True])
+@pytest.mark.parametrize("wrong", [CUT, README_LINES[0] + ",extra", README_LINES[0].replace("150470464", "id"),
+                                   README_LINES[0].replace("-122.4159", "west"), README_LINES[0].replace("05/29/2015", "13/45/2015"),
+                                   README_LINES[0].replace("23:40", "")])
+def test_the_answer_does_not_depend_on_the_projection(spark, tmp_path, verbatim, wrong):
+    p = str(tmp_path / "w" / "rows.csv")
+    write_lines(p, [HEADER, wrong, README_LINES[1], README_LINES[2]])
+    kept = CSV.read_incidents_csv(spark, p, verbatim=verbatim, lenient=True)
+    assert kept.count() == len(kept.collect()) == C.box_agg(kept).agg(F.sum("Count")).first()[0] == 2
+    strict = CSV.read_incidents_csv(spark, p, verbatim=verbatim)
+    for read in (strict.count, strict.collect, C.box_agg(strict).collect, strict.select("Category").collect):
+        with pytest.raises(Exception, match="malformed"):
+            read()
+
+
+def test_well_formed_records_are_not_malformed(spark, tmp_path):
+    p = str(tmp_path / "m" / "x.csv")
+    write_lines(p, ['1,"a\nb",x', '2,"say ""hi"", then\n\ngo",y', '3,,', '4,only', '5,a,b,c'])
+    got = {r.status: r.n for r in Q.malformed_records(spark, p, 3).collect()}
+    assert got == {"OK": 3, "TooFewFields": 1, "TooManyFields": 1}
+
+
+def test_files_are_cut_by_rows(spark, tmp_path):
+    out = str(tmp_path / "cut")
+    CSV.write_csv(spark.range(100).coalesce(1), out, rows_per_file=30)
+    assert len([f for f in os.listdir(out) if f.endswith(".csv")]) == 4
+    assert CSV.read_csv(spark, out, "id bigint").count() == 100
