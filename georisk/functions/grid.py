@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,10 +84,15 @@ class GridSpec:
         ``PushedFilters`` (row-group skipping). Each bound is widened by the
         spacing of 32-bit floats at that bound, whatever its magnitude.
         """
-        xf = F.col(x) if isinstance(x, str) else x
-        yf = F.col(y) if isinstance(y, str) else y
-        return ((xf >= F.lit(self.min_x - float_spacing(self.min_x))) & (xf <= F.lit(self.max_x + float_spacing(self.max_x)))
-                & (yf >= F.lit(self.min_y - float_spacing(self.min_y))) & (yf <= F.lit(self.max_y + float_spacing(self.max_y))))
+        return reduce(and_, [bound for bound, _ in self.prefilter_bounds(x, y)])
+
+    def prefilter_bounds(self, x: Column | str, y: Column | str) -> list[tuple[Column, Column | str]]:
+        """The four bounds of :meth:`prefilter`, each with the column it tests."""
+        out = []
+        for v, low, high in ((x, self.min_x, self.max_x), (y, self.min_y, self.max_y)):
+            c = F.col(v) if isinstance(v, str) else v
+            out += [(c >= F.lit(low - float_spacing(low)), v), (c <= F.lit(high + float_spacing(high)), v)]
+        return out
 
     def box_id(self, x: Column | str, y: Column | str) -> Column:
         xf = F.col(x) if isinstance(x, str) else x

@@ -41,13 +41,18 @@ def read_incidents(spark: SparkSession, path: str, grid: GridSpec | None = None,
     if years is not None:
         df = df.filter(F.col("Year").between(years[0], years[1]))
     missing = F.col("Timestamp").isNull() | F.col("X").isNull() | F.col("Y").isNull()
-    if not lenient:  # before the box test, which drops such rows
+    if lenient:
+        df = df.filter(~missing)
+    else:
         df = df.filter(F.when(missing, F.raise_error(F.lit(
             "incident row without coordinates or timestamp"))).otherwise(F.lit(True)))
-    if grid is not None:
-        rest = F.lit(False) if lenient else missing
-        df = df.filter((grid.prefilter("X", "Y") | rest) & (grid.in_bounds("X", "Y") | rest))
-    df = df.filter(~missing)
+    if grid is not None and lenient:
+        df = df.filter(grid.prefilter("X", "Y") & grid.in_bounds("X", "Y"))
+    elif grid is not None:
+        # each bound lets nulls through, so that skipped row groups hide none from the check above
+        for bound, c in grid.prefilter_bounds("X", "Y"):
+            df = df.filter(bound | F.col(c).isNull())
+        df = df.filter(F.coalesce(grid.in_bounds("X", "Y"), F.lit(True)))
     cols = {c: F.col(c) for c in INCIDENT_COLUMNS} | {"Date": date_column(F.col("Timestamp"), date_mode)}
     if grid is not None:
         cols["Box"] = grid.box_id("X", "Y")
