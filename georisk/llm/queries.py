@@ -10,7 +10,7 @@ from georisk.llm.secret_scan import ACCESS, ASSIGN, HEX, op3_secret_scan
 from georisk.llm.sharding import op4_sharding
 from georisk.llm.simhash import op7_simhash
 from georisk.llm.span_sql import spans_sql
-from georisk.llm.substring_dedup import op2_substring_dedup
+from georisk.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from georisk.llm.topk import OP5_SQL, op5_exact_top_k
 from georisk.llm.url_filter import OP9_SQL, op9_url_filter
 
@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": OP2_SQL,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": spans_sql([("assign", ASSIGN, "length(@v) >= 8", 2), ("access", ACCESS, "length(@v) >= 16", 0),
                                   ("hex", HEX, "length(@v) >= 32", 0)], by_kind=False),

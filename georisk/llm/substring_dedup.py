@@ -197,3 +197,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 def op2_substring_dedup(spark, sf_dir):
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS least FROM x GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN f USING (h) WHERE least < doc_id),
+kept AS (
+  SELECT doc_id, string_agg(v, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (doc_id, p)
+  GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
