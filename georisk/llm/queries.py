@@ -29,10 +29,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": OP2_SQL,
-    "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": spans_sql([("assign", ASSIGN, "length(@v) >= 8", 2), ("access", ACCESS, "length(@v) >= 16", 0),
                                   ("hex", HEX, "length(@v) >= 32", 0)], by_kind=False),
-    "op4_sharding": op4_sharding,
     "op5_exact_top_k": OP5_SQL,
     "op8_pii": spans_sql(SQL_KINDS, by_kind=True),
     "op9_url_filter": OP9_SQL,

@@ -85,3 +85,17 @@ def test_stages_on_awkward_rows(spark, rows):
         assert seen[1] == len({brute_fp(t) for t in with_letters}) == seen[2] == seen[3] == seen[4]
     else:
         assert seen == [0] * 5
+
+
+def test_oracles_are_sql_and_match(spark):
+    import duckdb
+    from georisk.llm.queries import ORACLES, QUERIES
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF0001}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        got = QUERIES[name](spark, SF0001)
+        want = con.execute(sql)
+        names = [c[0] for c in want.description]
+        assert sorted(names) == sorted(got.columns), name
+        assert sorted(map(repr, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(repr, want.fetchall())), name
