@@ -344,6 +344,18 @@ def q_csv_roundtrip(spark, sf_dir):
                         null_value=DOC_NULL)
 
 
+@register("csv_options", "SELECT doc_id, lang, source, n_chars FROM documents")
+def q_csv_options(spark, sf_dir):
+    """All documents' metadata as semicolon-separated lines among comments and blank lines."""
+    docs = read_table(spark, sf_dir, "documents")
+    record = F.concat_ws(";", "doc_id", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")),
+                         F.coalesce(F.col("n_chars").cast("string"), F.lit("")))
+    lines = docs.select(F.explode(F.array(F.concat(F.lit("# next: "), F.col("doc_id").cast("string")), F.lit(""), record)).alias("value"))
+    path = shared_path(spark, "documents-lines")
+    lines.write.text(path)
+    return CSV.read_csv(spark, path, "doc_id bigint, lang string, source string, n_chars bigint", header=False, sep=";", comment="#")
+
+
 MALFORMED_SQL = """
 SELECT 'documents' AS source, 'OK' AS status, COUNT(*) AS n FROM documents HAVING COUNT(*) > 0
 UNION ALL
