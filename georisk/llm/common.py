@@ -67,7 +67,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str,
     ``make`` runs once per task and returns a function from a slice of texts to
     one list or array per field.
     """
-    src = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
     schema = T.StructType([*src.schema.fields[:-1], *[T.StructField(n, t) for n, t in fields]])
     names, n_keep = schema.fieldNames(), len(keep)
     kinds = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(),
