@@ -95,16 +95,24 @@ def test_streaming_scorer(spark, labelled_small, tmp_path):
     (folder / "b.txt").write_text("2015-05-29 23:40:00\nnot a date\n")
     cube = ST.slot_cube(spark, GridSpec(), labelled=labelled_small)
     out = str(tmp_path / "scored")
-    q = ST.start(spark, str(folder), out, cube, checkpoint=str(tmp_path / "ckpt"), now=NOW, available_now=True)
+    q = ST.start(spark, str(folder), out, cube, checkpoint=str(tmp_path / "ckpt"), now=NOW, available_now=True, expand=True)
     q.awaitTermination(120)
     res = spark.read.parquet(out)
     assert res.count() == 3 * 166
     assert res.filter(~F.col("valid")).select("request").distinct().first().request == "not a date"
     # a second file arriving later is picked up by the next run, earlier ones are not redone
     (folder / "c.txt").write_text("2015-07-04 12:00:00\n")
-    q2 = ST.start(spark, str(folder), out, cube, checkpoint=str(tmp_path / "ckpt"), now=NOW, available_now=True)
+    q2 = ST.start(spark, str(folder), out, cube, checkpoint=str(tmp_path / "ckpt"), now=NOW, available_now=True, expand=True)
     q2.awaitTermination(120)
     assert spark.read.parquet(out).count() == 4 * 166
+    # by default one row per request, with the same levels
+    short = str(tmp_path / "levels")
+    q3 = ST.start(spark, str(folder), short, cube, checkpoint=str(tmp_path / "ckpt3"), now=NOW, available_now=True)
+    q3.awaitTermination(120)
+    levels = {r.request: list(r.levels) for r in spark.read.parquet(short).collect()}
+    assert len(levels) == 4
+    for r in spark.read.parquet(out).collect():
+        assert levels[r.request][r.Box] == r.pred
 
 
 def test_batch_request_files(spark, tmp_path):
