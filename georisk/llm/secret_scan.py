@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from georisk.llm.common import slices, table, written
+from georisk.llm.components import hub_join
 from georisk.session import shared_path
 
 LEDGER = "blob binary, rule string, rule_version string, starts array<bigint>, ends array<bigint>"
@@ -110,8 +111,12 @@ def blob_findings(ledger: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: list[Rule] = BASE) -> DataFrame:
-    """All columns of ``paths`` plus the spans of the blob each holds."""
-    return paths.join(blob_findings(ledger, rules), "blob", "left")
+    """All columns of ``paths`` plus the spans of the blob each holds; the paths of a
+    blob that very many hold stay where they are."""
+    paths = written(paths, "secret-paths")
+    holders = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("__n"))
+    facts = holders.join(blob_findings(ledger, rules), "blob", "left")
+    return hub_join(paths, facts, "blob", "__n", paths.count())
 
 
 def op3_secret_scan(spark, sf_dir):
