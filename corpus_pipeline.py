@@ -48,7 +48,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of the round trip."""
     ranks, pattern = bpe.production()
-    return bpe.digests(bpe.encode(docs, ranks, pattern, keep=["doc_id"]), ranks, keep_ids=True)
+    return bpe.digests(docs, ranks, pattern, keep_ids=True)
 
 
 STAGES = [
