@@ -3,6 +3,9 @@ Arrow batches handled in slices of bounded size."""
 
 from __future__ import annotations
 
+import gc
+import sys
+from types import ModuleType
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +24,10 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Name under which a worker process keeps what serves later tasks.
+REGISTRY = "georisk_llm_worker"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: later reads survive
     lost executors and never repeat the work."""
@@ -61,11 +68,12 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterat
 
 
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str, T.DataType]],
-              make: Callable[[], Callable[[pa.Array], list]], limit: int = SLICE_BYTES) -> DataFrame:
+              make: Callable[[], Callable[[pa.Array], list]], limit: int = SLICE_BYTES, owner: str = "") -> DataFrame:
     """One output row per row: ``keep`` columns as they are, then ``fields``.
 
     ``make`` runs once per task and returns a function from a slice of texts to
-    one list or array per field.
+    one list or array per field. What it keeps in the worker's registry stays for
+    later tasks of the same ``owner``; tasks of others let go of it.
     """
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
     schema = T.StructType([*src.schema.fields[:-1], *[T.StructField(n, t) for n, t in fields]])
@@ -76,11 +84,18 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str,
     types = [kinds[t] for _, t in fields]
 
     def run(batches):
+        held = sys.modules.setdefault(REGISTRY, ModuleType(REGISTRY)).__dict__
+        if held.get("owner") != owner:
+            for name in [n for n in held if not n.startswith("__")]:
+                del held[name]
+            gc.collect()
+            held["owner"] = owner
         fn = make()
         for b in batches:
             for part in slices(b, n_keep, limit):
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(fn(part.column(n_keep)), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *cols], names=names)
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, schema)
 
