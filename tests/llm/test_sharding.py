@@ -50,6 +50,21 @@ def test_all_linked(spark):
     check(rows, sharded(spark, rows))
 
 
+def test_most_rows_linked_in_pairs(spark):
+    for n, linked in ((20000, 20000), (20000, 18000)):
+        rows = [(i, f"pair {i // 2}" if i < linked else f"alone {i}", "en") for i in range(n)]
+        got = sharded(spark, rows)
+        check(rows, got)
+        assert off(got) <= 16  # the groups at the edges of eight shards
+
+
+def test_admission_counts_departures():
+    assert S.admissible([[0, 5], [4, 0]], [0, 0]) == [[0, 4], [4, 0]]
+    assert S.admissible([[0, 5], [4, 0]], [0, 1]) == [[0, 5], [4, 0]]
+    assert S.admissible([[0, 3, 0], [0, 0, 3], [2, 0, 0]], [0, 0, 0]) == [[0, 2, 0], [0, 0, 2], [2, 0, 0]]
+    assert S.admissible([[0, 3], [0, 0]], [4, -2]) == [[0, 0], [0, 0]]
+
+
 def test_awkward_rows(spark):
     check(awkward(), sharded(spark, awkward()))
     assert sharded(spark, []) == []
