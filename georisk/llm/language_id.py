@@ -7,8 +7,9 @@ the document's length, wins (the cross-parsing estimate of cross-entropy).
 
 The automata are fitted on a bounded sample: at most ``docs_per_language``
 labelled documents per language, chosen by the smallest key hash in each of as
-many hash buckets, and ``chars_per_doc`` characters of each. Every character of
-every document is parsed. Parsing restarts every ``BLOCK`` characters, for all
+many hash buckets, and ``chars_per_doc`` characters of each. Every letter of
+the samples has a class of its own: up to ``DENSE_WIDTH`` classes, transitions are
+full tables, beyond that sorted keys. Every character of every document is parsed. Parsing restarts every ``BLOCK`` characters, for all
 languages alike, so that the blocks of many documents advance together.
 
 Defined cases: text null or without a letter -> ``und`` with score 0; no
@@ -31,6 +32,8 @@ from georisk.llm.common import map_texts
 BLOCK = 256
 #: The model goes to every worker, so the number of languages has to be bounded.
 MAX_LANGUAGES = 200
+#: Widest full transition table (memory grows with states x classes).
+DENSE_WIDTH = 256
 GAP, OTHER = 0, 255
 
 
@@ -89,6 +92,28 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return go
 
 
+class SparseTable:
+    """Reads like the full transition table, but keeps only the automaton's edges.
+    ``restart`` is the full table's first row: the moves of a new phrase."""
+
+    dtype = np.dtype(np.int64)
+
+    def __init__(self, edges: np.ndarray, width: int):
+        first, inner = edges[edges[:, 0] == 0], edges[edges[:, 0] > 0].astype(np.int64)
+        self.width = width
+        self.restart = np.ones(width, np.int64)
+        self.restart[first[:, 1]] += first[:, 2].astype(np.int64) * width * 2
+        keys, moves = inner[:, 0] * width + inner[:, 1], inner[:, 2] * width * 2
+        order = np.argsort(keys)
+        self.keys, self.moves = np.append(keys[order], -1), np.append(moves[order], 0)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        chars = at % self.width
+        i = np.searchsorted(self.keys[:-1], at)
+        found = np.where(self.keys[i] == at, self.moves[i], self.restart[chars])
+        return np.where(chars == self.width - 1, 2 * (at - chars), found)
+
+
 class LanguageModel:
     """Automata of all languages as sparse transitions; small enough to ship."""
 
@@ -99,35 +124,36 @@ class LanguageModel:
         texts = {k: letters_of("\n".join(v)) for k, v in sorted((sample or {}).items())}
         texts = {k: t for k, t in texts.items() if t}
         self.languages = list(texts)
-        # 253 letters at most get a class of their own, by frequency; the rest are "other".
         counts: dict[str, int] = {}
         for t in texts.values():
             for c in t.replace(" ", ""):
                 counts[c] = counts.get(c, 0) + 1
-        self.alphabet = sorted(counts, key=lambda c: (-counts[c], c))[:253]
+        self.alphabet = sorted(counts, key=lambda c: (-counts[c], c))
         ids = {c: i + 1 for i, c in enumerate(self.alphabet)} | {" ": GAP}
         self.log_size = [math.log2(len(t) + 1) for t in texts.values()]
         self.edges = []
         for t in texts.values():
             go = suffix_automaton(t)
-            e = [(s, ids[c], to) for s, out in enumerate(go) for c, to in out.items() if c in ids]
+            e = [(s, ids[c], to) for s, out in enumerate(go) for c, to in out.items()]
             self.edges.append((len(go), np.array(e, np.int32)))
 
     def plain(self) -> tuple:
         return self.languages, self.alphabet, self.log_size, self.edges
 
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray], int]:
-        """Character classes, one complete transition table per language, its width.
+    def tables(self) -> tuple[np.ndarray, list[np.ndarray | SparseTable], int]:
+        """Character classes, one transition table per language, its width.
 
         Entry ``state * width + class`` holds ``2 * next_row + starts_phrase``,
         where next_row is already a multiple of the width. Two extra classes: a
         letter never seen (a phrase of its own) and padding (no move).
         """
         width = len(self.alphabet) + 3
-        classes = np.zeros(0x110000, np.uint8)
+        classes = np.zeros(0x110000, np.min_scalar_type(width - 1))
         classes[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = width - 2
         for i, c in enumerate(self.alphabet):
             classes[ord(c)] = i + 1
+        if width > DENSE_WIDTH:
+            return classes, [SparseTable(e, width) for _, e in self.edges], width
         out = []
         for states, e in self.edges:
             t = np.full((states, width), -1, np.int64)
@@ -154,13 +180,13 @@ def _blocks(texts: list[str], classes: np.ndarray, pad: int):
     sizes, n_letters = np.diff(kept[cuts]), np.diff(letters[cuts])
     rows = -(-sizes // BLOCK)
     first = np.concatenate([[0], np.cumsum(rows)])
-    grid = np.full(int(first[-1]) * BLOCK, pad, np.uint8)
+    grid = np.full(int(first[-1]) * BLOCK, pad, classes.dtype)
     shift = np.repeat(first[:-1] * BLOCK - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
     grid[np.arange(len(shift)) + shift] = cls[keep]
     return np.ascontiguousarray(grid.reshape(-1, BLOCK).T), first, sizes, n_letters
 
 
-def phrases(columns: np.ndarray, table: np.ndarray) -> np.ndarray:
+def phrases(columns: np.ndarray, table: np.ndarray | SparseTable) -> np.ndarray:
     """Phrases needed by each block (one column per character position)."""
     row = np.zeros(columns.shape[1], table.dtype)
     count = np.zeros(columns.shape[1], np.int32)

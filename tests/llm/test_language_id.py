@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from georisk.llm import language_id as L
@@ -29,6 +30,36 @@ def test_suffix_automaton_accepts_exactly_the_substrings():
     assert len(go) <= 2 * len(text)
 
 
+def test_sparse_table_is_the_full_table(monkeypatch):
+    r = random.Random(3)
+    model = L.LanguageModel({"a": ["".join(r.choices("abcd ", k=300))], "b": ["".join(r.choices("cdef ", k=300))]})
+    _, full, width = model.tables()
+    monkeypatch.setattr(L, "DENSE_WIDTH", 0)
+    _, sparse, _ = model.tables()
+    for f, s in zip(full, sparse):
+        assert isinstance(s, L.SparseTable) and (s[np.arange(len(f))] == f).all()
+
+
+def test_many_letters():
+    """Letters beyond the 253 most frequent ones take part."""
+    r = random.Random(4)
+    letters = {k: [chr(at + i) for i in range(1500)] for k, at in (("x", 0x4E00), ("y", 0x6000))}
+    train = {k: ["".join(r.choices(v, k=4)) * 3 for _ in range(300)] for k, v in letters.items()} | {"tiny": ["ab"]}
+    model = L.LanguageModel(train)
+    assert len(model.alphabet) == len(set("".join("".join(v) for v in train.values())))
+    classes, tables, width = model.tables()
+    held = {k: L.letters_of("\n".join(v)) for k, v in train.items()}
+    for k in ("x", "y"):
+        texts = ["".join(r.choices(train[k], k=9))[:100] for _ in range(30)]
+        columns, first, sizes, _ = L._blocks(texts, classes, width - 1)
+        cost = []
+        for size, table, lang in zip(model.log_size, tables, model.languages):
+            n = L.phrases(columns, table)
+            assert list(n) == [brute_phrases(L.letters_of(t), held[lang]) for t in texts]
+            cost.append(n * size / sizes)
+        assert all(model.languages[b] == k for b in np.argmin(cost, axis=0))
+
+
 def brute_phrases(text, train):
     """Greedy longest phrases, restarting every BLOCK characters."""
     n = 0
