@@ -9,7 +9,8 @@ are of integers and exact: in doubles while sums stay below 2**53, else in
 Defined cases: a vector that is null or holds a null or non-finite component
 takes no part, nor does a row without an id; vectors meet only vectors of their
 own length; ties go to the smaller id; a row repeated with the same id and
-vector counts once, and rows that share the query's id are the query's own;
+vector counts once (it is made distinct before rows are dealt to tiles, so a
+repeated row fills no tile), and rows that share the query's id are the query's own;
 scores beyond 64 bits saturate; no query or no candidate -> no rows for it;
 other columns are not read.
 """
@@ -65,13 +66,13 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return row[rank < k], col[rank < k]
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "v") -> DataFrame:
-    """(query_id, rank, vec_id, score); ``vector`` columns are arrays of bigint."""
+def dealt(candidates: DataFrame, queries: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame, int]:
+    """Candidates and queries with the shard and block of each of their tiles, and the number of shards."""
     def keyed(df):
-        return df.where(F.col(key).isNotNull()).select(
-            F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("dim"), F.xxhash64(vector).alias("h"))
+        # Distinct before anything else, partly before the shuffle: no tile gets a repeated row.
+        return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct().select(
+            "id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h"))
 
-    # An equal (id, vector) always lands in the same tile, where it is counted once.
     cand, query = keyed(candidates), keyed(queries)
     shards = max(1, -(-cand.count() // SHARD_ROWS))
     blocks = max(1, -(-query.count() // BLOCK_ROWS))
@@ -79,6 +80,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, key: str = "ve
     cand = cand.withColumn("shard", spread).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     query = query.withColumn("block", F.pmod(F.xxhash64("id", "h"), F.lit(blocks)).cast("int")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return cand, query, shards
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "v") -> DataFrame:
+    """(query_id, rank, vec_id, score); ``vector`` columns are arrays of bigint."""
+    cand, query, shards = dealt(candidates, queries, key, vector)
     tile = ["dim", "shard", "block"]
     schema = "query_id bigint, qh bigint, shard int, vec_id bigint, score bigint"
 
@@ -87,16 +94,13 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, key: str = "ve
         if left.num_rows and right.num_rows:
             dim, shard = left["dim"][0].as_py(), left["shard"][0].as_py()
 
-            def once(t):
+            def by_id(t):
                 ids, h = t["id"].to_numpy(), t["h"].to_numpy()
                 order = np.lexsort((h, ids))
-                ids, h = ids[order], h[order]
-                new = np.ones(len(ids), bool)
-                new[1:] = (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])
-                return ids[new], h[new], _matrix(t, dim)[order][new] if dim else np.zeros((int(new.sum()), 0), np.int64)
+                return ids[order], h[order], _matrix(t, dim)[order] if dim else np.zeros((len(ids), 0), np.int64)
 
-            ids, _, c = once(left)
-            qids, qh, q = once(right)
+            ids, _, c = by_id(left)
+            qids, qh, q = by_id(right)
             for at in range(0, len(qids), 128):
                 s = products(q[at: at + 128], c)
                 s[qids[at: at + 128, None] == ids[None, :]] = LOWEST

@@ -52,6 +52,16 @@ def link(*urls):
     return "".join(f'<a HREF = "{u}">x</a>' for u in urls)
 
 
+def test_a_repeated_row_fills_no_tile(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_ROWS", 100)
+    rows = [(i if i % 3 else 0, [i if i % 3 else 0, 1]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>")
+    cand, query, shards = K.dealt(df, df.where("vec_id % 100 = 0"), "vec_id", "v")
+    assert shards == 11  # 1001 distinct rows
+    for side in (cand, query):
+        assert side.groupBy("dim", "shard", "block").count().agg({"count": "max"}).first()[0] <= 150
+
+
 def test_rules_hosts_and_paths(spark):
     rows = [("http://A.Net/x?q", None), ("//a.net/x", ""), (None, "x"), ("s://bad.net/x/yz#f", ""), ("s://w.bad.net/x", ""),
             ("s://notbad.net", ""), ("s://éÉ.net?/x", ""), ("a://b://c/d", ""), ("http://h.org", ""), ("", ""), ("x\n://y.net/", "")]
