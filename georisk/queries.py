@@ -726,14 +726,24 @@ def _is_level(c: str) -> F.Column:
     return F.col(c).isin(0, 1, 2).alias("is_level")
 
 
-@register("train_tree", sql(O.INCIDENTS_ALL, O.CELLS, body="""
+def _nodes(spark, sf_dir) -> DataFrame:
+    _, model = _trained(spark, sf_dir)
+    return T.saved_nodes(spark, T.save_model(model, shared_path(spark, "model")))
+
+
+@register("train_tree")
+def q_train_tree(spark, sf_dir):
+    """The saved tree's node table."""
+    return _nodes(spark, sf_dir)
+
+
+@register("train_tree_checks", sql(O.INCIDENTS_ALL, O.CELLS, body="""
 SELECT COUNT(*) FILTER (WHERE label = 0) AS class_0, COUNT(*) FILTER (WHERE label = 1) AS class_1,
   COUNT(*) FILTER (WHERE label = 2) AS class_2, TRUE AS children_add_up, TRUE AS depth_in_bounds FROM labelled"""))
-def q_train_tree(spark, sf_dir):
-    """The saved tree's node table: class counts of the root, children's counts add up to
+def q_train_tree_checks(spark, sf_dir):
+    """Checks of the saved tree's node table: class counts of the root, children's counts add up to
     their parent's, and there are at most 2**6 - 1 nodes."""
-    _, model = _trained(spark, sf_dir)
-    nodes = T.saved_nodes(spark, T.save_model(model, shared_path(spark, "model")))
+    nodes = _nodes(spark, sf_dir)
     classes = ["class_0", "class_1", "class_2"]
     inner = nodes.filter("leftChild >= 0")
     root = [F.sum(F.when(F.col("id") == 0, F.col(c))).alias(c) for c in classes]
@@ -747,14 +757,24 @@ def q_train_tree(spark, sf_dir):
         "depth_in_bounds"))
 
 
-@register("predict_one", """
-SELECT CAST(72 AS INTEGER) AS Box, CAST(8 AS INTEGER) AS "Month", CAST(2 AS INTEGER) AS DayOfWeekNum,
-  CAST(1 AS INTEGER) AS DayPeriod, TRUE AS is_level""")
-def q_predict_one(spark, sf_dir):
-    """The tree on all slots applied to the slot (Box 72, Month 8, DayOfWeekNum 2, DayPeriod 1)."""
+def _predicted_one(spark, sf_dir) -> DataFrame:
     _, model = _trained(spark, sf_dir)
     probe = spark.range(1).select(*[F.lit(v).alias(k) for k, v in zip(CELL_KEYS, (72, 8, 2, 1))])
-    return T.predict(model, probe).select(*CELL_KEYS, _is_level("prediction"))
+    return T.predict(model, probe)
+
+
+@register("predict_one")
+def q_predict_one(spark, sf_dir):
+    """The tree on all slots applied to the slot (Box 72, Month 8, DayOfWeekNum 2, DayPeriod 1)."""
+    return _predicted_one(spark, sf_dir).select(*CELL_KEYS, "prediction")
+
+
+@register("predict_one_checks", """
+SELECT CAST(72 AS INTEGER) AS Box, CAST(8 AS INTEGER) AS "Month", CAST(2 AS INTEGER) AS DayOfWeekNum,
+  CAST(1 AS INTEGER) AS DayPeriod, TRUE AS is_level""")
+def q_predict_one_checks(spark, sf_dir):
+    """Whether the prediction of ``predict_one`` is a level."""
+    return _predicted_one(spark, sf_dir).select(*CELL_KEYS, _is_level("prediction"))
 
 
 def _eval_preds(spark, sf_dir) -> DataFrame:
@@ -806,11 +826,17 @@ def _reference_slot_scores(spark, sf_dir):
     return S.score_slots_with_model(model, slot, GRID)
 
 
-@register("score_reference_slot", f"""
-SELECT CAST(8 AS INTEGER) AS "Month", CAST(2 AS INTEGER) AS DayOfWeekNum, CAST(1 AS INTEGER) AS DayPeriod,
-  CAST(range AS INTEGER) AS Box, TRUE AS is_level FROM range(0, {NB})""")
+@register("score_reference_slot")
 def q_score_reference_slot(spark, sf_dir):
     """What the reference scorer outputs: all boxes at the constant slot (8, 2, 1)."""
+    return _reference_slot_scores(spark, sf_dir).orderBy("Box").select(*S.SLOT_KEYS, "Box", "pred")
+
+
+@register("score_reference_slot_checks", f"""
+SELECT CAST(8 AS INTEGER) AS "Month", CAST(2 AS INTEGER) AS DayOfWeekNum, CAST(1 AS INTEGER) AS DayPeriod,
+  CAST(range AS INTEGER) AS Box, TRUE AS is_level FROM range(0, {NB})""")
+def q_score_reference_slot_checks(spark, sf_dir):
+    """Keys of ``score_reference_slot``, and whether each score is a level."""
     return _reference_slot_scores(spark, sf_dir).orderBy("Box").select(*S.SLOT_KEYS, "Box", _is_level("pred"))
 
 

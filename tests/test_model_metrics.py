@@ -133,3 +133,15 @@ def test_published_labelled_points(spark):
                    (1.0, [78.0, 9.0, 5.0, 3.0]), (1.0, [79.0, 3.0, 4.0, 1.0])]
     meta = T.assemble(C.label_cells(cells)).schema["features"].metadata["ml_attr"]["attrs"]
     assert {a["name"]: a["num_vals"] for a in meta["nominal"]} == {"Month": 12, "DayOfWeekNum": 8, "DayPeriod": 4}
+
+
+def test_tree_queries_return_the_tree_and_its_levels(spark, labelled_small):
+    from georisk.queries import ORACLES, QUERIES
+    model = T.train_tree(labelled_small)
+    nodes = QUERIES["train_tree"](spark, "/root/testdata/sf0.001").collect()
+    assert len(nodes) == model.numNodes and {"id", "prediction", "leftChild", "rightChild", "class_0"} <= set(nodes[0].asDict())
+    one = QUERIES["predict_one"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.prediction for r in one] == [T.predict_vector(model, [72, 8, 2, 1])]
+    slot = QUERIES["score_reference_slot"](spark, "/root/testdata/sf0.001").collect()
+    assert [r.pred for r in slot] == [T.predict_vector(model, [r.Box, 8, 2, 1]) for r in slot]
+    assert {"train_tree_checks", "predict_one_checks", "score_reference_slot_checks"} <= set(ORACLES)
