@@ -7,6 +7,9 @@ from hosts of blocked pages against them; a host is blocked when its distrust
 exceeds ``threshold`` times its trust. Host edges are hyperlinks between hosts
 and the steps between a host and the domain above it. Ranks are integers, so
 sums do not depend on the order of rows and a retried task gives the same bits.
+Shares are rounded up, so every host that a seed reaches has a rank. Ranks only
+grow; rounds go on until, over the last ``LOOK`` rounds, no further host was
+reached and all ranks together grew by at most MASS / ``SETTLED``.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; a
 host that no seed reaches is allowed; null html has no links; repeated rows and
@@ -29,7 +32,11 @@ ALLOW, BLOCK = "allow", "block"
 #: Rank is handed out in units of one in MASS.
 MASS = 10**15
 DAMPING = 85
+#: Rounds of the SQL oracle.
 ROUNDS = 10
+#: Rounds between two looks at how ranks have grown, and the share of MASS that still counts as growth.
+LOOK = 8
+SETTLED = 10**4
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>\\]+)"""
 
@@ -88,9 +95,11 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return linked.unionByName(both).where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """(side, host, rank): side 't' along the edges, 'd' against them.
-    ``seeds`` has (side, host, pages); each side's seeds share MASS by their pages."""
+    ``seeds`` has (side, host, pages); each side's seeds share MASS by their pages.
+    Without ``rounds`` until ranks have settled, shares rounded up; else as many rounds
+    from the seeds' whole MASS, shares rounded down."""
     def key(side, host):
         return F.concat(side, F.lit(" "), host)
 
@@ -99,21 +108,30 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     arrows = written(arrows, "url-arrows")
     out = written(arrows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "url-degrees")
     n = arrows.count()
-    total = seeds.groupBy("side").agg(F.sum("pages").alias("all"))  # two rows
-    start = written(seeds.join(F.broadcast(total), "side").select(
+    shares = seeds.groupBy("side").agg(F.sum("pages").alias("all"))  # two rows
+    start = written(seeds.join(F.broadcast(shares), "side").select(
         key("side", "host").alias("k"), F.expr(f"CAST(CAST(pages AS DECIMAL(38,0)) * {MASS} DIV all AS BIGINT)").alias("seed")),
         "url-seeds")
-    rank = start.select("k", F.col("seed").alias("rank"))
-    for _ in range(rounds):
-        share = rank.join(out, "k").select("k", "n", F.expr(f"rank * {DAMPING} DIV 100 DIV n").alias("share")).where("share > 0")
+    own = start.select("k", F.expr(f"seed * {100 - DAMPING} DIV 100").alias("rank"))
+    rank = own if rounds is None else start.select("k", F.col("seed").alias("rank"))
+    up = "0" if rounds is not None else "100 * n - 1"
+    done, reached, total = 0, 0, 0
+    while done != rounds:
+        share = rank.join(out, "k").select("k", "n", F.expr(f"(rank * {DAMPING} + {up}) DIV (100 * n)").alias("share")).where("share > 0")
         given = hub_join(arrows, share, "k", "n", n).select(F.col("to").alias("k"), F.col("share").alias("rank"))
-        own = start.select("k", F.expr(f"seed * {100 - DAMPING} DIV 100").alias("rank"))
         rank = written(given.unionByName(own).groupBy("k").agg(F.sum("rank").alias("rank")), "url-rank")
+        done += 1
+        if rounds is None and done % LOOK == 0:
+            now = rank.agg(F.count(F.lit(1)), F.sum(F.col("rank").cast("decimal(38,0)"))).first()
+            hosts, ranks = now[0], int(now[1] or 0)
+            if hosts == reached and ranks - total <= MASS // SETTLED:
+                break
+            reached, total = hosts, ranks
     return rank.select(F.substring("k", 1, 1).alias("side"), F.substring("k", 3, 1 << 30).alias("host"), "rank")
 
 
 def filter_pages(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", html: str = "html",
-                 threshold: int = 1, rounds: int = ROUNDS) -> DataFrame:
+                 threshold: int = 1, rounds: int | None = None) -> DataFrame:
     """(key, host, path, rule, verdict) of every page."""
     told = judged(pages.select(key, url), rules, url).select(key, "host", "path", "rule", "judged")
     with_html = pages.select(host_and_path(url)[0].alias("host"), html)

@@ -83,6 +83,13 @@ def test_trust_and_distrust_propagate(spark):
                    "worse.io": "block", "alone.io": "allow"}
 
 
+def test_a_long_chain_to_a_blocked_host(spark):
+    rows = [("s://bad.net/x", ""), ("s://c0.io/", link("http://bad.net/x"))] + [
+        (f"s://c{i}.io/", link(f"http://c{i - 1}.io")) for i in range(1, 14)] + [("s://alone.com/", "")]
+    got = {r.host: r.verdict for r in U.filter_pages(pages(spark, rows), RULES).collect()}
+    assert got == {f"c{i}.io": "block" for i in range(14)} | {"bad.net": "block", "alone.com": "allow"}
+
+
 def test_ranks_against_plain_arithmetic(spark):
     r = random.Random(4)
     edges = sorted({(f"h{r.randrange(12)}", f"h{r.randrange(12)}") for _ in range(40)})
