@@ -5,6 +5,7 @@ from __future__ import annotations
 from georisk.llm.bpe import op10_byte_bpe
 from georisk.llm.decontaminate import op6_decontamination
 from georisk.llm.language_id import op1_language_id
+from georisk.llm.packing import op11_packing
 from georisk.llm.pii import SQL_KINDS, op8_pii
 from georisk.llm.secret_scan import ACCESS, ASSIGN, HEX, op3_secret_scan
 from georisk.llm.sharding import op4_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_packing": op11_packing,
 }
 
 ORACLES: dict[str, str] = {
