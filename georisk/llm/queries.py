@@ -5,6 +5,7 @@ from __future__ import annotations
 from georisk.llm.bpe import op10_byte_bpe
 from georisk.llm.decontaminate import op6_decontamination
 from georisk.llm.language_id import op1_language_id
+from georisk.llm.lexical import OP13_SQL, op13_lexical_search
 from georisk.llm.packing import op11_packing
 from georisk.llm.pii import SQL_KINDS, op8_pii
 from georisk.llm.secret_scan import ACCESS, ASSIGN, HEX, op3_secret_scan
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_packing": op11_packing,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_top_k": OP5_SQL,
     "op8_pii": spans_sql(SQL_KINDS, by_kind=True),
     "op9_url_filter": OP9_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
