@@ -15,6 +15,7 @@ from georisk.llm.span_sql import spans_sql
 from georisk.llm.substring_dedup import OP2_SQL, op2_substring_dedup
 from georisk.llm.topk import OP5_SQL, op5_exact_top_k
 from georisk.llm.url_filter import OP9_SQL, op9_url_filter
+from georisk.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_packing": op11_packing,
+    "op12_whitening": op12_whitening,
     "op13_lexical_search": op13_lexical_search,
 }
 
