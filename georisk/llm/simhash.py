@@ -8,8 +8,9 @@ fewer differing bits agree on that table's mask and meet there. No link is misse
 
 Only distinct fingerprints are bucketed. A bucket of two is one comparison; a
 larger one is cut into blocks by hash, each pair of blocks is a tile, and a tile
-yields a spanning forest of its links, never all pairs. Components are found
-over those links.
+yields a star for each group of linked fingerprints, never all pairs. A very large
+bucket is first dealt to finer ones by a covering family over its free bits.
+Components are found over those links.
 
 Defined cases: null, empty or blank text -> fingerprint zero, linked like any
 other; fewer words than the shingle -> the whole sequence is one shingle; a null
@@ -36,6 +37,8 @@ SEED = 42
 BITS = 64
 #: Fingerprints of a bucket that one block holds on average.
 BLOCK = 1024
+#: Beyond so many fingerprints a bucket is split by further bits before it is cut into tiles.
+CROWDED = 16 * BLOCK
 LONG_TEXT = 1 << 22
 CHUNK = 1 << 15
 
@@ -98,37 +101,53 @@ def fingerprints(df: DataFrame, keep: list[str], text: str, shingle: int, out: s
     return map_texts(df, text, keep, [(out, T.LongType())], make)
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """One mask (signed) per table; see the module's text."""
     vectors = [i % ((1 << (radius + 1)) - 1) + 1 for i in range(bits)]
-    masks = [sum(1 << i for i, m in enumerate(vectors) if bin(m & v).count("1") % 2) for v in range(1, 1 << (radius + 1))]
-    return [m - (1 << bits) if m >> (bits - 1) else m for m in masks]
+    return [_signed(sum(1 << i for i, m in enumerate(vectors) if bin(m & v).count("1") % 2)) for v in range(1, 1 << (radius + 1))]
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Index pairs of a spanning forest of the links within the radius."""
+    """Index pairs (first member found, other) that connect all links within the radius."""
     left, a, b = np.arange(len(fps)), [], []
     while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
+        root, left = int(left[0]), left[1:]
+        queue = [root]
         while queue and len(left):
-            i = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[i]) <= radius
+            near = np.bitwise_count(fps[left] ^ fps[queue.pop()]) <= radius
             if near.any():
                 found = left[near].tolist()
                 left = left[~near]
                 queue += found
-                a += [i] * len(found)
+                a += [root] * len(found)
                 b += found
     return a, b
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between distinct fingerprints that connect all within the radius."""
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k"))
-                       for i, m in enumerate(covering_masks(radius))])
-    placed = fps.select("fp", F.explode(tables).alias("b")).select("b.t", "b.k", "fp")
-    buckets = placed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    buckets = written(buckets.where("n > 1"), "simhash-buckets")
+def finer_masks(mask: int, radius: int) -> list[int]:
+    """``mask`` with each mask of a covering family over the bits it leaves free."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    family = covering_masks(radius, len(free))
+    return [_signed((mask | sum(1 << free[i] for i in range(len(free)) if m >> i & 1)) & (1 << BITS) - 1) for m in family]
+
+
+def _placed(fps: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """(t, k, fp): each fingerprint in the bucket it has in each table (t, mask)."""
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in masks])
+    return fps.select("fp", F.explode(tables).alias("b")).select("b.t", "b.k", "fp")
+
+
+def _buckets(placed: DataFrame) -> DataFrame:
+    found = placed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    return written(found.where("n > 1"), "simhash-buckets")
+
+
+def _tiled(placed: DataFrame, buckets: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within the radius in the same bucket."""
     pairs = buckets.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
     crowded = buckets.where("n > 2").select("t", "k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
@@ -139,9 +158,8 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fps_col = batch.column(0)
             a, b = [], []
-            for row in fps_col:
+            for row in batch.column(0):
                 v = row.values.to_numpy()
                 i, j = forest(v, radius)
                 if i:
@@ -150,20 +168,42 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    return pairs.unionByName(tiles.select("fps").mapInArrow(run, "a bigint, b bigint")).distinct()
+    return pairs.unionByName(tiles.select("fps").mapInArrow(run, "a bigint, b bigint"))
+
+
+def links(fps: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between distinct fingerprints that connect all within the radius.
+
+    A bucket of more than ``CROWDED`` fingerprints is dealt to finer buckets first, by a
+    covering family over the bits that its own mask leaves free."""
+    masks = list(enumerate(covering_masks(radius)))
+    placed = _placed(fps, masks)
+    buckets = _buckets(placed)
+    found = _tiled(placed, buckets.where(F.col("n") <= CROWDED), radius)
+    crowded = buckets.where(F.col("n") > CROWDED).select("t", "k")
+    if not crowded.isEmpty():
+        finer = {t: finer_masks(m, radius) for t, m in masks}
+        width = len(masks)
+        deep = written(placed.join(crowded, ["t", "k"]).select("t", "fp"), "simhash-crowded")
+        tables = F.element_at(F.create_map(*[c for t, ms in finer.items() for c in (F.lit(t), F.array(*[F.struct(
+            F.lit((t + 1) * width + w).alias("t"), F.lit(m).alias("m")) for w, m in enumerate(ms)]))]), F.col("t"))
+        deep = deep.select("fp", F.explode(tables).alias("b")).select(
+            F.col("b.t").alias("t"), F.col("fp").bitwiseAND(F.col("b.m")).alias("k"), "fp")
+        found = found.unionByName(_tiled(deep, _buckets(deep), radius))
+    return found
 
 
 def groups(docs: DataFrame, radius: int) -> DataFrame:
     """(fp, n, root, component) of each distinct fingerprint of ``docs`` (key, fp): its
     number of rows, its group's smallest fingerprint and smallest key."""
     classes = written(docs.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
-    comp = written(connected_components(links(classes.select("fp"), radius)), "simhash-components")
-    members = comp.join(classes.select(F.col("fp").alias("node"), "least"), "node")
-    roots = members.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("size"))
-    linked = hub_join(comp, roots, "root", "size", comp.count()).select(F.col("node").alias("fp"), "root", "component")
-    return written(classes.join(linked, "fp", "left").select(
-        "fp", "n", F.coalesce("root", "fp").alias("root"),
-        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component")), "simhash-facts")
+    comp = connected_components(links(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    found = written(classes.join(comp, "fp", "left"), "simhash-rooted")
+    alone = found.where("root IS NULL").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component"))
+    linked = found.where("root IS NOT NULL")
+    roots = linked.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("size"))
+    joined = hub_join(linked, roots, "root", "size", found.count()).select("fp", "n", "root", "component")
+    return written(alone.unionByName(joined), "simhash-facts")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:

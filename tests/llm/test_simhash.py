@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from georisk.llm import simhash as S
+from georisk.llm import components as C
 from georisk.llm.components import connected_components, hub_join
 from tests.llm.texts import awkward, documents, prose
 
@@ -56,9 +57,11 @@ def clusters(n, seed=1):
     return sorted(set(out[:n]))
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_groups_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,crowded,links", [(1024, 16384, 250_000), (4, 16384, 20), (4, 6, 7)])
+def test_groups_against_brute_force(spark, monkeypatch, block, crowded, links):
     monkeypatch.setattr(S, "BLOCK", block)
+    monkeypatch.setattr(S, "CROWDED", crowded)
+    monkeypatch.setattr(C, "TASK_LINKS", links)
     fps = clusters(300)
     # A dense ball: many fingerprints of one bucket.
     fps = sorted(set(fps + [5 ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(12)]))
@@ -113,7 +116,39 @@ def test_keep_one_of_each_group(spark):
     assert kept[0].__hint == "x" if hasattr(kept[0], "__hint") else True
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 4), st.data())
+def test_finer_masks_cover_what_their_bucket_holds(radius, data):
+    mask = data.draw(st.sampled_from(S.covering_masks(radius)))
+    free = [i for i in range(64) if not mask >> i & 1]
+    flips = data.draw(st.lists(st.sampled_from(free), max_size=radius, unique=True)) if free else []
+    difference = sum(1 << i for i in flips)
+    assert all(m & mask == mask for m in S.finer_masks(mask, radius))
+    assert any(m & difference == 0 for m in S.finer_masks(mask, radius))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=60))
+def test_stars_against_a_search(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        queue = [x] if x not in want else []
+        while queue:
+            y = queue.pop()
+            if y not in want:
+                want[y] = x
+                queue += near[y]
+    node, root = C.stars(*(np.array(x, np.int64) for x in zip(*edges)))
+    assert dict(zip(node.tolist(), root.tolist())) == {x: r for x, r in want.items() if x != r}
+
+
+@pytest.mark.parametrize("links", [250_000, 5])
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch, links):
+    monkeypatch.setattr(C, "TASK_LINKS", links)
     edges = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(50)] + [(7, 7), (300, 200), (200, 300)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 151)} | {200: 200, 300: 200}
@@ -121,7 +156,6 @@ def test_components_of_a_long_path_and_a_star(spark):
 
 
 def test_hub_join_splits_hubs(spark, monkeypatch):
-    from georisk.llm import components as C
     monkeypatch.setattr(C, "HUB_LEAST", 10)
     rows = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 5), (3, 6)], "k int, v int")
     facts = spark.createDataFrame([(1, 50, "a"), (2, 1, "b")], "k int, n int, f string")
