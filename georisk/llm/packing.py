@@ -46,6 +46,8 @@ END = 0
 LEAST_CUT = 16
 #: Runs of white space from this length on go to the library whose splitter does not recurse.
 LONG_BLANK = 1 << 16
+#: Placed parts of cut pieces are broadcast, without ids, up to so many rows.
+BROADCAST_ROWS = 100_000
 #: Ranks of pieces of one length lie below this bound.
 RANKS = 1 << 44
 
@@ -76,13 +78,18 @@ def public_encoder() -> Callable[[str], np.ndarray]:
     return encode
 
 
+def checksum(ids: np.ndarray) -> int:
+    """CRC-32 of ids as little-endian unsigned 32-bit numbers."""
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
+
+
 def pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, end: int = END,
            encoder: Callable[[], Callable[[str], np.ndarray]] = public_encoder) -> DataFrame:
-    """(key, start, length, doc_tokens, ids, task, nth): the document's ids and its end id
-    cut into windows; ``nth`` numbers the pieces of one length that one task made."""
+    """(key, start, length, doc_tokens, ids, ids_crc32, task, nth): the document's ids and its end
+    id cut into windows; ``nth`` numbers the pieces of one length that one task made."""
     src = df.select(F.col(f"`{key}`").alias("key"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([src.schema["key"], *T._parse_datatype_string(
-        "start bigint, length int, doc_tokens bigint, ids array<int>, task int, nth bigint").fields])
+        "start bigint, length int, doc_tokens bigint, ids array<int>, ids_crc32 bigint, task int, nth bigint").fields])
     names, name = schema.fieldNames(), f"{encoder.__module__}.{encoder.__qualname__}"
 
     def run(batches):
@@ -92,7 +99,7 @@ def pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY
         encode, made, task = held[name], np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch, 1):
-                rows, starts, lengths, totals, nths, ids = [], [], [], [], [], []
+                rows, starts, lengths, totals, nths, sums, ids = [], [], [], [], [], [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     found = np.append(encode(t or ""), np.uint32(end))
                     ids.append(found)
@@ -102,13 +109,15 @@ def pieces(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY
                         starts.append(at)
                         lengths.append(n)
                         totals.append(len(found))
+                        sums.append(checksum(found[at: at + n]))
                         nths.append(int(made[n]))
                         made[n] += 1
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()),
-                    pa.array(totals, pa.int64()), lists, pa.array(np.full(len(rows), task), pa.int32()), pa.array(nths, pa.int64())],
+                    pa.array(totals, pa.int64()), lists, pa.array(sums, pa.int64()), pa.array(np.full(len(rows), task), pa.int32()),
+                    pa.array(nths, pa.int64())],
                     names=names)
 
     return src.mapInArrow(run, schema)
@@ -243,32 +252,27 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["ids"])).alias("ids"))
 
 
-def _checksums(df: DataFrame, ids: str, out: str) -> DataFrame:
-    """``df`` with the CRC-32 of little-endian unsigned 32-bit ``ids`` instead of them."""
-    keep = [c for c in df.columns if c != ids]
-    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(out, T.LongType())])
+def _cut_checksums(parts: DataFrame, cut: DataFrame) -> DataFrame:
+    """``parts`` (placed rows shorter than their piece in ``cut``) with the checksum of their own ids."""
+    mine = ["length", "task", "nth"]
+    keys = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
+    src = cut.select(*mine, "ids").join(keys, mine).select(*parts.columns, F.slice(
+        "ids", F.col("skip").cast("int") + 1, F.col("take").cast("int")).alias("ids"))
+    schema = T.StructType([*parts.schema.fields, T.StructField("ids_crc32", T.LongType())])
 
     def run(batches):
         for b in batches:
-            lists = b.column(b.schema.get_field_index(ids))
-            flat = lists.values.to_numpy().astype("<i4", copy=False)
-            ends = lists.offsets.to_numpy()
-            sums = [zlib.crc32(flat[x:y]) for x, y in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(sums, pa.int64())],
-                                             names=[*keep, out])
+            sums = [checksum(x.values.to_numpy().view(np.uint32)) for x in b.column(len(schema) - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums, pa.int64())], names=schema.fieldNames())
 
-    return df.select(*keep, ids).mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def op11_packing(spark, sf_dir):
     """The ids stay where they were written: only pieces that the plan cuts meet them again."""
     cut = written(pieces(table(spark, sf_dir, "documents"), "doc_id"), "pack-pieces")
-    summed = _checksums(cut, "ids", "crc")
-    found = written(placed(summed), "pack-placed")
-    whole = found.where("take = length").withColumnRenamed("crc", "ids_crc32")
-    mine = ["length", "task", "nth"]
-    parts = found.where("take < length").drop("crc").join(cut.select(*mine, "ids"), mine).withColumn(
-        "ids", F.slice("ids", F.col("skip").cast("int") + 1, F.col("take").cast("int")))
-    return whole.unionByName(_checksums(parts, "ids", "ids_crc32")).select(
+    found = written(placed(cut.drop("ids")), "pack-placed")
+    parts = _cut_checksums(found.where("take < length").drop("ids_crc32"), cut)
+    return found.where("take = length").unionByName(parts).select(
         F.col("key").alias("doc_id"), (F.col("start") + F.col("skip")).alias("start"), F.col("take").alias("length"),
         "ids_crc32", "doc_tokens", "sequence_id", "offset")
