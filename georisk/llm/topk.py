@@ -9,8 +9,9 @@ are of integers and exact: in doubles while sums stay below 2**53, else in
 Defined cases: a vector that is null or holds a null or non-finite component
 takes no part, nor does a row without an id; vectors meet only vectors of their
 own length; ties go to the smaller id; a row repeated with the same id and
-vector counts once (it is made distinct before rows are dealt to tiles, so a
-repeated row fills no tile), and rows that share the query's id are the query's own;
+vector is dealt once, with its count (so a repeated row fills no tile), but takes
+as many places in a list as it has rows; a repeated query gets its list as often;
+rows that share the query's id are the query's own;
 scores beyond 64 bits saturate; no query or no candidate -> no rows for it;
 other columns are not read.
 """
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from georisk.llm.common import table
 
-SHARD_ROWS = 8192
-BLOCK_ROWS = 1024
+SHARD_ROWS = 16384
+BLOCK_ROWS = 4096
 FAN_IN = 16
 LOWEST = np.iinfo(np.int64).min
 
@@ -66,12 +67,20 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return row[rank < k], col[rank < k]
 
 
+def places(row: np.ndarray, col: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first k places of each row, where column c takes ``n[c]`` of them."""
+    times = np.minimum(n[col], k)
+    row, col = np.repeat(row, times), np.repeat(col, times)
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], col[rank < k]
+
+
 def dealt(candidates: DataFrame, queries: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame, int]:
     """Candidates and queries with the shard and block of each of their tiles, and the number of shards."""
     def keyed(df):
-        # Distinct before anything else, partly before the shuffle: no tile gets a repeated row.
-        return df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v")).distinct().select(
-            "id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h"))
+        # Counted before anything else, partly before the shuffle: no tile gets a repeated row.
+        rows = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id"), F.col(vector).alias("v"))
+        return rows.agg(F.count(F.lit(1)).alias("n")).select("id", "v", "n", F.size("v").alias("dim"), F.xxhash64("v").alias("h"))
 
     cand, query = keyed(candidates), keyed(queries)
     shards = max(1, -(-cand.count() // SHARD_ROWS))
@@ -87,29 +96,29 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, key: str = "ve
     """(query_id, rank, vec_id, score); ``vector`` columns are arrays of bigint."""
     cand, query, shards = dealt(candidates, queries, key, vector)
     tile = ["dim", "shard", "block"]
-    schema = "query_id bigint, qh bigint, shard int, vec_id bigint, score bigint"
+    schema = "query_id bigint, qh bigint, qn bigint, shard int, vec_id bigint, score bigint"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [[], [], [], [], []]
+        out = [[], [], [], [], [], []]
         if left.num_rows and right.num_rows:
             dim, shard = left["dim"][0].as_py(), left["shard"][0].as_py()
 
             def by_id(t):
-                ids, h = t["id"].to_numpy(), t["h"].to_numpy()
+                ids, h, n = t["id"].to_numpy(), t["h"].to_numpy(), t["n"].to_numpy()
                 order = np.lexsort((h, ids))
-                return ids[order], h[order], _matrix(t, dim)[order] if dim else np.zeros((len(ids), 0), np.int64)
+                return ids[order], h[order], n[order], _matrix(t, dim)[order] if dim else np.zeros((len(ids), 0), np.int64)
 
-            ids, _, c = by_id(left)
-            qids, qh, q = by_id(right)
+            ids, _, n, c = by_id(left)
+            qids, qh, qn, q = by_id(right)
             for at in range(0, len(qids), 128):
                 s = products(q[at: at + 128], c)
                 s[qids[at: at + 128, None] == ids[None, :]] = LOWEST
-                row, col = best(s, ids, k)
-                for col_out, v in zip(out, (qids[at + row], qh[at + row], np.full(len(row), shard), ids[col], s[row, col])):
+                row, col = places(*best(s, ids, k), n, k)
+                for col_out, v in zip(out, (qids[at + row], qh[at + row], qn[at + row], np.full(len(row), shard), ids[col], s[row, col])):
                     col_out.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         cols = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), t) for c, t in zip(out, kinds)]
-        return pa.Table.from_arrays(cols, names=["query_id", "qh", "shard", "vec_id", "score"])
+        return pa.Table.from_arrays(cols, names=["query_id", "qh", "qn", "shard", "vec_id", "score"])
 
     found = cand.groupBy(*tile).cogroup(query.groupBy(*tile)).applyInArrow(run, schema)
     while True:
@@ -118,7 +127,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, key: str = "ve
         order = Window.partitionBy("query_id", "qh", "shard").orderBy(F.col("score").desc(), "vec_id")
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if shards == 1:
-            return found.select("query_id", "rank", "vec_id", "score")
+            each = found.withColumn("__twin", F.explode(F.array_repeat(F.lit(0), F.col("qn").cast("int"))))
+            return each.select("query_id", "rank", "vec_id", "score")
         found = found.drop("rank")
 
 
@@ -129,10 +139,10 @@ def op5_exact_top_k(spark, sf_dir):
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024e0 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024e0 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10"""
