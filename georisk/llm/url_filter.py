@@ -7,9 +7,12 @@ from hosts of blocked pages against them; a host is blocked when its distrust
 exceeds ``threshold`` times its trust. Host edges are hyperlinks between hosts
 and the steps between a host and the domain above it. Ranks are integers, so
 sums do not depend on the order of rows and a retried task gives the same bits.
-Shares are rounded up, so every host that a seed reaches has a rank. Ranks only
-grow; rounds go on until, over the last ``LOOK`` rounds, no further host was
-reached and all ranks together grew by at most MASS / ``SETTLED``.
+Shares are rounded up, so every host that a seed reaches has a rank, and ranks only
+grow. Verdicts are those after ``ROUNDS`` rounds, when at most 0.85**(ROUNDS + 1) of
+a side's MASS (below one part in 200) is still to be handed out, or after as many more as
+it takes until no further host is reached. Rounds end sooner once that rest, all
+given to one host, could change no verdict. ``STEP`` rounds make one plan: the ranks
+are the only thing that is exchanged in each; neighbours are exchanged once.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path; a
 host that no seed reaches is allowed; null html has no links; repeated rows and
@@ -26,17 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from georisk.llm.common import table, written
-from georisk.llm.components import hub_join
+from georisk.llm.components import HUB_LEAST, HUB_SHARE, hub_join
 
 ALLOW, BLOCK = "allow", "block"
 #: Rank is handed out in units of one in MASS.
 MASS = 10**15
 DAMPING = 85
-#: Rounds of the SQL oracle.
-ROUNDS = 10
-#: Rounds between two looks at how ranks have grown, and the share of MASS that still counts as growth.
-LOOK = 8
-SETTLED = 10**4
+ROUNDS = 32
+#: Rounds of one plan, after which ranks are written and looked at.
+STEP = 8
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/"'?#\s>\\]+)"""
 
@@ -81,7 +82,7 @@ def judged(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     """Distinct (src, dst) host edges of pages with a ``host`` column."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1)), lowered))
-    linked = pages.select(F.col("host").alias("src"), F.explode(found).alias("dst")).distinct()
+    linked = written(pages.select(F.col("host").alias("src"), F.explode(found).alias("dst")).distinct(), "url-links")
     hosts = pages.select("host").distinct().unionByName(linked.select(F.col("dst").alias("host"))).distinct()
     labels = F.split("host", r"\.")
     above = hosts.select("host", F.explode(F.transform(
@@ -95,49 +96,64 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return linked.unionByName(both).where("src <> '' AND dst <> '' AND src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, threshold: int = 1, rounds: int = ROUNDS, early: bool = True) -> DataFrame:
     """(side, host, rank): side 't' along the edges, 'd' against them.
-    ``seeds`` has (side, host, pages); each side's seeds share MASS by their pages.
-    Without ``rounds`` until ranks have settled, shares rounded up; else as many rounds
-    from the seeds' whole MASS, shares rounded down."""
+    ``seeds`` has (side, host, pages); each side's seeds share MASS by their pages. With
+    ``early``, rounds end once no host's verdict for ``threshold`` can change any more."""
     def key(side, host):
         return F.concat(side, F.lit(" "), host)
 
     arrows = edges.select(key(F.lit("t"), F.col("src")).alias("k"), key(F.lit("t"), F.col("dst")).alias("to")).unionByName(
         edges.select(key(F.lit("d"), F.col("dst")).alias("k"), key(F.lit("d"), F.col("src")).alias("to")))
     arrows = written(arrows, "url-arrows")
-    out = written(arrows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "url-degrees")
     n = arrows.count()
+    least = max(HUB_LEAST, n // HUB_SHARE)
+    hubs = written(arrows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least), "url-hubs")
+    some_hubs = not hubs.isEmpty()
+    # Hosts with few neighbours carry them as one list of at most ``least``; a hub's arrows stay rows.
+    cold = arrows.join(F.broadcast(hubs.select("k")), "k", "left_anti") if some_hubs else arrows
+    near = written(cold.groupBy("k").agg(F.collect_list("to").alias("near")), "url-near")
     shares = seeds.groupBy("side").agg(F.sum("pages").alias("all"))  # two rows
-    start = written(seeds.join(F.broadcast(shares), "side").select(
-        key("side", "host").alias("k"), F.expr(f"CAST(CAST(pages AS DECIMAL(38,0)) * {MASS} DIV all AS BIGINT)").alias("seed")),
-        "url-seeds")
-    own = start.select("k", F.expr(f"seed * {100 - DAMPING} DIV 100").alias("rank"))
-    rank = own if rounds is None else start.select("k", F.col("seed").alias("rank"))
-    up = "0" if rounds is not None else "100 * n - 1"
-    done, reached, total = 0, 0, 0
-    while done != rounds:
-        share = rank.join(out, "k").select("k", "n", F.expr(f"(rank * {DAMPING} + {up}) DIV (100 * n)").alias("share")).where("share > 0")
-        given = hub_join(arrows, share, "k", "n", n).select(F.col("to").alias("k"), F.col("share").alias("rank"))
-        rank = written(given.unionByName(own).groupBy("k").agg(F.sum("rank").alias("rank")), "url-rank")
-        done += 1
-        if rounds is None and done % LOOK == 0:
-            now = rank.agg(F.count(F.lit(1)), F.sum(F.col("rank").cast("decimal(38,0)"))).first()
-            hosts, ranks = now[0], int(now[1] or 0)
-            if hosts == reached and ranks - total <= MASS // SETTLED:
-                break
-            reached, total = hosts, ranks
-    return rank.select(F.substring("k", 1, 1).alias("side"), F.substring("k", 3, 1 << 30).alias("host"), "rank")
+    own = written(seeds.join(F.broadcast(shares), "side").select(key("side", "host").alias("k"), F.expr(
+        f"CAST(CAST(pages AS DECIMAL(38,0)) * {MASS} DIV all AS BIGINT) * {100 - DAMPING} DIV 100").alias("rank"),
+        F.lit(0).alias("far")), "url-seeds")
+
+    def share(n):
+        return F.expr(f"(rank * {DAMPING} + 100 * {n} - 1) DIV (100 * {n})").alias("rank"), (F.col("far") + 1).alias("far")
+
+    def step(rank):
+        given = rank.join(near, "k").select(F.explode("near").alias("k"), *share("size(near)"))
+        if some_hubs:  # at most HUB_SHARE rows, wherever ranks lie
+            high = rank.join(F.broadcast(hubs), "k").select("k", *share("n"))
+            given = given.unionByName(arrows.join(F.broadcast(high), "k").select(F.col("to").alias("k"), "rank", "far"))
+        return given.unionByName(own).groupBy("k").agg(F.sum("rank").alias("rank"), F.min("far").alias("far"))
+
+    rank, done = own, 0
+    while True:
+        for _ in range(1 if some_hubs else min(STEP, max(rounds - done, 1))):
+            rank, done = step(rank), done + 1
+        rank = written(rank, "url-rank")
+        if done % STEP and done < rounds:
+            continue
+        rest = MASS * DAMPING ** (done + 1) // 100 ** (done + 1) + 7 * n + 1  # all that can still be added, rounding up included
+        sides = rank.groupBy(F.substring("k", 3, 1 << 30)).agg(
+            F.sum(F.when(F.col("k").startswith("t"), F.col("rank"))).alias("t"),
+            F.sum(F.when(F.col("k").startswith("d"), F.col("rank"))).alias("d"), F.max("far").alias("far"))
+        open_ = (F.col("d") <= threshold * (F.col("t") + rest)) & (F.col("d") + rest > threshold * F.col("t"))
+        seen = sides.agg(F.max("far").alias("far"), F.count_if(open_).alias("open")).first()
+        closed = seen.far is None or seen.far < done  # nobody was reached by the last round
+        if closed and (done >= rounds or early and not seen.open):
+            return rank.select(F.substring("k", 1, 1).alias("side"), F.substring("k", 3, 1 << 30).alias("host"), "rank")
 
 
 def filter_pages(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", html: str = "html",
-                 threshold: int = 1, rounds: int | None = None) -> DataFrame:
+                 threshold: int = 1, rounds: int = ROUNDS) -> DataFrame:
     """(key, host, path, rule, verdict) of every page."""
     told = judged(pages.select(key, url), rules, url).select(key, "host", "path", "rule", "judged")
     with_html = pages.select(host_and_path(url)[0].alias("host"), html)
     seeds = told.where("judged IS NOT NULL AND host <> ''").groupBy(
         F.when(F.col("judged") == ALLOW, "t").otherwise("d").alias("side"), "host").agg(F.count(F.lit(1)).alias("pages"))
-    rank = propagate(host_edges(with_html, html), seeds, rounds).groupBy("host").agg(
+    rank = propagate(host_edges(with_html, html), seeds, threshold, rounds).groupBy("host").agg(
         F.sum(F.when(F.col("side") == "t", F.col("rank")).otherwise(0)).alias("trust"),
         F.sum(F.when(F.col("side") == "d", F.col("rank")).otherwise(0)).alias("distrust"))
     sizes = told.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
@@ -162,9 +178,9 @@ def _sql() -> str:
     rounds = "".join(f""",
 r{i + 1} AS MATERIALIZED (
   SELECT side, host, CAST(sum(rank) AS BIGINT) AS rank FROM (
-    SELECT a.side, a.dst AS host, r.rank * {DAMPING} // 100 // o.n AS rank
+    SELECT a.side, a.dst AS host, (r.rank * {DAMPING} + 100 * o.n - 1) // (100 * o.n) AS rank
     FROM r{i} r JOIN degree o ON o.side = r.side AND o.src = r.host JOIN arrows a ON a.side = r.side AND a.src = r.host
-    UNION ALL SELECT side, host, seed * {100 - DAMPING} // 100 FROM seeds) GROUP BY side, host)""" for i in range(ROUNDS))
+    UNION ALL SELECT side, host, rank FROM r0) GROUP BY side, host)""" for i in range(ROUNDS))
     return f"""
 WITH p AS (
   SELECT page_id, html, {lower(f"regexp_extract(coalesce(url, ''), {q(PARTS)}, 1)")} AS host,
@@ -186,7 +202,7 @@ seeded AS (
   FROM told WHERE judged IS NOT NULL AND host <> '' GROUP BY ALL),
 seeds AS MATERIALIZED (
   SELECT side, host, CAST(CAST(pages AS HUGEINT) * {MASS} // sum(pages) OVER (PARTITION BY side) AS BIGINT) AS seed FROM seeded),
-r0 AS (SELECT side, host, seed AS rank FROM seeds){rounds},
+r0 AS MATERIALIZED (SELECT side, host, seed * {100 - DAMPING} // 100 AS rank FROM seeds){rounds},
 bad AS (
   SELECT host FROM r{ROUNDS} GROUP BY host
   HAVING coalesce(sum(rank) FILTER (WHERE side = 'd'), 0) > coalesce(sum(rank) FILTER (WHERE side = 't'), 0))

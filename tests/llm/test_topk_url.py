@@ -9,18 +9,18 @@ from georisk.llm import url_filter as U
 
 
 def brute(rows, k):
-    good = {(i, tuple(v)) for i, v in rows if i is not None and v is not None
-            and all(x is not None and math.isfinite(x) for x in v)}
+    good = [(i, tuple(v)) for i, v in rows if i is not None and v is not None
+            and all(x is not None and math.isfinite(x) for x in v)]
     ints = sorted((i, tuple(math.floor(1024 * x) for x in v)) for i, v in good)
     out = []
     for i, q in ints:
         if i % 100 == 0:
-            s = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in set(ints) if j != i and len(c) == len(q))
+            s = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in ints if j != i and len(c) == len(q))
             out += [(i, n + 1, j, min(-x, 2**63 - 1)) for n, (x, j) in enumerate(s[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard,block", [(8192, 1024), (16, 2)])
+@pytest.mark.parametrize("shard,block", [(16384, 4096), (16, 2)])
 def test_top_k_against_brute_force(spark, monkeypatch, shard, block):
     monkeypatch.setattr(K, "SHARD_ROWS", shard)
     monkeypatch.setattr(K, "BLOCK_ROWS", block)
@@ -28,13 +28,24 @@ def test_top_k_against_brute_force(spark, monkeypatch, shard, block):
     r = random.Random(1)
     rows = [(i, [r.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(3)]) for i in range(350)]
     rows += [(400, None), (401, [0.5, None, 0.1]), (500, [0.1, float("nan"), 1.0]), (402, [float("inf")] * 3), (None, [1.0] * 3),
-             (600, [1.0, 2.0]), (601, [3.0, 1.0]), (700, []), (701, []), rows[5], rows[100], (800, [1e6, 1e7, 3e6]), (801, [3e9, 2e9, 1e9])]
+             (600, [1.0, 2.0]), (601, [3.0, 1.0]), (700, []), (701, []), rows[5], rows[100], *[rows[9]] * 7, (800, [1e6, 1e7, 3e6]), (801, [3e9, 2e9, 1e9])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id bigint, embedding array<double>, dim int, h string").repartition(4)
     good = df.where(K.usable("embedding")).select("vec_id", K.quantised("embedding").alias("v"))
     got = K.top_k(good, good.where("vec_id % 100 = 0"), k=4)
     assert sorted(tuple(x) for x in got.collect()) == brute(rows, 4)
 
 
+def test_query_and_oracle_agree_on_repeated_rows(spark, tmp_path):
+    import duckdb
+    rows = [(100, [1.0, 0.5]), (100, [1.0, 0.5]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.25, 0.25]), (200, [0.0, 1.0]), (200, [1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in K.op5_exact_top_k(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(K.OP5_SQL).fetchall()) == brute(rows, 10)
+    assert [r[2] for r in got if r[0] == 100] == [200, 200, 1, 1, 1, 1, 200, 200, 2, 2]  # two lists, rank by rank
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id bigint, v array<bigint>")
     assert K.top_k(none, none).collect() == []
@@ -85,29 +96,58 @@ def test_trust_and_distrust_propagate(spark):
 
 def test_a_long_chain_to_a_blocked_host(spark):
     rows = [("s://bad.net/x", ""), ("s://c0.io/", link("http://bad.net/x"))] + [
-        (f"s://c{i}.io/", link(f"http://c{i - 1}.io")) for i in range(1, 14)] + [("s://alone.com/", "")]
+        (f"s://c{i}.io/", link(f"http://c{i - 1}.io")) for i in range(1, 44)] + [("s://alone.com/", "")]
     got = {r.host: r.verdict for r in U.filter_pages(pages(spark, rows), RULES).collect()}
-    assert got == {f"c{i}.io": "block" for i in range(14)} | {"bad.net": "block", "alone.com": "allow"}
+    assert got == {f"c{i}.io": "block" for i in range(44)} | {"bad.net": "block", "alone.com": "allow"}
 
 
-def test_ranks_against_plain_arithmetic(spark):
-    r = random.Random(4)
-    edges = sorted({(f"h{r.randrange(12)}", f"h{r.randrange(12)}") for _ in range(40)})
-    edges = [(a, b) for a, b in edges if a != b]
-    seeds = [("t", "h1", 3), ("t", "h2", 1), ("d", "h5", 2)]
-    got = U.propagate(spark.createDataFrame(edges, "src string, dst string"),
-                      spark.createDataFrame(seeds, "side string, host string, pages bigint"), rounds=4)
-    want = {}
+def plain_ranks(edges, seeds, rounds):
+    """The rule in plain arithmetic, and the number of the last round that reached a further host."""
+    want, last = {}, 0
     for side in "td":
         arrows = edges if side == "t" else [(b, a) for a, b in edges]
         total = sum(p for s, _, p in seeds if s == side)
-        start = {h: p * U.MASS // total for s, h, p in seeds if s == side}
-        rank = dict(start)
-        for _ in range(4):
-            new = {h: v * (100 - U.DAMPING) // 100 for h, v in start.items()}
+        own = {h: p * U.MASS // total * (100 - U.DAMPING) // 100 for s, h, p in seeds if s == side}
+        rank = dict(own)
+        for done in range(rounds):
+            new = dict(own)
             for a, b in arrows:
                 if a in rank:
-                    new[b] = new.get(b, 0) + rank[a] * U.DAMPING // 100 // sum(x == a for x, _ in arrows)
-            rank = {h: v for h, v in new.items()}
-        want |= {(side, h): v for h, v in rank.items() if v}
-    assert {(x.side, x.host): x["rank"] for x in got.collect() if x["rank"]} == want
+                    n = 100 * sum(x == a for x, _ in arrows)
+                    new[b] = new.get(b, 0) + -(-rank[a] * U.DAMPING // n)
+            last = max(last, done + 1 if new.keys() - rank.keys() else 0)
+            rank = new
+        want |= {(side, h): v for h, v in rank.items()}
+    return want, last
+
+
+def random_graph(seed, hosts, links):
+    r = random.Random(seed)
+    edges = {(f"h{r.randrange(hosts)}", f"h{r.randrange(hosts)}") for _ in range(links)}
+    return sorted((a, b) for a, b in edges if a != b), [("t", "h1", 3), ("t", "h2", 1), ("d", "h5", 2), ("d", "h3", 2)]
+
+
+def frames(spark, edges, seeds):
+    return (spark.createDataFrame(edges, "src string, dst string"),
+            spark.createDataFrame(seeds, "side string, host string, pages bigint"))
+
+
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_ranks_against_plain_arithmetic(spark, monkeypatch, hub):
+    monkeypatch.setattr(U, "HUB_LEAST", hub)
+    edges, seeds = random_graph(4, 12, 40)
+    got = U.propagate(*frames(spark, edges, seeds), rounds=11, early=False)
+    want, last = plain_ranks(edges, seeds, 11)
+    assert last < 11
+    assert {(x.side, x.host): x["rank"] for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_an_early_end_changes_no_verdict(spark, seed):
+    edges, seeds = random_graph(seed, 30, 60)
+
+    def verdicts(ranks):
+        return {h for _, h in ranks if ranks.get(("d", h), 0) > ranks.get(("t", h), 0)}
+
+    got = {(x.side, x.host): x["rank"] for x in U.propagate(*frames(spark, edges, seeds)).collect()}
+    assert verdicts(got) == verdicts(plain_ranks(edges, seeds, 90)[0])
