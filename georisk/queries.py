@@ -1,9 +1,7 @@
 """Registered queries: name → (spark, sf_dir) → DataFrame, and the matching DuckDB oracle.
 
 Every query reads the driver's tables in full (or what Spark derives from
-them); none runs on made-up input, caps rows or samples. The queries without
-an oracle are the ones whose values come from the trained tree; the driver
-checks their row counts and ``tests/`` their invariants.
+them); none runs on made-up input, caps rows or samples.
 """
 
 from __future__ import annotations
@@ -15,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from georisk import oracle_sql as O
+from georisk import tree_sql as TS
 from georisk.functions.grid import GridSpec
 from georisk.functions.timefeatures import REQUEST_TS_PATTERN, compat_date, format_ntz
 from georisk.operators import cells as C
@@ -22,6 +21,7 @@ from georisk.operators import evaluate as E
 from georisk.operators import heatmap as H
 from georisk.operators import profile as P
 from georisk.operators import quality as Q
+from georisk.operators import regions as R
 from georisk.operators import score as S
 from georisk.operators import tree as T
 from georisk.session import shared_path
@@ -715,13 +715,24 @@ def q_heatmap_layout(spark, sf_dir):
 
 
 # ============================================================ tree model
-# What a tree predicts has no SQL form; the oracles check all that is exact about each
-# answer (keys, labels, counts, identities), and tests/ check the predictions.
+# The tree on exact box bins; its oracle grows the same tree level by level in SQL.
+def _tree_sql(body: str, *ctes: str, rows: str = "labelled") -> str:
+    parts = [O.INCIDENTS_ALL, O.CELLS, TS.grown(rows), *ctes]
+    return "WITH RECURSIVE " + ",\n".join(c.strip().rstrip(",") for c in parts) + "\n" + body
+
+
+TRAIN_ROWS = "(SELECT * FROM split_cells WHERE split = 'train')"
+
+
 def _trained(spark, sf_dir):
     labelled = T.materialize(_labelled(spark, sf_dir))
     return labelled, T.train_tree(labelled)
 
 
+def _binned_tree(spark, sf_dir) -> R.BinnedTree:
+    return R.train(T.materialize(_labelled(spark, sf_dir)))
+
+
 def _is_level(c: str) -> F.Column:
     return F.col(c).isin(0, 1, 2).alias("is_level")
 
@@ -731,10 +742,22 @@ def _nodes(spark, sf_dir) -> DataFrame:
     return T.saved_nodes(spark, T.save_model(model, shared_path(spark, "model")))
 
 
-@register("train_tree")
+@register("train_tree", _tree_sql(TS.NODES))
 def q_train_tree(spark, sf_dir):
-    """The saved tree's node table."""
-    return _nodes(spark, sf_dir)
+    """The node table of the tree on all slots, with its splits."""
+    return R.node_table(spark, _binned_tree(spark, sf_dir).nodes)
+
+
+@register("train_tree_on_split", _tree_sql(TS.NODES, rows=TRAIN_ROWS))
+def q_train_tree_on_split(spark, sf_dir):
+    """The node table of the tree on the training slots."""
+    return R.node_table(spark, _split_tree(spark, sf_dir)[0].nodes)
+
+
+@register("tree_regions", _tree_sql(TS.REGIONS))
+def q_tree_regions(spark, sf_dir):
+    """Each leaf of the tree on all slots as a box interval and sets of months, weekdays, periods."""
+    return R.region_table(spark, R.regions(_binned_tree(spark, sf_dir).nodes))
 
 
 @register("train_tree_checks", sql(O.INCIDENTS_ALL, O.CELLS, body="""
@@ -758,12 +781,17 @@ def q_train_tree_checks(spark, sf_dir):
 
 
 def _predicted_one(spark, sf_dir) -> DataFrame:
-    _, model = _trained(spark, sf_dir)
     probe = spark.range(1).select(*[F.lit(v).alias(k) for k, v in zip(CELL_KEYS, (72, 8, 2, 1))])
-    return T.predict(model, probe)
+    return R.predict(_binned_tree(spark, sf_dir), probe)
+
 
+PROBE_SQL = f"""
+probe AS (SELECT {", ".join(f'CAST({v} AS INTEGER) AS "{k}"' for k, v in zip(CELL_KEYS, (72, 8, 2, 1)))})"""
 
-@register("predict_one")
+
+@register("predict_one", _tree_sql(
+    'SELECT Box, "Month", DayOfWeekNum, DayPeriod, CAST(prediction AS DOUBLE) AS prediction FROM told',
+    PROBE_SQL, TS.predicted("probe", 'Box, "Month", DayOfWeekNum, DayPeriod')))
 def q_predict_one(spark, sf_dir):
     """The tree on all slots applied to the slot (Box 72, Month 8, DayOfWeekNum 2, DayPeriod 1)."""
     return _predicted_one(spark, sf_dir).select(*CELL_KEYS, "prediction")
@@ -777,17 +805,34 @@ def q_predict_one_checks(spark, sf_dir):
     return _predicted_one(spark, sf_dir).select(*CELL_KEYS, _is_level("prediction"))
 
 
-def _eval_preds(spark, sf_dir) -> DataFrame:
+def _split_tree(spark, sf_dir) -> tuple[R.BinnedTree, DataFrame]:
     labelled = T.materialize(_labelled(spark, sf_dir))
-    tr, te = C.split_cells(labelled, "hash")
-    return T.predict(T.train_tree(tr), te)
+    train, test = C.split_cells(labelled, "hash")
+    return R.train(train), test
+
+
+def _eval_preds(spark, sf_dir) -> DataFrame:
+    tree, test = _split_tree(spark, sf_dir)
+    return R.predict(tree, test)
+
 
+_TOLD = TS.predicted("(SELECT * FROM split_cells WHERE split = 'test')", '"Count", Box, "Month", DayOfWeekNum, DayPeriod, label')
 
-@register("evaluate_tree", sql(O.INCIDENTS_ALL, O.CELLS, body="""
-SELECT "Count", Box, "Month", DayOfWeekNum, DayPeriod, label, TRUE AS is_level FROM split_cells WHERE split = 'test'"""))
+
+@register("evaluate_tree", _tree_sql(
+    'SELECT "Count", Box, "Month", DayOfWeekNum, DayPeriod, label, CAST(prediction AS DOUBLE) AS prediction FROM told',
+    _TOLD, rows=TRAIN_ROWS))
 def q_evaluate_tree(spark, sf_dir):
     """The tree of the training slots applied to every test slot."""
-    return _eval_preds(spark, sf_dir).select("Count", *CELL_KEYS, "label", _is_level("prediction"))
+    return _eval_preds(spark, sf_dir).select("Count", *CELL_KEYS, "label", "prediction")
+
+
+@register("tree_confusion", _tree_sql("""
+SELECT CAST(l.v AS DOUBLE) AS label, CAST(p.v AS DOUBLE) AS prediction, COUNT(told.label) AS n
+FROM range(0, 3) l(v), range(0, 3) p(v) LEFT JOIN told ON told.label = l.v AND told.prediction = p.v GROUP BY ALL""", _TOLD, rows=TRAIN_ROWS))
+def q_tree_confusion(spark, sf_dir):
+    """The confusion matrix of the training slots' tree on the test slots."""
+    return E.confusion_matrix(_eval_preds(spark, sf_dir)).select("label", "prediction", "n")
 
 
 @register("tree_metrics", sql(O.INCIDENTS_ALL, O.CELLS, body="""
@@ -811,22 +856,26 @@ def q_tree_metrics(spark, sf_dir):
         (near("macro_precision", F.col("p")) & near("macro_recall", F.col("r"))).alias("macro_is_consistent"))
 
 
-@register("score_all_boxes", sql(*SCORE_CTES, body="""
-SELECT "Month", DayOfWeekNum, DayPeriod, Box, TRUE AS is_level FROM slot_scores"""))
+@register("score_all_boxes", _tree_sql(
+    'SELECT "Month", DayOfWeekNum, DayPeriod, Box, prediction AS pred FROM told', REQUESTS_SQL,
+    TS.predicted(f"(SELECT * FROM slots, (SELECT CAST(range AS INTEGER) AS Box FROM range(0, {NB})))", 'Box, "Month", DayOfWeekNum, DayPeriod')))
 def q_score_all_boxes(spark, sf_dir):
     """The tree applied to every box of every distinct request slot."""
-    _, model = _trained(spark, sf_dir)
-    req = _request_features(spark, sf_dir)
-    return S.score_slots_with_model(model, S.distinct_slots(req), GRID).select(*S.SLOT_KEYS, "Box", _is_level("pred"))
+    tree = _binned_tree(spark, sf_dir)
+    slots = S.expand_boxes(S.distinct_slots(_request_features(spark, sf_dir)), GRID)
+    return slots.select(*S.SLOT_KEYS, "Box", R.prediction(tree.nodes).alias("pred"))
 
 
 def _reference_slot_scores(spark, sf_dir):
-    _, model = _trained(spark, sf_dir)
-    slot = S.with_fixed_slot(spark.range(1).select())
-    return S.score_slots_with_model(model, slot, GRID)
+    tree = _binned_tree(spark, sf_dir)
+    slot = S.expand_boxes(S.with_fixed_slot(spark.range(1).select()), GRID)
+    return slot.select(*S.SLOT_KEYS, "Box", R.prediction(tree.nodes).alias("pred"))
 
 
-@register("score_reference_slot")
+@register("score_reference_slot", _tree_sql(
+    'SELECT "Month", DayOfWeekNum, DayPeriod, Box, prediction AS pred FROM told',
+    TS.predicted(f"""(SELECT CAST(8 AS INTEGER) AS "Month", CAST(2 AS INTEGER) AS DayOfWeekNum, CAST(1 AS INTEGER) AS DayPeriod,
+      CAST(range AS INTEGER) AS Box FROM range(0, {NB}))""", 'Box, "Month", DayOfWeekNum, DayPeriod')))
 def q_score_reference_slot(spark, sf_dir):
     """What the reference scorer outputs: all boxes at the constant slot (8, 2, 1)."""
     return _reference_slot_scores(spark, sf_dir).orderBy("Box").select(*S.SLOT_KEYS, "Box", "pred")

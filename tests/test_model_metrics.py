@@ -144,4 +144,4 @@ def test_tree_queries_return_the_tree_and_its_levels(spark, labelled_small):
     assert [r.prediction for r in one] == [T.predict_vector(model, [72, 8, 2, 1])]
     slot = QUERIES["score_reference_slot"](spark, "/root/testdata/sf0.001").collect()
     assert [r.pred for r in slot] == [T.predict_vector(model, [r.Box, 8, 2, 1]) for r in slot]
-    assert {"train_tree_checks", "predict_one_checks", "score_reference_slot_checks"} <= set(ORACLES)
+    assert {"train_tree", "predict_one", "score_reference_slot", "evaluate_tree", "score_all_boxes", "tree_regions"} <= set(ORACLES)
