@@ -27,6 +27,7 @@ from georisk.operators import tree as T
 from georisk.session import shared_path
 from georisk.sources import csv as CSV
 from georisk.sources import parquet as PQ
+from georisk.sources.quoted import read_quoted_csv
 from georisk.sources.requests import read_requests
 from georisk.sources.incidents import (
     CELL_KEYS,
@@ -344,6 +345,15 @@ def q_csv_roundtrip(spark, sf_dir):
                         null_value=DOC_NULL)
 
 
+@register("csv_quoted_split", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def q_csv_quoted_split(spark, sf_dir):
+    """Whole documents (quotes, commas, line feeds in text) → CSV → back, block by block of each file."""
+    path = shared_path(spark, "documents-csv")
+    docs = read_table(spark, sf_dir, "documents").select(*DOC_COLUMNS)
+    CSV.write_csv(docs, path, null_value=DOC_NULL)
+    return read_quoted_csv(spark, path, DOC_SCHEMA, null_value=DOC_NULL)
+
+
 @register("csv_options", "SELECT doc_id, lang, source, n_chars FROM documents")
 def q_csv_options(spark, sf_dir):
     """All documents' metadata as semicolon-separated lines among comments and blank lines."""

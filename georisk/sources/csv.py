@@ -11,7 +11,9 @@
 
 Scale: plain CSV is split by byte range across tasks; ``multi_line=True``
 (quoted newlines) makes each file one task, so such exports are written as
-many part files (one per partition) to keep the read parallel.
+many part files (one per partition) to keep the read parallel; a single large
+file is read in many tasks by :func:`georisk.sources.quoted.read_quoted_csv`
+(``multi_line="split"`` for incidents).
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from georisk.functions.grid import GridSpec
 from georisk.functions.timefeatures import INCIDENT_TS_PATTERN, format_ntz, parse_date_time
 from georisk.sources.incidents import type_incidents
+from georisk.sources.quoted import read_quoted_csv
 
 # The incident CSV header (13 columns, in file order).
 RAW_COLUMNS = ["IncidntNum", "Category", "Descript", "DayOfWeek", "Date", "Time", "PdDistrict",
@@ -59,10 +62,18 @@ def _typed(raw: DataFrame, grid: GridSpec, date_mode: str, lenient: bool,
     return type_incidents(base, grid, date_mode, keep_out_of_bounds)
 
 
-def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False, header: bool = True) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool | str = False,
+                 header: bool | str = True) -> DataFrame:
     """The 13 raw columns as strings, and the whole record in ``__corrupt`` if its number
     of fields is wrong; every file's header line is dropped. Records are always parsed
-    whole, so that the error does not depend on the selected columns."""
+    whole, so that the error does not depend on the selected columns.
+
+    ``multi_line``: True for quoted line feeds in one task per file, "split" for many;
+    ``header="first"`` (with "split") drops only the first file's."""
+    if multi_line == "split":
+        return read_quoted_csv(spark, path, f"{RAW_SCHEMA}, {CORRUPT} string", header=header, corrupt=CORRUPT)
+    if header not in (True, False):
+        raise ValueError('header="first" needs multi_line="split"')
     return (spark.read.schema(f"{RAW_SCHEMA}, {CORRUPT} string")
             .option("header", header).option("quote", '"').option("escape", '"')
             .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnPruning", False)
@@ -91,10 +102,11 @@ def split_verbatim(lines: DataFrame, col: str = "value") -> DataFrame:
 
 def read_incidents_csv(spark: SparkSession, path: str | list[str], grid: GridSpec = GridSpec(),
                        date_mode: str = "real", verbatim: bool = False, lenient: bool = False,
-                       keep_out_of_bounds: bool = False, header: bool = True) -> DataFrame:
+                       keep_out_of_bounds: bool = False, header: bool | str = True,
+                       multi_line: bool | str = False) -> DataFrame:
     """Typed incidents. Strict (default) fails on a record with missing or extra
     fields, a bad number or a bad date; lenient drops such records."""
-    raw = split_verbatim(spark.read.text(path)) if verbatim else read_raw_csv(spark, path, header=header)
+    raw = split_verbatim(spark.read.text(path)) if verbatim else read_raw_csv(spark, path, multi_line, header)
     return _typed(raw, grid, date_mode, lenient, keep_out_of_bounds)
 
 
