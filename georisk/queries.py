@@ -7,6 +7,7 @@ them); none runs on made-up input, caps rows or samples.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,14 @@ from georisk.functions.timefeatures import REQUEST_TS_PATTERN, compat_date, form
 from georisk.operators import cells as C
 from georisk.operators import evaluate as E
 from georisk.operators import heatmap as H
+from georisk.operators import incremental as INC
 from georisk.operators import profile as P
 from georisk.operators import quality as Q
 from georisk.operators import regions as R
 from georisk.operators import score as S
 from georisk.operators import tree as T
 from georisk.session import shared_path
+from georisk.sources import catalog as CAT
 from georisk.sources import csv as CSV
 from georisk.sources import parquet as PQ
 from georisk.sources.quoted import read_quoted_csv
@@ -266,6 +269,73 @@ def q_parquet_roundtrip(spark, sf_dir):
     return C.box_agg(PQ.read_incidents(spark, path, GRID))
 
 
+@register("parquet_curve", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM cells"))
+def q_parquet_curve(spark, sf_dir):
+    """Every incident written along the space-filling curve, read back through the box filter, counted per slot."""
+    path = shared_path(spark, "incidents-curve")
+    PQ.write_incidents(_all_incidents(spark, sf_dir).drop("in_bounds"), path, layout="curve")
+    return C.box_agg(PQ.read_incidents(spark, path, GRID))
+
+
+@register("footer_profile", sql(O.INCIDENTS_ALL, body="""
+SELECT COUNT(*) AS n, MIN(X) AS min_x, MAX(X) AS max_x, MIN(Y) AS min_y, MAX(Y) AS max_y, MIN(Box) AS min_box, MAX(Box) AS max_box,
+  MIN("Hour") AS min_hour, MAX("Hour") AS max_hour, MIN("Month") AS min_month, MAX("Month") AS max_month FROM incidents"""))
+def q_footer_profile(spark, sf_dir):
+    """Row count and ranges of the in-box table from its files' footers."""
+    path = shared_path(spark, "incidents-in-box")
+    PQ.write_in_box(_all_incidents(spark, sf_dir), path)
+    return PQ.footer_profile(spark, path)
+
+
+@register("observed_counts", sql(O.INCIDENTS_ALL, body="""
+SELECT COUNT(*) AS raw_rows, COUNT(*) FILTER (WHERE in_bounds) AS kept_rows,
+  COUNT(*) FILTER (WHERE NOT in_bounds) AS rejected_rows FROM inc_all"""))
+def q_observed_counts(spark, sf_dir):
+    """Raw, kept and rejected rows, counted while the in-box table is written."""
+    seen = PQ.write_in_box(_all_incidents(spark, sf_dir), shared_path(spark, "incidents-in-box"))
+    return spark.createDataFrame([tuple(seen.values())], ", ".join(f"{k} bigint" for k in seen))
+
+
+def _clustered(spark, sf_dir) -> DataFrame:
+    return CAT.save_clustered(_incidents(spark, sf_dir), f"incidents_{uuid.uuid4().hex}")
+
+
+@register("clustered_box_agg", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM cells"))
+def q_clustered_box_agg(spark, sf_dir):
+    """Slot counts of the clustered catalog table, without an exchange."""
+    return C.box_agg(_clustered(spark, sf_dir))
+
+
+@register("clustered_box_date_counts", sql(O.INCIDENTS_ALL, body="""
+SELECT Box, "Date", COUNT(*) AS "Count" FROM incidents GROUP BY Box, "Date\""""))
+def q_clustered_box_date_counts(spark, sf_dir):
+    """Counts per (Box, Date) of the clustered catalog table, without an exchange."""
+    return CAT.box_date_counts(_clustered(spark, sf_dir))
+
+
+def _absorbed(spark, sf_dir) -> str:
+    """A count store fed in two batches: files of even order keys, then those of odd ones as well."""
+    source, root = shared_path(spark, "incident-files"), shared_path(spark, "count-store")
+    rows = _all_incidents(spark, sf_dir).drop("in_bounds")
+    for part in (0, 1):
+        rows.filter(F.col("IncidntNum") % 2 == part).write.mode("append").parquet(source)
+        INC.absorb(spark, source, root)
+    return root
+
+
+@register("incremental_slot_counts", sql(O.INCIDENTS_ALL, O.CELLS, body="SELECT * FROM cells"))
+def q_incremental_slot_counts(spark, sf_dir):
+    """Slot counts from the count store, after a second batch of files."""
+    return INC.slot_counts(spark, _absorbed(spark, sf_dir))
+
+
+@register("incremental_box_date_counts", sql(O.INCIDENTS_ALL, body="""
+SELECT Box, "Date", COUNT(*) AS "Count" FROM incidents GROUP BY Box, "Date\""""))
+def q_incremental_box_date_counts(spark, sf_dir):
+    """Counts per (Box, Date) from the count store, after a second batch of files."""
+    return INC.box_date_counts(spark, _absorbed(spark, sf_dir))
+
+
 def _export_defects(spark, sf_dir) -> str:
     """The export as lines, some made wrong by their key: cut after Y, a field too many,
     a coordinate or a date that is none, no id."""
