@@ -5,12 +5,17 @@ is cut greedily into the longest phrases that occur in that text; the language
 that needs the fewest phrases, normalised by log2 of its text's length and by
 the document's length, wins (the cross-parsing estimate of cross-entropy).
 
-The automata are fitted on a bounded sample: at most ``docs_per_language``
-labelled documents per language, chosen by the smallest key hash in each of as
-many hash buckets, and ``chars_per_doc`` characters of each. Every letter of
-the samples has a class of its own: up to ``DENSE_WIDTH`` classes, transitions are
-full tables, beyond that sorted keys. Every character of every document is parsed. Parsing restarts every ``BLOCK`` characters, for all
-languages alike, so that the blocks of many documents advance together.
+The automata are fitted on a bounded sample: the whole texts of at most
+``docs_per_language`` labelled documents per language, one from each of as many hash
+buckets: the smallest key hash among texts of at most ``MODEST`` characters, or
+among the longer ones where a bucket has no other. Every letter of the samples has a
+class of its own. Transitions are full tables while those of all languages
+together stay below ``DENSE_BYTES``, else sorted keys.
+
+Texts are cut into blocks of ``BLOCK`` characters so that the blocks of many documents
+advance together. A block starts in the state in which the one before it ended: it
+is parsed from the automaton's start first, and again wherever that state turns
+out to be another, until all agree. So the parse is that of the whole text.
 
 Defined cases: text null or without a letter -> ``und`` with score 0; no
 labelled text at all -> ``und``; ties -> the smaller language name, score 0;
@@ -30,31 +35,26 @@ from pyspark.sql import types as T
 from georisk.llm.common import map_texts
 
 BLOCK = 256
-#: The model goes to every worker, so the number of languages has to be bounded.
-MAX_LANGUAGES = 200
-#: Widest full transition table (memory grows with states x classes).
-DENSE_WIDTH = 256
+#: Texts of up to so many characters are preferred in the sample.
+MODEST = 4000
+#: Full transition tables (states x classes x 4 bytes) of all languages take at most so much of a worker.
+DENSE_BYTES = 160 << 20
 GAP, OTHER = 0, 255
 
 
 def labelled_sample(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-                    docs_per_language: int = 48, chars_per_doc: int = 1000) -> dict[str, list[str]]:
-    """Per language, excerpts of at most ``docs_per_language`` documents."""
+                    docs_per_language: int = 24) -> dict[str, list[str]]:
+    """Per language, the whole texts of at most ``docs_per_language`` documents."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("text"))
     bucket = F.pmod(F.xxhash64("h"), F.lit(docs_per_language))
-    picks = rows.groupBy("lang", bucket.alias("b")).agg(F.min("h").alias("h"))
-    picked = picks.limit(docs_per_language * MAX_LANGUAGES + 1).collect()
-    if len({r.lang for r in picked}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not picked:
-        return {}
-    wanted = rows.where(F.col("h").isin(sorted({r.h for r in picked})))
-    excerpts = wanted.select("lang", "h", F.substring("text", 1, chars_per_doc).alias("t")).distinct()
-    chosen, out = {(r.lang, r.h) for r in picked}, {}
-    for r in sorted(excerpts.groupBy("lang", "h").agg(F.min("t").alias("t")).collect()):
-        if (r.lang, r.h) in chosen:
-            out.setdefault(r.lang, []).append(r.t)
+    best = F.min(F.struct((F.length("text") > MODEST).alias("long"), "h"))
+    picks = rows.groupBy("lang", bucket.alias("b")).agg(best.alias("p")).select("lang", F.col("p.h").alias("h"), F.col("p.long").alias("long"))
+    # One row per language and bucket; the texts of those rows only.
+    chosen = rows.join(F.broadcast(picks), ["lang", "h"]).where((F.length("text") > MODEST) == F.col("long"))
+    out: dict[str, list[str]] = {}
+    for r in sorted(chosen.groupBy("lang", "h").agg(F.min("text").alias("t")).collect()):
+        out.setdefault(r.lang, []).append(r.t)
     return out
 
 
@@ -152,7 +152,7 @@ class LanguageModel:
         classes[[i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()]] = width - 2
         for i, c in enumerate(self.alphabet):
             classes[ord(c)] = i + 1
-        if width > DENSE_WIDTH:
+        if sum(states for states, _ in self.edges) * width * 4 > DENSE_BYTES:
             return classes, [SparseTable(e, width) for _, e in self.edges], width
         out = []
         for states, e in self.edges:
@@ -186,15 +186,31 @@ def _blocks(texts: list[str], classes: np.ndarray, pad: int):
     return np.ascontiguousarray(grid.reshape(-1, BLOCK).T), first, sizes, n_letters
 
 
-def phrases(columns: np.ndarray, table: np.ndarray | SparseTable) -> np.ndarray:
-    """Phrases needed by each block (one column per character position)."""
-    row = np.zeros(columns.shape[1], table.dtype)
+def _run(columns: np.ndarray, table: np.ndarray | SparseTable, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases begun in each block when it starts in ``row``, and the row it ends in."""
     count = np.zeros(columns.shape[1], np.int32)
     for chars in columns:
         move = table[row + chars]
         count += move & 1
         row = move >> 1
-    return count
+    return count, row
+
+
+def phrases(columns: np.ndarray, table: np.ndarray | SparseTable, first: np.ndarray) -> np.ndarray:
+    """Phrases of each text: its blocks are the columns from ``first[i]`` to ``first[i + 1]``."""
+    start = np.zeros(columns.shape[1], table.dtype)
+    count, end = _run(columns, table, start)
+    heads = first[:-1][first[:-1] < first[1:]]
+    while True:
+        before = np.concatenate([start[:1], end[:-1]])
+        before[heads] = 0
+        again = np.flatnonzero(before != start)
+        if not len(again):
+            break
+        start[again] = before[again]
+        count[again], end[again] = _run(columns[:, again], table, start[again])
+    total = np.concatenate([[0], np.cumsum(count)])
+    return np.diff(total[first])
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None,
@@ -203,7 +219,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list
     how far below the runner-up's the winner's normalised phrase count lies, 0 to 1."""
     shipped = df.sparkSession.sparkContext.broadcast(model.plain())
 
-    def make():
+    def make():  # once per task: an idle worker holds no tables beside the next operator's needs
         m = LanguageModel(shipped=shipped.value)
         classes, tables, width = m.tables() if m.languages else (None, [], 0)
 
@@ -214,8 +230,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", keep: list
             columns, first, sizes, letters = _blocks([t or "" for t in col.to_pylist()], classes, width - 1)
             cost = np.zeros((len(tables), n))
             for i, t in enumerate(tables):
-                total = np.concatenate([[0], np.cumsum(phrases(columns, t))])
-                cost[i] = np.diff(total[first]) * m.log_size[i] / np.maximum(sizes, 1)
+                cost[i] = phrases(columns, t, first) * m.log_size[i] / np.maximum(sizes, 1)
             best = np.argmin(cost, axis=0)
             low = cost[best, np.arange(n)]
             if len(tables) > 1:

@@ -34,7 +34,7 @@ def test_sparse_table_is_the_full_table(monkeypatch):
     r = random.Random(3)
     model = L.LanguageModel({"a": ["".join(r.choices("abcd ", k=300))], "b": ["".join(r.choices("cdef ", k=300))]})
     _, full, width = model.tables()
-    monkeypatch.setattr(L, "DENSE_WIDTH", 0)
+    monkeypatch.setattr(L, "DENSE_BYTES", 0)
     _, sparse, _ = model.tables()
     for f, s in zip(full, sparse):
         assert isinstance(s, L.SparseTable) and (s[np.arange(len(f))] == f).all()
@@ -54,42 +54,65 @@ def test_many_letters():
         columns, first, sizes, _ = L._blocks(texts, classes, width - 1)
         cost = []
         for size, table, lang in zip(model.log_size, tables, model.languages):
-            n = L.phrases(columns, table)
+            n = L.phrases(columns, table, first)
             assert list(n) == [brute_phrases(L.letters_of(t), held[lang]) for t in texts]
             cost.append(n * size / sizes)
         assert all(model.languages[b] == k for b in np.argmin(cost, axis=0))
 
 
 def brute_phrases(text, train):
-    """Greedy longest phrases, restarting every BLOCK characters."""
-    n = 0
-    for at in range(0, len(text), L.BLOCK):
-        block, i = text[at: at + L.BLOCK], 0
-        while i < len(block):
-            j = i + 1
-            while j < len(block) and block[i: j + 1] in train:
-                j += 1
-            n, i = n + 1, j
+    """Greedy longest phrases of the whole text."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i: j + 1] in train:
+            j += 1
+        n, i = n + 1, j
     return n
 
 
-def test_phrase_counts_match_brute_force():
+@pytest.mark.parametrize("block", [256, 5, 1])
+def test_phrase_counts_match_brute_force(monkeypatch, block):
+    monkeypatch.setattr(L, "BLOCK", block)
     r = random.Random(2)
-    train = {"a": ["".join(r.choices("abcd ", k=300))], "b": ["".join(r.choices("cdef ", k=300))]}
+    train = {"a": ["".join(r.choices("abcd ", k=300)) + "ab" * 400], "b": ["".join(r.choices("cdef ", k=300))]}
     model = L.LanguageModel(train)
     classes, tables, width = model.tables()
-    texts = ["".join(r.choices("abcdefz ", k=k)) for k in (1, 5, 255, 256, 257, 900)] + [""]
+    texts = ["".join(r.choices("abcdefz ", k=k)) for k in (1, 5, 255, 256, 257, 900)] + ["", "ab" * 390 + "c" + "ab" * 700]
     columns, first, sizes, letters = L._blocks(texts, classes, width - 1)
     for lang, t in zip(model.languages, tables):
-        per = L.phrases(columns, t)
-        got = [int(per[x:y].sum()) for x, y in zip(first[:-1], first[1:])]
         known = L.letters_of("\n".join(train[lang]))
         want = []
         for text in texts:
             lowered = "".join(c if c.isalpha() else " " for c in text.lower())
             shrunk = "".join(c for i, c in enumerate(lowered) if c != " " or i and lowered[i - 1] != " ")
             want.append(brute_phrases(shrunk, known))
-        assert got == want
+        assert L.phrases(columns, t, first).tolist() == want
+
+
+def test_sixty_languages_of_two_hundred_letters():
+    """No bound on the number of languages; tables stay small."""
+    r = random.Random(6)
+    train = {}
+    for k in range(60):
+        letters = [chr(0x3400 + 200 * k + i) for i in range(200)]
+        train[f"l{k:02d}"] = ["".join(r.choices(letters, k=5)) for _ in range(600)]
+    model = L.LanguageModel(train)
+    classes, tables, width = model.tables()
+    assert width > 11_900 and all(isinstance(t, L.SparseTable) for t in tables)
+    assert classes.nbytes + sum(t.keys.nbytes + t.moves.nbytes + t.restart.nbytes for t in tables) < 64 << 20
+    columns, first, sizes, _ = L._blocks(["".join(train["l07"][:40]), "".join(train["l59"][5:30])], classes, width - 1)
+    cost = [L.phrases(columns, t, first) * s for t, s in zip(tables, model.log_size)]
+    assert [model.languages[i] for i in np.argmin(cost, axis=0)] == ["l07", "l59"]
+
+
+def test_the_sample_is_whole_texts_of_all_languages(spark):
+    rows = [(i, f"text {i} " + "x" * (20 if i % 5 else 9000), f"lang{i % 300}") for i in range(1500)] + [(None, "y", "lang0"), (7, None, "lang1")]
+    sample = L.labelled_sample(documents(spark, rows), docs_per_language=2)
+    assert len(sample) == 300
+    texts = {t for _, t, _ in rows}
+    assert all(1 <= len(v) <= 2 and set(v) <= texts for v in sample.values())
+    assert sum(len(t) > 4000 for t in sample["lang5"]) == len(sample["lang5"])  # this one has long texts only
 
 
 def test_held_out_accuracy(spark):

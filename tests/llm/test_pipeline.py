@@ -91,7 +91,7 @@ def test_oracles_are_sql_and_match(spark):
     import duckdb
     from georisk.llm.queries import ORACLES, QUERIES
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF0001}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, SF0001)
