@@ -1,23 +1,31 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words are compared by 64-bit hashes, lower-cased and without punctuation. Seeds
-(``SEED`` consecutive words) of benchmark items are joined with the seeds of
-documents; only document words inside shared seeds go on, cut into runs. For
-each (document, item) pair with a seed in common, tiling repeatedly marks the
-longest matches that overlap no earlier tile, found by running Karp-Rabin hashes
-of a shrinking search length, down to ``SEED`` words. The share of an item's words
-that lie in tiles is its coverage, so reordered passages count in full; a
-document that covers at least ``threshold`` of an item is contaminated by it.
-
-An item shorter than a seed is one seed as a whole. While the benchmark is small
-(``SMALL_SEEDS``) its seed hashes also travel to the workers as a filter before
-the join; beyond that the join alone does the work.
+(``SEED`` consecutive words) of benchmark items are looked for in documents; only
+document words inside shared seeds go on, cut into runs. For each (document, item)
+pair, tiling repeatedly marks the longest matches that overlap no earlier tile,
+found by running Karp-Rabin hashes of a shrinking search length, down to ``SEED``
+words. The share of an item's words that lie in tiles is its coverage, so reordered
+passages count in full; a document that covers at least ``threshold`` of an item is
+contaminated by it.
+
+Pairs come from an exact prefix filter: tiles consist of shared seeds, so a document
+whose shared seeds all belong to a set that covers less than ``threshold`` of the
+item can't reach it. Per item the seeds found in most documents form that set, as
+large as it may get; only the rarer ones are joined. A phrase in every document and
+every item thus gives no pairs, unless it covers enough of an item to count by itself.
+
+Before the join a Bloom filter of the benchmark's seeds passes over the documents. It
+has at most ``BLOOM_BITS`` bits; a larger benchmark lets more words through to the
+join, which decides, and changes no result.
 
 Defined cases: null, empty or wordless texts and items match nothing; null keys
-of documents or items are ignored, as they can't be named in the result; rows
-that repeat a key are one document's (one item's) parts; ties between equally
-long matches go to the earlier place in the item, then in the document; empty
-input -> empty output; other columns are not read.
+of documents or items are ignored, as they can't be named in the result; an item
+shorter than a seed is one seed as a whole; rows that repeat a document's key are its
+parts, whose tiles add up (words tiled in several parts count once, ``n_tiles`` is the
+sum); rows that repeat an item's key are its versions, of which the one covered best
+counts; ties between equally long matches go to the earlier place in the item, then in
+the document; empty input -> empty output; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +40,11 @@ from georisk.llm.common import WordHash, flat, mixed, slices, table, word_bounds
 
 SEED = 5
 THRESHOLD = 0.5
-SMALL_SEEDS = 1_000_000
+#: The Bloom filter has at least 32 bits a seed, up to this many (8 MB).
+BLOOM_BITS = 1 << 26
+BLOOM_HASHES = 4
+#: Bits of one bitmap of Spark's bitmap functions.
+BITMAP = 32768
 #: ASCII characters other than letters and digits part words; all others belong to them.
 PARTING = np.zeros(256, bool)
 PARTING[[i for i in range(128) if not chr(i).isalnum()]] = True
@@ -85,15 +97,41 @@ def item_words(items: DataFrame) -> DataFrame:
     return items.select("item", "text").mapInArrow(run, schema)
 
 
-def document_seeds(docs: DataFrame, known: np.ndarray | None, lengths: list[int]) -> DataFrame:
-    """(key, seed, runs): shared seeds, and the document's words around them in runs
-    parted by 0. ``known`` holds the sorted benchmark seeds, if they are few;
-    ``lengths`` the sizes of items shorter than a seed."""
+def bloom(seeds: DataFrame, n: int) -> np.ndarray:
+    """Bits of a Bloom filter of the ``n`` values in column seed, as bytes; at most ``BLOOM_BITS``."""
+    bits = BITMAP
+    while bits < min(32 * n, BLOOM_BITS):
+        bits *= 2
+    first = F.col("seed").bitwiseAND(bits - 1)
+    step = F.shiftrightunsigned("seed", 32).bitwiseAND(bits - 1).bitwiseOR(F.lit(1))
+    # Bits are numbered from 1 here, so that bitmap i has those from i * BITMAP on.
+    at = seeds.select(F.explode(F.array(*[(first + step * i).bitwiseAND(bits - 1) + 1 for i in range(BLOOM_HASHES)])).alias("at"))
+    maps = at.groupBy((F.bitmap_bucket_number("at") - 1).alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("b"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in maps.collect():
+        out[r.i * (BITMAP // 8): (r.i + 1) * (BITMAP // 8)] = np.frombuffer(r.b, np.uint8)
+    return out
+
+
+def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the filter."""
+    mask = np.uint64(8 * len(bits) - 1)
+    first, step = h & mask, (h >> np.uint64(32)) & mask | np.uint64(1)
+    hit = np.ones(len(h), bool)
+    for i in range(BLOOM_HASHES):
+        at = (first + step * np.uint64(i)) & mask
+        hit &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return hit
+
+
+def document_seeds(docs: DataFrame, known: np.ndarray, lengths: list[int]) -> DataFrame:
+    """(key, seeds, runs): seeds that the filter ``known`` lets through, and the
+    document's words around them in runs parted by 0; ``lengths`` are the sizes of
+    items shorter than a seed."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         hasher = WordHash()
-        seeds_known = sent.value
         for b in batches:
             for part in slices(b, 1):
                 words, first = _words(part.column(1), hasher)
@@ -106,13 +144,8 @@ def document_seeds(docs: DataFrame, known: np.ndarray | None, lengths: list[int]
                         for i in range(n):
                             short = mixed((short ^ words[more + i]) * np.uint64(0x9E3779B97F4A7C15))
                     at, h, size = np.concatenate([at, more]), np.concatenate([h, short]), np.concatenate([size, np.full(len(more), n)])
-                if seeds_known is not None:
-                    if len(seeds_known):
-                        near = np.minimum(np.searchsorted(seeds_known, h), len(seeds_known) - 1)
-                        hit = seeds_known[near] == h
-                    else:
-                        hit = np.zeros(len(h), bool)
-                    at, h, size = at[hit], h[hit], size[hit]
+                hit = in_bloom(sent.value, h)
+                at, h, size = at[hit], h[hit], size[hit]
                 order = np.argsort(at, kind="stable")
                 at, h, size = at[order], h[order], size[order]
                 inside = np.zeros(len(words) + 1, np.int64)
@@ -187,45 +220,81 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int, hasher: WordHash) -> li
     return out
 
 
+def rare_seeds(bench: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+    """(version, seed): the seeds of which a document must have one to cover ``threshold``
+    of an item's version. The others are the ones in most documents; all the words that
+    they cover are too few."""
+    spread = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    places = bench.select("version", F.size("words").alias("size"), F.posexplode("seeds").alias("at", "seed")).join(spread, "seed")
+    by = places.groupBy("version", "size").agg(F.collect_list(F.struct("n", "seed", "at")).alias("places"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for size, row in zip(b.column(1).to_pylist(), b.column(2)):
+                n, seed, at = (row.values.field(i).to_numpy() for i in range(3))
+                seeds, one, where = np.unique(seed, return_index=True, return_inverse=True)
+                rank = np.empty(len(seeds), np.int64)
+                rank[np.lexsort((seeds, -n[one]))] = np.arange(len(seeds))
+                # A word is covered from the rank of the commonest seed over it on.
+                cover = np.full(size, len(seeds), np.int64)
+                for i in range(min(SEED, size)):
+                    np.minimum.at(cover, at + i, rank[where])
+                cover = np.sort(cover)
+                enough = np.flatnonzero(np.arange(1, size + 1) / size >= threshold)
+                out.append(seeds[rank >= cover[enough[0]]] if len(enough) else seeds[:0])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["version", "seeds"])
+
+    schema = T.StructType([T.StructField("version", T.LongType()), T.StructField("seeds", T.ArrayType(T.LongType()))])
+    return by.mapInArrow(run, schema).select("version", F.explode("seeds").alias("seed"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
                  item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, item_key, n_tiles, covered, coverage) of each contaminated pair."""
     src = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     bench = written(item_words(items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(
-        F.col(item_key).alias("item"), F.col(item_text).cast("string").alias("text"))).where("size(words) > 0"), "bench-items")
-    pairs = bench.select(F.explode("seeds").alias("seed"), "item").groupBy("seed", "item").agg(F.count(F.lit(1)).alias("places"))
+        F.col(item_key).alias("item"), F.col(item_text).cast("string").alias("text"))).where("size(words) > 0").withColumn(
+            "version", F.monotonically_increasing_id()), "bench-items")
     size, n_seeds = bench.agg(F.collect_set(F.when(F.size("words") < SEED, F.size("words"))), F.sum(F.size("seeds"))).first()
-    known = None
-    if (n_seeds or 0) <= SMALL_SEEDS:
-        known = np.unique(np.array([r.seed for r in pairs.select("seed").distinct().collect()], np.int64).view(np.uint64))
-    hits = written(document_seeds(src, known, sorted(size)).withColumn("part", F.monotonically_increasing_id()), "bench-hits")
-    shared = hits.select("part", F.explode("seeds").alias("seed")).join(pairs, "seed").groupBy("part", "item").agg(
-        F.sum("places").alias("places"))
-    # Tiles consist of shared seeds, so their places bound what tiles can cover.
-    enough = F.col("places") * SEED >= F.size("words") * F.lit(threshold)
-    joined = shared.join(bench.select("item", "words"), "item").where(enough).join(
-        hits.select("key", "part", "runs"), "part").select("key", "item", "words", "runs")
+    known = bloom(bench.select(F.explode("seeds").alias("seed")), n_seeds or 0)
+    hits = written(document_seeds(src, known, sorted(size)), "bench-hits")
+    pairs = hits.select("key", F.explode("seeds").alias("seed")).join(
+        rare_seeds(bench, hits, threshold), "seed").select("key", "version").distinct()
+    joined = pairs.join(bench.select("version", "item", "words"), "version").join(hits.select("key", "runs"), "key").select(
+        "key", "item", "version", "words", "runs")
 
     def run(batches):
         hasher = WordHash(word_base=WORD_BASE)
         for b in batches:
-            n, covered = [], []
-            for words, doc in zip(b.column(2), b.column(3)):
+            rows, sizes, n, blocks, maps = [], [], [], [], []
+            for r, (words, doc) in enumerate(zip(b.column(3), b.column(4))):
                 item = words.values.to_numpy().view(np.uint64)
                 found = tiles(item, doc.values.to_numpy().view(np.uint64), min(SEED, len(item)), hasher)
-                n.append(len(found))
-                covered.append(sum(t[2] for t in found))
-            sizes = [len(w.values) for w in b.column(2)]
+                inside = np.zeros(len(item), bool)
+                for at, _, length in found:
+                    inside[at: at + length] = True
+                for i in range(0, len(item) if found else 0, BITMAP):
+                    rows.append(r)
+                    sizes.append(len(item))
+                    n.append(0 if i else len(found))
+                    blocks.append(i // BITMAP)
+                    maps.append(np.packbits(inside[i: i + BITMAP], bitorder="little").tobytes())
+            at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(covered, pa.int64()),
-                 pa.array([c / s for c, s in zip(covered, sizes)], pa.float64())],
-                names=["key", "item", "n_tiles", "covered", "coverage"])
-
-    schema = T.StructType([joined.schema["key"], joined.schema["item"], T.StructField("n_tiles", T.LongType()),
-                           T.StructField("covered", T.LongType()), T.StructField("coverage", T.DoubleType())])
-    best = joined.mapInArrow(run, schema).where(F.col("coverage") >= threshold).groupBy("key", "item").agg(
-        F.max(F.struct("coverage", "covered", "n_tiles")).alias("m"))
+                [*[b.column(i).take(at) for i in range(3)], pa.array(sizes, pa.int64()), pa.array(blocks, pa.int32()),
+                 pa.array(n, pa.int64()), pa.array(maps, pa.binary())],
+                names=["key", "item", "version", "size", "block", "n_tiles", "inside"])
+
+    schema = T.StructType([*joined.schema.fields[:3], T.StructField("size", T.LongType()), T.StructField("block", T.IntegerType()),
+                           T.StructField("n_tiles", T.LongType()), T.StructField("inside", T.BinaryType())])
+    version = ["key", "item", "version", "size"]
+    parts = joined.mapInArrow(run, schema).groupBy(*version, "block").agg(
+        F.sum("n_tiles").alias("n_tiles"), F.bitmap_count(F.bitmap_or_agg("inside")).alias("covered"))
+    found = parts.groupBy(*version).agg(F.sum("n_tiles").alias("n_tiles"), F.sum("covered").alias("covered")).withColumn(
+        "coverage", F.col("covered") / F.col("size")).where(F.col("coverage") >= threshold)
+    best = found.groupBy("key", "item").agg(F.max(F.struct("coverage", "covered", "n_tiles")).alias("m"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item_key), "m.n_tiles", "m.covered", "m.coverage")
 
 
