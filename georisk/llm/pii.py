@@ -5,9 +5,11 @@ Candidate spans are the base matches of each kind and looser forms (bracketed
 checksum). Four labelers vote on every candidate: format, gazetteer, context and
 shape, each yes, no or abstain. Expectation-maximisation over the counts of all
 vote patterns estimates how reliable each labeler is for each kind (Dawid-Skene,
-two classes), and a logistic span classifier is trained on its posteriors. Base
-matches always stay; of the others, those the classifier accepts are added where
-they overlap no base match. The pattern table has at most kinds x 3**4 rows
+two classes), and a logistic span classifier is trained on its posteriors. It sees
+the votes and traits that no labeler looks at: a cue behind the span, words for
+other numbers before it, blanks on both sides, a regular layout, placeholder digits.
+Base matches always stay; of the others, those the classifier accepts are added where
+they overlap no base match. The pattern table has at most kinds x 3**4 x 2**5 rows
 however large the corpus is, so the driver may estimate from it.
 
 Defined cases: null text counts as empty; repeated rows and null keys are rows
@@ -47,8 +49,10 @@ LOOSE = {
 }
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 # Gazetteers.
-DOMAINS = ["com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "io", "eu", "de", "fr", "es", "it", "nl",
-           "uk", "ch", "at", "be", "pt", "se", "no", "dk", "fi", "pl", "us", "ca", "mx", "br", "ar", "au", "nz", "jp", "cn", "in"]
+GENERIC = ("com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|jobs|mobi|travel|tel|post|cat|asia|"
+           "app|dev|web|online|shop|site|store|tech|cloud|blog|club|email|news|agency|company|group|xyz")
+#: Two letters are a country's by the rule of the root zone.
+DOMAIN = rf"(?i)[^A-Za-z0-9-](?:{GENERIC}|[a-z]{{2}})$"
 DIALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 AREA = r"^\(?[2-9][0-8][0-9]\)?[ .-][2-9]"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|3[0689]|6[025])"
@@ -59,7 +63,23 @@ CUES = {
     "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta)\b[^\n]{0,20}$",
     "phone": r"(?i)\b(?:tel|telephone|phone|call|fax|mobile|cell|telefon|mobil)\b[^\n]{0,20}$",
 }
+#: Words that announce numbers of other sorts, and digits written as examples.
+OTHER = r"(?i)(?:\b(?:order|invoice|version|build|ref|reference|isbn|issn|sku|serial|ticket|total|sum|part|item|model|id|no|nr)\b|#)[^\n]{0,12}$"
+FILLER = r"(?:([0-9])\1{5}|0123456|1234567|9876543)"
+AFTER = {
+    "email": r"(?i)^[^\n]{0,20}\b(?:e-?mail|mail|inbox|correo|courriel)\b",
+    "ip": r"(?i)^[^\n]{0,20}\b(?:port|address|host|server)\b",
+    "card": r"(?i)^[^\n]{0,20}\b(?:cvv|cvc|exp|expires|expiry|card|valid)\b",
+    "phone": r"(?i)^[^\n]{0,20}\b(?:ext|extension|mobile|cell|phone|fax|office|home)\b",
+}
+LAYOUT = {
+    "email": r"^[A-Za-z0-9]+(?:[._+-][A-Za-z0-9]+)*[^A-Za-z0-9._+-]",
+    "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$",
+    "card": r"^(?:[0-9]+|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})$",
+    "phone": r"^(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]+\) ?)?[0-9]+(?:([ .-])[0-9]+(?:\1[0-9]+)*)?$",
+}
 NEARBY = 40
+TRAITS = 5
 LABELERS = 4
 NO, ABSTAIN, YES = 0, 1, 2
 
@@ -95,7 +115,7 @@ def _vote(yes: Column | None = None, no: Column | None = None) -> Column:
 def votes(kind: str, m: Column, before: Column, after: Column, base: Column) -> Column:
     """The four labelers' votes as one number in base 3."""
     if kind == "email":
-        known = _vote(F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(DOMAINS))
+        known = _vote(m.rlike(DOMAIN))
     elif kind == "ip":
         known = _vote(no=m.rlike(RESERVED))
     elif kind == "card":
@@ -108,6 +128,16 @@ def votes(kind: str, m: Column, before: Column, after: Column, base: Column) ->
     return form + known * 3 + context * 9 + shape * 27
 
 
+def traits(kind: str, m: Column, before: Column, after: Column) -> Column:
+    """What the classifier sees of a span besides the votes, as one number in base 2."""
+    seen = [after.rlike(AFTER[kind]), before.rlike(OTHER), before.rlike(r"(?:^|[\s(,;:])$") & after.rlike(r"^(?:$|[\s),;:.!?])"),
+            m.rlike(LAYOUT[kind]), (m if kind == "ip" else digits(m)).rlike(FILLER)]
+    out = F.lit(0)
+    for i, c in enumerate(seen):
+        out = out + F.when(c, 1 << i).otherwise(0)
+    return out
+
+
 def _places(parts: Column, found: Column) -> Column:
     """Start of each match: text between matches and matches alternate. Sums are taken
     by chunks of 256, so that many matches in one text stay cheap."""
@@ -141,8 +171,9 @@ def _spans(kind: int, matches: str, base: bool) -> Column:
         e = s + F.length(m)
         ok = valid(name, m) if base else F.lit(False)
         low = F.greatest(s - NEARBY, F.lit(0))
+        before, after = F.substring(F.col("__t"), low + 1, s - low), F.substring(F.col("__t"), e + 1, F.lit(NEARBY))
         return F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end"), ok.alias("base"), votes(
-            name, m, F.substring(F.col("__t"), low + 1, s - low), F.substring(F.col("__t"), e + 1, F.lit(1)), ok).alias("votes"))
+            name, m, before, after, ok).alias("votes"), traits(name, m, before, after).alias("traits"))
 
     found = F.transform(F.col(matches), one)
     if not base:
@@ -210,43 +241,49 @@ def estimate(counts: dict[tuple[int, int], int], rounds: int = 30) -> dict[tuple
     return post
 
 
-def features(kind: int, code: int) -> list[int]:
-    """Indices of a span's features: its kind, and each labeler's vote within the kind."""
-    return [kind] + [len(KINDS) + (kind * LABELERS + i) * 3 + v for i, v in enumerate(unpack(code))]
+def features(kind: int, code: int, seen: int) -> list[int]:
+    """Indices of a span's features: its kind, and within the kind each labeler's vote and each trait."""
+    at = [kind] + [len(KINDS) + (kind * LABELERS + i) * 3 + v for i, v in enumerate(unpack(code))]
+    traits_from = len(KINDS) * (1 + LABELERS * 3) + kind * TRAITS
+    return at + [traits_from + i for i in range(TRAITS) if seen >> i & 1]
 
 
-def train(counts: dict[tuple[int, int], int], post: dict[tuple[int, int], float], steps: int = 400) -> list[float]:
-    """Weights of the logistic span classifier, fitted to the posteriors; each kind's
-    patterns are weighted by their share of the kind, so the corpus size does not matter."""
-    w = [0.0] * (len(KINDS) + len(KINDS) * LABELERS * 3)
+def train(counts: dict[tuple[int, int, int], int], post: dict[tuple[int, int], float], steps: int = 400) -> list[float]:
+    """Weights of the logistic span classifier, fitted to the posteriors over (kind, votes,
+    traits); patterns are weighted by their share of the kind, so the corpus size does not matter."""
+    w = [0.0] * (len(KINDS) * (1 + LABELERS * 3 + TRAITS))
     size = defaultdict(int)
-    for (kind, _), n in counts.items():
+    for (kind, _, _), n in counts.items():
         size[kind] += n
+    rows = [(features(*p), n / size[p[0]], post[p[:2]]) for p, n in counts.items()]
     for _ in range(steps):
         grad = [-1e-4 * x for x in w]
-        for (kind, code), n in counts.items():
-            at = features(kind, code)
+        for at, share, want in rows:
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[j] for j in at)))))
             for j in at:
-                grad[j] += n / size[kind] * (post[kind, code] - p)
+                grad[j] += share * (want - p)
         w = [x + 0.5 * g for x, g in zip(w, grad)]
     return w
 
 
-def accepted(found: DataFrame) -> list[tuple[int, int]]:
-    """The (kind, vote pattern) pairs that the trained classifier takes for personal data."""
-    rows = found.select(F.explode("__found").alias("s")).groupBy("s.kind", "s.votes").count().collect()
-    counts = {(r["kind"], r["votes"]): r["count"] for r in sorted(rows)}
-    w = train(counts, estimate(counts))
+def accepted(found: DataFrame) -> list[tuple[int, int, int]]:
+    """The (kind, votes, traits) patterns that the trained classifier takes for personal data."""
+    rows = found.select(F.explode("__found").alias("s")).groupBy("s.kind", "s.votes", "s.traits").count().collect()
+    counts = {(r["kind"], r["votes"], r["traits"]): r["count"] for r in sorted(rows)}
+    voted = defaultdict(int)
+    for (kind, code, _), n in counts.items():
+        voted[kind, code] += n
+    w = train(counts, estimate(dict(voted)))
     return [p for p in counts if sum(w[j] for j in features(*p)) >= 0]
 
 
 def detect(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """``key`` columns, ``__base`` and ``__spans``: arrays of (kind, start, end, base, votes)
+    """``key`` columns, ``__base`` and ``__spans``: arrays of (kind, start, end, base, votes, traits)
     by kind, then start; ``__spans`` holds the base spans and those the method adds."""
     found = written(candidates(df, key, text), "pii-candidates")
-    good = [k * 3**LABELERS + v for k, v in accepted(found)]
-    taken = F.filter("__found", lambda x: x["base"] | (x["kind"] * 3**LABELERS + x["votes"]).isin(good))
+    good = [(k * 3**LABELERS + v << TRAITS) + t for k, v, t in accepted(found)]
+    taken = F.filter("__found", lambda x: x["base"] | (
+        (x["kind"] * 3**LABELERS + x["votes"]) * (1 << TRAITS) + x["traits"]).isin(good))
     return found.select(*key, F.array_sort(F.filter("__found", lambda x: x["base"])).alias("__base"),
                         F.array_sort(taken).alias("__spans"))
 

@@ -58,6 +58,35 @@ def test_the_classifier_adds_likely_spans_only(spark):
     assert [(s.kind, s.start, s.end) for s in got["ring phone (212) 555-0123 now"]] == [(3, 11, 25)]
 
 
+LIKELY = ["call me on (212) 555-0{:03d} please", "write to jo{}.kim [at] mail{} (dot) org please", "phone 212-555-0{:03d} mobile"]
+DECOYS = ["order no 9111-1111-1111-{:04d}", "serial 999999 12345678 {:04d}x", "=212-555-0{:03d}/", "meet (at) noon {}"]
+
+
+def test_planted_spans_on_the_whole_table(spark):
+    """Looser spans put into every document of the table are added, decoys and all else left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows, want, plain = [], {}, {}
+    for d in docs:
+        add = (LIKELY + DECOYS)[d.doc_id % (len(LIKELY) + len(DECOYS))].format(d.doc_id % 1000, d.doc_id % 7)
+        head = f"{d.text or ''}\n"
+        rows.append((d.doc_id, head + add + "\n", "en"))
+        m = re.search(r"\(212\) 555-0\d+|jo\d.* org|212-555-0\d+", add)
+        likely = d.doc_id % (len(LIKELY) + len(DECOYS)) < len(LIKELY)
+        want[d.doc_id] = [(0 if "[at]" in add else 3, len(head) + m.start(), len(head) + m.end())] if likely else []
+        plain[d.doc_id] = brute(head + add + "\n")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r["__spans"]] for r in P.detect(documents(spark, rows), ["doc_id"]).collect()}
+    assert len(got) == len(rows) and got == {i: sorted(plain[i] + want[i]) for i in want}
+
+
+def test_traits_decide_where_votes_are_split():
+    """Equal votes, told apart by what the classifier learned of the traits."""
+    yes, no, split = 2 + 2 * 3 + 2 * 9 + 27, 0 + 0 * 3 + 9 + 0, 1 + 2 * 3 + 9 + 0
+    counts = {(3, yes, 4 + 8): 100, (3, no, 2): 100, (3, split, 4 + 8): 5, (3, split, 2): 5}
+    post = {(3, yes): 1.0, (3, no): 0.0, (3, split): 0.5}
+    w = P.train(counts, post)
+    assert [sum(w[j] for j in P.features(3, split, t)) > 0 for t in (12, 2)] == [True, False]
+
+
 def test_posteriors_do_not_depend_on_the_size():
     counts = {(2, 2 + 2 * 3 + 9 + 27): 50, (2, 0 + 0 * 3 + 9 + 27): 40, (2, 0 + 2 * 3 + 9 + 27): 12}
     small = P.estimate(counts)
