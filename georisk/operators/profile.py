@@ -124,3 +124,13 @@ def schema_report(spark: SparkSession, df: DataFrame) -> DataFrame:
     """(position, column, type, nullable) rows of a DataFrame's schema."""
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
     return spark.createDataFrame(rows, "position int, column string, type string, nullable boolean")
+
+
+def schema_profile(df: DataFrame) -> DataFrame:
+    """(position, column, type, n_rows, n_nulls) for each column, from one aggregate
+    over all rows; an empty table has zeros."""
+    rows = [F.struct(F.lit(i).cast("long").alias("position"), F.lit(f.name).alias("column"),
+                     F.lit(f.dataType.simpleString()).alias("type"), F.col("n").alias("n_rows"),
+                     (F.col("n") - F.col(f"c{i}")).alias("n_nulls")) for i, f in enumerate(df.schema.fields)]
+    counts = df.agg(_n().alias("n"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(df.schema.fields)])
+    return counts.select(F.inline(F.array(*rows)))

@@ -277,6 +277,19 @@ def q_parquet_curve(spark, sf_dir):
     return C.box_agg(PQ.read_incidents(spark, path, GRID))
 
 
+def _schema_sql(table: str, columns: list[str]) -> str:
+    one = """SELECT {i}::BIGINT AS position, '{c}' AS "column", CASE typeof(ANY_VALUE("{c}")) WHEN 'INTEGER' THEN 'int'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR' THEN 'string' ELSE lower(typeof(ANY_VALUE("{c}"))) END AS "type",
+  COUNT(*) AS n_rows, COUNT(*) - COUNT("{c}") AS n_nulls FROM {t}"""
+    return "\nUNION ALL\n".join(one.format(i=i, c=c, t=table) for i, c in enumerate(columns))
+
+
+@register("schema_profile", sql(O.INCIDENTS_ALL, body=_schema_sql("incidents", INCIDENT_COLUMNS)))
+def q_schema_profile(spark, sf_dir):
+    """Columns of the typed incidents, with their types and nulls (the schema report, with counts)."""
+    return P.schema_profile(_incidents(spark, sf_dir))
+
+
 @register("footer_profile", sql(O.INCIDENTS_ALL, body="""
 SELECT COUNT(*) AS n, MIN(X) AS min_x, MAX(X) AS max_x, MIN(Y) AS min_y, MAX(Y) AS max_y, MIN(Box) AS min_box, MAX(Box) AS max_box,
   MIN("Hour") AS min_hour, MAX("Hour") AS max_hour, MIN("Month") AS min_month, MAX("Month") AS max_month FROM incidents"""))

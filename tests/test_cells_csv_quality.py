@@ -209,6 +209,14 @@ def test_schema_report(spark):
     assert [(r.column, r.type) for r in rows] == [("Count", "bigint"), ("Box", "string")]
 
 
+def test_schema_profile(spark):
+    from georisk.operators import profile as P
+    df = spark.createDataFrame([(1, "x", None), (2, None, None)], "Count long, `a.b` string, Box int")
+    want = [(0, "Count", "bigint", 2, 0), (1, "a.b", "string", 2, 1), (2, "Box", "int", 2, 2)]
+    assert sorted(map(tuple, P.schema_profile(df).collect())) == want
+    assert sorted(map(tuple, P.schema_profile(df.limit(0)).collect())) == [(i, c, t, 0, 0) for i, c, t, _, _ in want]
+
+
 def test_field_count_equals_split(spark):
     from hypothesis import given, settings
     from hypothesis import strategies as st
