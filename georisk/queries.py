@@ -366,8 +366,8 @@ def _export_defects(spark, sf_dir) -> str:
     return path
 
 
-def _lenient(spark, sf_dir, verbatim: bool) -> DataFrame:
-    return CSV.read_incidents_csv(spark, _export_defects(spark, sf_dir), GRID, verbatim=verbatim, lenient=True, header=False)
+def _lenient(spark, path: str, verbatim: bool) -> DataFrame:
+    return CSV.read_incidents_csv(spark, path, GRID, verbatim=verbatim, lenient=True, header=False)
 
 
 SOUND = "IncidntNum % 50 NOT IN (1, 2, 3, 4, 5)"
@@ -377,17 +377,17 @@ SOUND = "IncidntNum % 50 NOT IN (1, 2, 3, 4, 5)"
 SELECT COUNT(*) AS "Count", Box, "Month", DayOfWeekNum, DayPeriod FROM incidents WHERE {SOUND} GROUP BY ALL"""))
 def q_csv_lenient_box_agg(spark, sf_dir):
     """Slots of a lenient read of an export with wrong records (it drops exactly those)."""
-    return C.box_agg(_lenient(spark, sf_dir, verbatim=False))
+    return C.box_agg(_lenient(spark, _export_defects(spark, sf_dir), verbatim=False))
 
 
 @register("csv_lenient_counts", sql(O.INCIDENTS_ALL, body=f"""
 SELECT reader, n AS n_rows, n AS n_in_slots, n AS n_read_whole
 FROM (SELECT COUNT(*) AS n FROM incidents WHERE {SOUND}), (VALUES ('csv'), ('verbatim')) v(reader)"""))
 def q_csv_lenient_counts(spark, sf_dir):
-    """The same number of rows whatever columns are read, by both readers."""
-    out = None
+    """The same number of rows whatever columns are read, by both readers of one export."""
+    out, path = None, _export_defects(spark, sf_dir)
     for reader in ("csv", "verbatim"):
-        df = _lenient(spark, sf_dir, verbatim=reader == "verbatim")
+        df = _lenient(spark, path, verbatim=reader == "verbatim")
         whole = F.count(F.when(F.xxhash64(*INCIDENT_COLUMNS).isNotNull(), 1))
         parts = [df.agg(F.count(F.lit(1)).alias("n_rows")), C.box_agg(df).agg(F.coalesce(F.sum("Count"), F.lit(0)).alias("n_in_slots")),
                  df.agg(whole.alias("n_read_whole"))]

@@ -44,11 +44,15 @@ def _typed(raw: DataFrame, grid: GridSpec, date_mode: str, lenient: bool,
     A record with the wrong number of fields, a missing or bad id, coordinate or
     date fails the job (strict, as the original does) or is dropped (lenient).
     The check is a filter over all of them, so it does not depend on the columns
-    that a query selects.
+    that a query selects. Numbers and timestamp go through an array of one struct,
+    over which no filter moves: each is parsed once a record.
     """
     number = F.col("IncidntNum").try_cast("bigint")
     x, y = F.col("X").try_cast("double"), F.col("Y").try_cast("double")
     ts = parse_date_time("Date", "Time", lenient=True)
+    typed = F.struct(number.alias("number"), x.alias("x"), y.alias("y"), ts.alias("ts"))
+    raw = raw.withColumn("__typed", F.explode(F.array(typed)))
+    number, x, y, ts = (F.col(f"__typed.{c}") for c in ("number", "x", "y", "ts"))
     bad = (F.col(CORRUPT).isNotNull() | number.isNull() | x.isNull() | y.isNull() | F.col("Date").isNull()
            | F.col("Time").isNull() | ts.isNull())
     if lenient:
@@ -94,8 +98,10 @@ def split_fields(line: F.Column) -> F.Column:
 def split_verbatim(lines: DataFrame, col: str = "value") -> DataFrame:
     """Each text line's fields by :func:`split_fields` as the 13 raw columns, and the
     line in ``__corrupt`` if it has another number of them; header lines (equal to
-    the header) are dropped in every file."""
-    parts = lines.filter(F.col(col) != F.lit(HEADER_LINE)).select(F.col(col).alias("l"), split_fields(F.col(col)).alias("f"))
+    the header) are dropped in every file. The fields go through an array of one, so that
+    a line is split once, whatever filters follow."""
+    parts = lines.filter(F.col(col) != F.lit(HEADER_LINE)).select(
+        F.col(col).alias("l"), F.explode(F.array(split_fields(F.col(col)))).alias("f"))
     wrong = F.when(F.size("f") != len(RAW_COLUMNS), F.col("l"))
     return parts.select(*[F.get("f", i).alias(c) for i, c in enumerate(RAW_COLUMNS)], wrong.alias(CORRUPT))
 

@@ -313,3 +313,24 @@ def test_files_are_cut_by_rows(spark, tmp_path):
     CSV.write_csv(spark.range(100).coalesce(1), out, rows_per_file=30)
     assert len([f for f in os.listdir(out) if f.endswith(".csv")]) == 4
     assert CSV.read_csv(spark, out, "id bigint").count() == 100
+
+
+@pytest.mark.parametrize("verbatim", [False, True])
+def test_each_record_is_split_and_parsed_once(spark, tmp_path, verbatim):
+    path = tmp_path / "export.csv"
+    path.write_text('1,A,"B, C",Friday,05/29/2015,23:30,D,E,F,-122.4,37.75,"(37.75, -122.4)",9\n'
+                    '2,A,"B",Friday,13/45/2015,23:30,D,E,F,-122.4,37.75,"(37.75, -122.4)",9\n')
+    df = CSV.read_incidents_csv(spark, str(path), verbatim=verbatim, lenient=True, header=False)
+    assert [(r.IncidntNum, r.Timestamp.hour, r.X) for r in df.collect()] == [(1, 23, -122.4)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_join(") == verbatim
+    assert plan.count("as bigint") == 1
+    assert plan.count("gettimestamp(") == 2  # whether it is one, and its value
+
+
+def test_lenient_counts_write_one_export(spark, monkeypatch):
+    from georisk import queries as Q
+    seen, export = [], Q._export_defects
+    monkeypatch.setattr(Q, "_export_defects", lambda *a: seen.append(a) or export(*a))
+    rows = Q.QUERIES["csv_lenient_counts"](spark, SF0001).collect()
+    assert len(seen) == 1 and len(rows) == 2 and len({tuple(r)[1:] for r in rows}) == 1
