@@ -88,11 +88,13 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool |
 def split_fields(line: F.Column) -> F.Column:
     """The fields of a line (without line feeds) between commas that an even number of
     quotes follows; quotes stay in the values. The pieces between quotes are joined
-    again after commas outside quotes became line feeds, so the cost is linear."""
-    pieces = F.split(line, '"', -1)
-    marked = F.transform(pieces, lambda p, i: F.when(
-        (F.size(pieces) - 1 - i) % 2 == 0, F.replace(p, F.lit(","), F.lit("\n"))).otherwise(p))
-    return F.split(F.array_join(marked, '"'), "\n", -1)
+    again after commas outside quotes became line feeds, so the cost is linear: the pieces
+    are made once, as a function's argument, not again for each of them."""
+    def marked(pieces):
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(
+            (F.size(pieces) - 1 - i) % 2 == 0, F.replace(p, F.lit(","), F.lit("\n"))).otherwise(p)), '"')
+
+    return F.split(F.get(F.transform(F.array(F.split(line, '"', -1)), marked), 0), "\n", -1)
 
 
 def split_verbatim(lines: DataFrame, col: str = "value") -> DataFrame:

@@ -324,6 +324,7 @@ def test_each_record_is_split_and_parsed_once(spark, tmp_path, verbatim):
     assert [(r.IncidntNum, r.Timestamp.hour, r.X) for r in df.collect()] == [(1, 23, -122.4)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("array_join(") == verbatim
+    assert plan.count('split(value') == verbatim
     assert plan.count("as bigint") == 1
     assert plan.count("gettimestamp(") == 2  # whether it is one, and its value
 
